@@ -1,4 +1,4 @@
 """Every demonstration query, gathered from the modules that register them."""
 
-from inplay.plans import evaluation  # noqa: F401
+from inplay.plans import evaluation, sequences  # noqa: F401
 from inplay.plans.registry import ORACLES, QUERIES  # noqa: F401

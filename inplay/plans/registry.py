@@ -51,6 +51,8 @@ def with_roles(sql: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({ROLE_SQL[n].strip()})" for n in order)
+    if re.match(r"(?i)with\s+recursive\b", body):
+        return f"WITH RECURSIVE {ctes},\n{re.sub(r'(?i)^with\s+recursive', '', body).lstrip()}"
     if re.match(r"(?i)with\b", body):
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -187,6 +187,40 @@ class Tables:
             (F.col("fh") + F.col("fa")).cast("double").alias("final_total"),
             (F.col("game_id") % 2).cast("double").alias("home_opening_kickoff"))
 
+    @cached_property
+    def play_rows(self) -> DataFrame:
+        """Cleaned play rows with ids, downs, texts and clocks, overtime included."""
+        k, pid, kind = F.col("k"), F.col("event_id"), F.col("event_type")
+        elapsed = (F.unix_micros("t") / 1e6 - DAY0_S) / 720
+        e = self.ev.withColumn("gsr", F.greatest(3600 - F.floor(elapsed), F.lit(0)).cast("double"))
+        e = e.withColumn("qtr", F.when(F.col("gsr") <= 200, 5).otherwise(F.floor((3600 - F.col("gsr")) / 900) + 1).cast("bigint"))
+        qtr = F.col("qtr")
+        home, away = F.concat(F.lit("H"), F.col("game_id")), F.concat(F.lit("A"), F.col("game_id"))
+        names = {"signup": "kickoff", "error": "no_play", "click": "pass", "purchase": "run", "view": "punt"}
+        typed = F.lit(None).cast("string")
+        for event, name in names.items():
+            typed = F.when(kind == event, name).otherwise(typed)
+        no_down = (kind == "signup") | ((kind == "error") & (k % 3 == 0)) | ((kind == "purchase") & (k % 25 == 0))
+        hp, ap = k % 31, pid % 29
+        return e.select(
+            "game_id", pid.alias("seq"), F.when(k % 10 != 9, typed).alias("play_type"),
+            F.when(k % 20 != 19, F.when(pid % 3 == 0, home).otherwise(away)).alias("posteam"),
+            home.alias("home_team"), away.alias("away_team"), F.col("t").alias("t_snap"),
+            F.when(pid % 37 != 0, F.col("t") + F.make_dt_interval(
+                secs=F.least(F.floor("value"), F.lit(60)).cast("decimal(18,6)"))).alias("t_end"),
+            (pid % 11 == 0).alias("snap_imputed"), (pid % 5 == 0).alias("end_imputed"),
+            F.when(k % 17 == 0, "the ruling was Upheld").when(k % 13 == 0, "PENALTY on the defense")
+            .when(k % 7 == 0, "team kicks 65 yards").otherwise("play").alias("desc"),
+            qtr, F.col("gsr").alias("game_seconds_remaining"),
+            F.when(qtr <= 2, F.col("gsr") - 1800).otherwise(F.col("gsr")).alias("half_seconds_remaining"),
+            F.when(qtr <= 2, "Half1").when(qtr <= 4, "Half2").otherwise("Overtime").alias("game_half"),
+            F.when(~no_down, k % 4 + 1).alias("down"), (k % 10 + 1).alias("ydstogo"), (pid % 99 + 1).alias("yardline_100"),
+            (3 - F.floor(k / 34)).alias("home_timeouts"), (3 - k % 3).alias("away_timeouts"),
+            hp.alias("home_score_pre"), ap.alias("away_score_pre"), (hp + F.when(k % 9 == 0, 2).otherwise(0)).alias("home_score_post"),
+            (ap + F.when(k % 8 == 0, 2).otherwise(0)).alias("away_score_post"),
+            F.when(F.col("game_id") % 10 != 7, (F.col("game_id") % 2).cast("double")).alias("home_opening_kickoff"),
+            (F.lit(2000) + F.col("game_id") % 6).alias("season"))
+
     @cached_property
     def forecasts(self) -> DataFrame:
         """One forecast per line item: p, label, quarter, the order as the game."""
@@ -330,4 +364,22 @@ ROLE_SQL.update({
     "kickoffs": """SELECT s_suppkey AS game_id, (883612800 + s_suppkey % 900 * 86400) * 1000000 AS kickoff,
         CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 15 - 7)::DOUBLE END AS spread_line,
         CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey % 11 + 39)::DOUBLE END AS total_line FROM supplier""",
+    "pr0": """SELECT *, greatest(3600 - floor((t/1e6 - 1704067200)/720), 0)::DOUBLE AS gsr,
+        event_type = 'signup' OR (event_type = 'error' AND k % 3 = 0) OR (event_type = 'purchase' AND k % 25 = 0) AS no_down FROM ev""",
+    "pr1": """SELECT *, CASE WHEN gsr <= 200 THEN 5 ELSE CAST(floor((3600 - gsr)/900) AS BIGINT) + 1 END::BIGINT AS qtr FROM pr0""",
+    "play_rows": """SELECT game_id, event_id AS seq, CASE WHEN k % 10 <> 9 THEN CASE event_type WHEN 'signup' THEN 'kickoff'
+          WHEN 'error' THEN 'no_play' WHEN 'click' THEN 'pass' WHEN 'purchase' THEN 'run' WHEN 'view' THEN 'punt' END END AS play_type,
+        CASE WHEN k % 20 <> 19 THEN CASE WHEN event_id % 3 = 0 THEN 'H' ELSE 'A' END || game_id END AS posteam,
+        'H' || game_id AS home_team, 'A' || game_id AS away_team, t AS t_snap,
+        CASE WHEN event_id % 37 <> 0 THEN t + least(CAST(floor(value) AS BIGINT), 60) * 1000000 END AS t_end,
+        event_id % 11 = 0 AS snap_imputed, event_id % 5 = 0 AS end_imputed,
+        CASE WHEN k % 17 = 0 THEN 'the ruling was Upheld' WHEN k % 13 = 0 THEN 'PENALTY on the defense'
+          WHEN k % 7 = 0 THEN 'team kicks 65 yards' ELSE 'play' END AS "desc",
+        qtr, gsr AS game_seconds_remaining, CASE WHEN qtr <= 2 THEN gsr - 1800 ELSE gsr END AS half_seconds_remaining,
+        CASE WHEN qtr <= 2 THEN 'Half1' WHEN qtr <= 4 THEN 'Half2' ELSE 'Overtime' END AS game_half,
+        CASE WHEN NOT no_down THEN k % 4 + 1 END AS down, k % 10 + 1 AS ydstogo, event_id % 99 + 1 AS yardline_100,
+        3 - CAST(floor(k / 34.0) AS BIGINT) AS home_timeouts, 3 - k % 3 AS away_timeouts,
+        k % 31 AS home_score_pre, event_id % 29 AS away_score_pre, k % 31 + CASE WHEN k % 9 = 0 THEN 2 ELSE 0 END AS home_score_post,
+        event_id % 29 + CASE WHEN k % 8 = 0 THEN 2 ELSE 0 END AS away_score_post,
+        CASE WHEN game_id % 10 <> 7 THEN (game_id % 2)::DOUBLE END AS home_opening_kickoff, 2000 + game_id % 6 AS season FROM pr1""",
 })
