@@ -7,6 +7,7 @@ from typing import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 # fixed values
 MARGIN_GRID = (-60, 60)
@@ -76,13 +77,13 @@ def cdf_from_hist(hist: Column, grid: tuple[int, int]) -> Column:
         hist, F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["v"] <= z, e["c"]).otherwise(0)) / n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     """Standard normal CDF."""
     return pd.Series([0.5 * math.erfc(-v * math.sqrt(0.5)) for v in x], dtype="float64")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _normal_grid(mu: pd.Series, sigma: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
     out = []
     for m, s, a, b in zip(mu, sigma, lo, hi):
@@ -156,7 +157,7 @@ def price_ladder(samples: DataFrame, contracts: DataFrame, by: Sequence[str], ho
     return contracts.join(m.join(t, list(by)), list(by)).withColumn("price", price).drop("hm", "ht")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def pav_decreasing(values: pd.Series) -> pd.Series:
     """Non-increasing least-squares fit of each (short) ladder by pooling adjacent violators."""
 

@@ -343,7 +343,7 @@ def fn_string(t: Tables):
         F.left("p_name", F.lit(4)).alias("pre"))
 
 
-@query("fn_datetime", """SELECT event_id, epoch_ms(ts) AS ms, epoch_us(date_trunc('second', ts)) AS sec_us, epoch_us(ts + INTERVAL 90 SECOND) AS later_us,
+@query("fn_datetime", """SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(date_trunc('second', ts)) AS sec_us, epoch_us(ts + INTERVAL 90 SECOND) AS later_us,
     date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days, strftime(ts, '%H:%M') AS hm, make_date(2000 + (event_id % 30)::INT, 1 + (event_id % 12)::INT, 7) AS made,
     strftime(ts, '%y') || upper(strftime(ts, '%b')) || strftime(ts, '%d') AS code FROM events""")
 def fn_datetime(t: Tables):
@@ -358,7 +358,7 @@ def fn_datetime(t: Tables):
 
 @query("fn_math", """SELECT event_id, abs(50 - value) AS a, sign(value - 50)::DOUBLE AS s, round(exp(-value/100), 9) AS e, round(ln(greatest(value, 0.01)), 9) AS l,
     round(ln(1 + value), 9) AS l1, round(sqrt(value), 9) AS sq, round(pow(0.5, value/10), 9) AS pw, floor(value)::BIGINT AS fl, round_even(value*2, 0) AS he,
-    event_id // 7 AS idiv, event_id % 7 AS md, round(CASE WHEN k > 0 THEN value/k ELSE 0 END, 6) AS sd FROM ev""")
+    event_id // 7 AS idiv, event_id % 7 AS md, round(CASE WHEN k > 0 THEN value/k ELSE 0 END, 9) AS sd FROM ev""")
 def fn_math(t: Tables):
     v = F.col("value")
     return t.ev.select(
@@ -366,7 +366,7 @@ def fn_math(t: Tables):
         F.round(F.log(F.greatest(v, F.lit(0.01))), 9).alias("l"), F.round(F.log1p(v), 9).alias("l1"), F.round(F.sqrt(v), 9).alias("sq"),
         F.round(F.pow(F.lit(0.5), v / 10), 9).alias("pw"), F.floor(v).alias("fl"), F.rint(v * 2).alias("he"),
         F.expr("event_id div 7").alias("idiv"), (F.col("event_id") % 7).alias("md"),
-        r6(F.when(F.col("k") > 0, v / F.col("k")).otherwise(0.0)).alias("sd"))
+        F.round(F.when(F.col("k") > 0, v / F.col("k")).otherwise(0.0), 9).alias("sd"))
 
 
 @query("fn_null", """SELECT event_id, coalesce(a, b, -1) AS c, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b)/2 END AS mean2, greatest(a, b) AS mx,
