@@ -81,8 +81,10 @@ def with_known_time(prices: DataFrame, delta: Column | float, by: Sequence[str]
     delta = delta if isinstance(delta, Column) else F.lit(float(delta))
     lag_s = F.when(F.col("kind") == "pregame", F.lit(0.0)).otherwise(delta)
     raw = prices.withColumn("__t", F.col("t") + seconds(lag_s))
-    # the log's order follows t, so sorting by (t, order) keeps the slices on the time axis
-    return scan(raw, by, ["t", order], hot=hot, t_known=running_max("__t")).drop("__t")
+    # the log's order follows its times, so sorting by (time, order) keeps the slices on the time axis;
+    # a log whose times were replaced carries the recorded ones in logged_t
+    at = "logged_t" if "logged_t" in prices.columns else "t"
+    return scan(raw, by, [at, order], hot=hot, t_known=running_max("__t")).drop("__t")
 
 
 def model_asof(prices: DataFrame, times: DataFrame, delta: Column | float, by: Sequence[str] = ("game_id",),

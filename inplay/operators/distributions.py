@@ -194,3 +194,91 @@ def median_total(hist: Column) -> Column:
     p = F.transform(cdf_from_hist(hist, (lo, hi)), lambda f: 1 - f)
     strikes = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda z: z + 0.5)
     return crossing(strikes, p)
+
+
+# ------------------------------------------------------------------ exact quantiles at scale
+
+
+def exact_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, out: str) -> DataFrame:
+    """Linearly interpolated quantile per group from value counts and a running sum over the distinct
+    values; a group with very many distinct values is summed slice by slice."""
+    from inplay.operators.scan import hot_entities, running_sum, scan
+
+    by = list(by) or ["__all"]
+    base = df if by != ["__all"] else df.withColumn("__all", F.lit(0))
+    counts = base.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    run = scan(counts, by, ["__v"], hot=hot_entities(counts, by, "__v"), __cum=running_sum("__c"))
+    n = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    pos = F.lit(q) * (F.col("__n") - 1)
+    j = run.join(n, by).filter(F.col("__cum") > F.floor(pos))
+    lo = F.min_by("__v", "__cum")
+    hi = F.min(F.when(F.col("__cum") > F.ceil(pos), F.col("__v")))
+    frac = F.min(pos - F.floor(pos))
+    got = j.groupBy(*by).agg((lo + frac * (hi - lo)).alias(out))
+    return got.drop("__all")
+
+
+# ------------------------------------------------------------------ scoring states
+
+
+def forecast_record(states: DataFrame, samples: DataFrame, by: str, sd_margin: Column, sd_total: Column, v1: Column, v2: Column) -> DataFrame:
+    """Per state: win, tie, cover and over probabilities, CRPS and PIT of the sampled distribution and of a
+    normal baseline whose spread shrinks with the share of the game left.
+
+    states: current margin and total, spread and total lines, share_left, final y_margin and y_total
+    """
+    hm = histogram(samples, [by], F.col("home") - F.col("away"), "hm")
+    ht = histogram(samples, [by], F.col("home") + F.col("away"), "ht")
+    mg, tg = EVAL_MARGIN_GRID, EVAL_TOTAL_GRID
+    spread, line, f = F.coalesce("spread", F.lit(0.0)), F.coalesce("line", F.lit(44.0)), F.col("share_left")
+    root = F.sqrt(F.greatest(f, F.lit(1e-4)))
+    j = states.join(hm, by).join(ht, by).withColumns({"cm": cdf_from_hist(F.col("hm"), mg), "ct": cdf_from_hist(F.col("ht"), tg)})
+    j = j.withColumns({"bm": cdf_normal(F.col("margin") + spread * f, sd_margin * root, mg),
+                       "bt": cdf_normal(F.col("total") + line * f, sd_total * root, tg)})
+    ym, yt = F.col("y_margin"), F.col("y_total")
+    tie = hist_share(F.col("hm"), lambda v: v == 0)
+    return j.withColumns({
+        "wp": hist_share(F.col("hm"), lambda v: v > 0) + 0.5 * tie, "p_tie": tie,
+        "margin_mean": hist_mean(F.col("hm")), "total_mean": hist_mean(F.col("ht")),
+        "p_home_cover": hist_share(F.col("hm"), lambda v: v > spread), "p_over": hist_share(F.col("ht"), lambda v: v > line),
+        "crps_margin": crps(F.col("cm"), mg, ym), "crps_total": crps(F.col("ct"), tg, yt),
+        "pit_margin": pit(F.col("cm"), mg, ym, v1), "pit_total": pit(F.col("ct"), tg, yt, v2),
+        "crps_margin_base": crps(F.col("bm"), mg, ym), "crps_total_base": crps(F.col("bt"), tg, yt),
+        "pit_margin_base": pit(F.col("bm"), mg, ym, v1), "pit_total_base": pit(F.col("bt"), tg, yt, v2)}).drop(
+        "cm", "ct", "bm", "bt", "hm", "ht")
+
+
+# fixed values: tolerances of the calibration gate
+GATE_COVERAGE_TOL, GATE_WP_MAE, GATE_WP_LOGLOSS = 0.03, 0.03, 0.01
+
+
+def gate_verdict(records: DataFrame, direct: Column, y_home: Column) -> DataFrame:
+    """One row: interval coverage, CRPS against the baseline, agreement with the direct model, and whether
+    each part and the whole pass."""
+    from inplay.operators.metrics import log_loss_row
+
+    aggs = []
+    for what in ("margin", "total"):
+        for tag in ("", "_base"):
+            aggs += [F.avg(covered(F.col(f"pit_{what}{tag}"), 0.5)).alias(f"{what}{tag}_cov50"),
+                     F.avg(covered(F.col(f"pit_{what}{tag}"), 0.9)).alias(f"{what}{tag}_cov90"),
+                     F.avg(f"crps_{what}{tag}").alias(f"{what}{tag}_crps")]
+    ok = direct.isNotNull() & y_home.isNotNull()
+    aggs += [F.count(F.lit(1)).alias("states"), F.avg(F.when(ok, F.abs(F.col("wp") - direct))).alias("wp_mae"),
+             F.avg(F.when(ok, log_loss_row(F.col("wp"), y_home))).alias("ll_sim"), F.avg(F.when(ok, log_loss_row(direct, y_home))).alias("ll_direct")]
+    r = records.agg(*aggs)
+    cov = F.lit(True)
+    for what in ("margin", "total"):
+        for lvl in (50, 90):
+            cov = cov & (F.abs(F.col(f"{what}_cov{lvl}") - lvl / 100) <= GATE_COVERAGE_TOL)
+    better = (F.col("margin_crps") < F.col("margin_base_crps")) & (F.col("total_crps") < F.col("total_base_crps"))
+    agree = (F.col("wp_mae") <= GATE_WP_MAE) & (F.col("ll_sim") <= F.col("ll_direct") + GATE_WP_LOGLOSS)
+    return r.withColumns({"ok_coverage": cov, "ok_crps": better, "ok_wp": agree}).withColumn(
+        "passed", F.col("ok_coverage") & F.col("ok_crps") & F.col("ok_wp"))
+
+
+def at_least(p: Column, k: Column) -> Column:
+    """P(at least k successes) from an array of independent chances (a short list)."""
+    start = F.transform(F.sequence(F.lit(0), F.size(p)), lambda i: (i == 0).cast("double"))
+    dist = F.aggregate(p, start, lambda d, x: F.transform(d, lambda v, i: v * (1 - x) + F.when(i > 0, F.get(d, i - 1)).otherwise(0.0) * x))
+    return F.aggregate(F.transform(dist, lambda v, i: F.when(i >= k, v).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)

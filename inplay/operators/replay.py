@@ -175,3 +175,28 @@ def replay_events(rows: DataFrame, bounds: DataFrame, hot: DataFrame | None = No
         (F.col("ev_posteam") == F.col("home_team")).alias("posteam_is_home"), F.col("ev_down").alias("down"),
         F.col("ev_ydstogo").alias("ydstogo"), F.col("ev_yardline").alias("yardline_100"),
         F.col("ev_home_timeouts").alias("home_timeouts"), F.col("ev_away_timeouts").alias("away_timeouts"))
+
+
+def price_frame(priced: DataFrame, n_sims: int = 2000) -> DataFrame:
+    """Typed price-log rows. The final whistle is not simulated: its price is the result, with zero
+    games behind it. Columns that an input lacks (priors, knobs, timings) become null."""
+    from inplay.sources.tables import conform
+
+    final = F.col("kind") == "final"
+    won = F.when(F.col("home_score") > F.col("away_score"), 1.0).when(F.col("home_score") == F.col("away_score"), 0.5).otherwise(0.0)
+    rows = priced.withColumns({
+        "p_home": F.when(final, won).otherwise(F.col("p_home")),
+        "p_tie": F.when(final, (F.col("home_score") == F.col("away_score")).cast("double")).otherwise(F.col("p_tie")),
+        "n_sims": F.when(final, 0).otherwise(n_sims)})
+    key = rows.schema["game_id"].dataType.simpleString()
+    return conform(rows, LOG_SCHEMA.format(key=key))
+
+
+# fixed values: columns of the price log
+LOG_SCHEMA = ("game_id {key}, `order` INT, seq BIGINT, kind STRING, t TIMESTAMP, timing STRING, t_play_end TIMESTAMP, "
+              "phase STRING, qtr INT, game_seconds_remaining DOUBLE, home_score INT, away_score INT, posteam_is_home BOOLEAN, "
+              "down TINYINT, ydstogo SMALLINT, yardline_100 SMALLINT, home_timeouts INT, away_timeouts INT, p_home DOUBLE, "
+              "p_tie DOUBLE, margin_mean DOUBLE, total_mean DOUBLE, cdf_margin ARRAY<FLOAT>, cdf_total ARRAY<FLOAT>, "
+              "wp_direct_home DOUBLE, seconds DOUBLE, n_sims INT, prior_home_win DOUBLE, prior_total DOUBLE, "
+              "prior_win_source STRING, prior_total_source STRING, knob_spread DOUBLE, knob_total DOUBLE, "
+              "knob_home_win DOUBLE, knob_total_median DOUBLE, knob_converged BOOLEAN")
