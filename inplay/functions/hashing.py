@@ -24,8 +24,8 @@ def uniform_sql(seed: int, *keys: str) -> str:
     """The same number as a SQL expression."""
     mixed = " + ".join([str(seed)] + [f"(({k}) % {PRIME})::BIGINT * {m}" for m, k in zip(_MULTIPLIERS, keys)])
     x = f"(({mixed}) % {PRIME})"
-    return (f"((((({x} * {x}) % {PRIME}) * (({x} * {x}) % {PRIME})) % {PRIME}) * {x}) % {PRIME}"
-            f" / {float(PRIME)}::DOUBLE")
+    return (f"(((((({x} * {x}) % {PRIME}) * (({x} * {x}) % {PRIME})) % {PRIME}) * {x}) % {PRIME}"
+            f" / {float(PRIME)}::DOUBLE)")
 
 
 def id_key(ids: Column, is_numeric: bool) -> Column:

@@ -156,16 +156,19 @@ def outcome_calib(t: Tables):
 
 @query("clock_pit", """WITH c AS (SELECT game_id, seq, least(greatest(half_seconds_remaining, 0), 1800) AS clock, least(seconds, greatest(half_seconds_remaining, 0)) AS a FROM snap_rows WHERE result IS NOT NULL),
     e AS (SELECT i, e::DOUBLE AS lo, lead(e) OVER (ORDER BY i)::DOUBLE AS hi FROM (VALUES """ + dp.EDGES + """) v(i, e)),
-    b AS (SELECT c.*, e.i, CASE WHEN a < lo THEN 0 WHEN a >= hi THEN 1 ELSE (a - lo)/(hi - lo) END AS f,
-      (SELECT avg(least(e.lo + (e.hi - e.lo)*(q + 0.5)/32, c.clock)) FROM range(32) x(q)) AS m FROM c, e WHERE e.hi IS NOT NULL),
-    s AS (SELECT game_id, seq, clock, a, sum(f)*0.9/19 AS below, sum(m)*0.9/19 + 0.1*clock AS clock_mean FROM b GROUP BY ALL)
+    b AS (SELECT c.game_id, c.seq, c.clock, c.a, e.i, max(CASE WHEN a < lo THEN 0 WHEN a >= hi THEN 1 ELSE (a - lo)/(hi - lo) END) AS f, avg(least(e.lo + (e.hi - e.lo)*(q + 0.5)/32, c.clock)) AS m
+      FROM c, e, range(32) x(q) WHERE e.hi IS NOT NULL GROUP BY ALL),
+    s AS (SELECT game_id, seq, clock, a, sum(f)*0.9/19 AS below, sum(m)*0.9/19 + 0.1*max(clock) AS clock_mean FROM b GROUP BY game_id, seq, clock, a)
     SELECT game_id, seq, round(CASE WHEN a >= clock - 1e-6 THEN below + 0.5*(1 - below) ELSE below END, 6) AS pit, round(clock_mean, 5) AS clock_mean FROM s""")
 def clock_pit(t: Tables):
     """Where each drive's clock fell in its predicted distribution, with even bins and 10% half-ending mass."""
     n = len(ft.TIMED) * ft.N_BINS
     p = F.concat(F.array_repeat(F.lit(0.9 / n), n), F.array(F.lit(0.1)))
-    even = F.array(*[F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i, lo=lo, hi=hi: F.lit(float(lo)) + (hi - lo) * i / 32)
-                     for lo, hi in zip(ft.DURATION_EDGES[:-1], ft.DURATION_EDGES[1:])])
+
+    def steps(lo: float, hi: float):
+        return F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.lit(float(lo)) + (hi - lo) * i / 32)
+
+    even = F.array(*[steps(lo, hi) for lo, hi in zip(ft.DURATION_EDGES[:-1], ft.DURATION_EDGES[1:])])
     s = dp.snap_rows(t).filter("result IS NOT NULL").withColumns({"p": p, "q": even, "clock": F.greatest("half_seconds_remaining", F.lit(0.0))})
     pit, mean = md.clock_pit(F.col("p"), F.col("q"), F.col("clock"), F.col("seconds"))
     return s.select("game_id", "seq", r6(pit).alias("pit"), F.round(mean, 5).alias("clock_mean"))
