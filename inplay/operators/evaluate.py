@@ -139,11 +139,18 @@ def moments(df: DataFrame, y: Column, x: Column, c: Column, by: str, groups: Seq
 
 
 def solve3(n, sx, sc, sxx, sxc, scc, sy, sxy, scy) -> tuple[Column, Column, Column]:
-    """Intercept and slopes of least squares on (1, x, c) from summed moments (centred, Cramer)."""
+    """Intercept and slopes of least squares on (1, x, c) from summed moments (centred, Cramer). Where x
+    and c carry the same information, the smallest slopes that fit, as a pseudo-inverse gives."""
     cxx, ccc, cxc = sxx - sx * sx / n, scc - sc * sc / n, sxc - sx * sc / n
     cxy, ccy = sxy - sx * sy / n, scy - sc * sy / n
     det = cxx * ccc - cxc * cxc
-    bx, bc = (cxy * ccc - ccy * cxc) / det, (ccy * cxx - cxy * cxc) / det
+    full, spread2 = det > 1e-12 * cxx * ccc, (cxx + ccc) * (cxx + ccc)
+
+    def slope(top: Column, alone: Column) -> Column:
+        return F.when(full, top / det).when(spread2 > 0, alone / spread2).otherwise(0.0)
+
+    bx = slope(cxy * ccc - ccy * cxc, cxx * cxy + cxc * ccy)
+    bc = slope(ccy * cxx - cxy * cxc, cxc * cxy + ccc * ccy)
     return (sy - bx * sx - bc * sc) / n, bx, bc
 
 

@@ -298,7 +298,9 @@ def long_shots(t: Tables):
 # ------------------------------------------------------------------ regressions
 
 WLS = """cxx AS (SELECT *, sxx - sx*sx/n AS vxx, scc - sc*sc/n AS vcc, sxc - sx*sc/n AS vxc, sxy - sx*sy/n AS vxy, scy - sc*sy/n AS vcy FROM {src}),
-    sol AS (SELECT *, (vxy*vcc - vcy*vxc)/(vxx*vcc - vxc*vxc) AS bx, (vcy*vxx - vxy*vxc)/(vxx*vcc - vxc*vxc) AS bc FROM cxx)"""
+    dt AS (SELECT *, vxx*vcc - vxc*vxc AS det, vxx*vcc - vxc*vxc > 1e-12*vxx*vcc AS ok, (vxx + vcc)*(vxx + vcc) AS s2 FROM cxx),
+    sol AS (SELECT *, CASE WHEN ok THEN (vxy*vcc - vcy*vxc)/det WHEN s2 > 0 THEN (vxx*vxy + vxc*vcy)/s2 ELSE 0 END AS bx,
+      CASE WHEN ok THEN (vcy*vxx - vxy*vxc)/det WHEN s2 > 0 THEN (vxc*vxy + vcc*vcy)/s2 ELSE 0 END AS bc FROM dt)"""
 
 
 @query("wls3", """WITH m AS (SELECT season, sum(w) AS n, sum(w*x) AS sx, sum(w*c) AS sc, sum(w*x*x) AS sxx, sum(w*x*c) AS sxc,
