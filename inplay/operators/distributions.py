@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -70,11 +71,18 @@ def hist_mean(hist: Column) -> Column:
     return F.aggregate(hist, F.lit(0.0), lambda a, e: a + e["v"] * e["c"]) / hist_total(hist)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _step_cdf(values: pd.Series, counts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    out = []
+    for v, c, a, b in zip(values, counts, lo, hi):
+        upto = np.concatenate([[0], np.cumsum(c)])
+        out.append(upto[np.searchsorted(v, np.arange(a, b + 1), side="right")] / upto[-1])
+    return pd.Series(out)
+
+
 def cdf_from_hist(hist: Column, grid: tuple[int, int]) -> Column:
     """F(z) = share of samples <= z for every z of the grid, as an array."""
-    n = hist_total(hist)
-    return F.transform(F.sequence(F.lit(grid[0]), F.lit(grid[1])), lambda z: F.aggregate(
-        hist, F.lit(0).cast("bigint"), lambda a, e: a + F.when(e["v"] <= z, e["c"]).otherwise(0)) / n)
+    return _step_cdf(hist["v"], hist["c"], F.lit(grid[0]), F.lit(grid[1]))
 
 
 @F.pandas_udf(DoubleType())

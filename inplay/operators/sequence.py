@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from typing import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inplay.operators.asof import seconds
 from inplay.operators.scan import (SLICE, bfill, ffill, neighbours, row_number, running_max, running_sum, scan,
                                    with_slices)
+from inplay.session import cut_lineage
 
 # fixed values
 OUTLIER_S = 45 * 60
@@ -68,8 +70,9 @@ def with_durations(df: DataFrame, play_type: str = "play_type", snap: str = "sna
 _NONE = float("-inf")
 
 
-def _fold(batches: Iterator[pd.DataFrame], keys: list[str], order: str, track: bool) -> Iterator[pd.DataFrame]:
-    """The repair recursion over rows sorted by (keys, order), its state carried across batches.
+def _fold(batches: Iterator[pa.RecordBatch], keys: list[str], track: bool) -> Iterator[pa.RecordBatch]:
+    """The repair recursion over rows sorted by (keys, order), its state carried across batches; every
+    other column passes through untouched.
 
     s = the snap, or the previous end where it is missing; never before the previous snap
     e = the end, or s plus the usual length where the end is bad; never before s or the previous end
@@ -78,19 +81,19 @@ def _fold(batches: Iterator[pd.DataFrame], keys: list[str], order: str, track: b
     on the state before the slice: s = max(t_snap, ss + S0, se + E0), e = max(t_end, es + S0, ee + E0).
     """
     now, s, e, ss, se, es, ee = None, _NONE, _NONE, _NONE, _NONE, _NONE, _NONE
-    for pdf in batches:
-        ids = list(zip(*(pdf[k].tolist() for k in keys)))
-        snaps, ends, durs = pdf["snap"].tolist(), pdf["end"].tolist(), pdf["duration"].tolist()
-        bads, first = pdf["bad"].tolist(), pdf["next_valid"].tolist()
-        out = {c: [] for c in (("t_snap", "t_end", "ss", "se", "es", "ee") if track else ("t_snap", "t_end"))}
+    for batch in batches:
+        col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
+        ids = list(zip(*(col(k) for k in keys)))
+        snaps, ends, durs, bads, first = col("snap"), col("end"), col("duration"), col("bad"), col("next_valid")
+        out: list[list[float]] = [[] for _ in range(6 if track else 2)]
         for i, key in enumerate(ids):
             if key != now:
                 now = key
                 # before a game's first row the only usable time is its first valid snap
-                s, e = _NONE, _NONE if track or first[i] is None or first[i] != first[i] else first[i]
+                s, e = _NONE, _NONE if track or first[i] is None else first[i]
                 ss, se, es, ee = 0.0, _NONE, _NONE, 0.0
             snap, d = snaps[i], durs[i]
-            if snap is None or snap != snap:
+            if snap is None:
                 s = max(e, s)
                 if track:
                     ss, se = max(es, ss), max(ee, se)
@@ -104,76 +107,88 @@ def _fold(batches: Iterator[pd.DataFrame], keys: list[str], order: str, track: b
                 e = max(e, s, ends[i])
                 if track:
                     es, ee = max(es, ss), max(ee, se)
-            out["t_snap"].append(s)
-            out["t_end"].append(e)
+            out[0].append(s)
+            out[1].append(e)
             if track:
-                for c, v in (("ss", ss), ("se", se), ("es", es), ("ee", ee)):
-                    out[c].append(v)
-        yield pd.concat([pdf[[*keys, order]].reset_index(drop=True), pd.DataFrame(out)], axis=1)
+                for j, v in enumerate((ss, se, es, ee)):
+                    out[2 + j].append(v)
+        names = ["t_snap", "t_end", "ss", "se", "es", "ee"][:len(out)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, pa.float64()) for v in out]],
+                                         names=[*batch.schema.names, *names])
 
 
-def _carry_state(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+def _carry_state(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
     """State before each slice from the slices' summaries, in slice order."""
     now, s, e = None, _NONE, _NONE
-    for pdf in batches:
-        ids = list(zip(*(pdf[k].tolist() for k in by)))
+    for batch in batches:
+        rows = batch.to_pylist()
         s0, e0 = [], []
-        for i, (key, row) in enumerate(zip(ids, pdf.itertuples(index=False))):
+        for row in rows:
+            key = tuple(row[k] for k in by)
             if key != now:
-                now, s, e = key, _NONE, _NONE if pd.isna(row.first_valid) else row.first_valid
+                now, s, e = key, _NONE, _NONE if row["first_valid"] is None else row["first_valid"]
             s0.append(s)
             e0.append(e)
-            s, e = max(row.t_snap, row.ss + s, row.se + e), max(row.t_end, row.es + s, row.ee + e)
-        yield pd.concat([pdf[[*by, SLICE]].reset_index(drop=True), pd.DataFrame({"s0": s0, "e0": e0})], axis=1)
+            s, e = max(row["t_snap"], row["ss"] + s, row["se"] + e), max(row["t_end"], row["es"] + s, row["ee"] + e)
+        kept = [batch.column(batch.schema.get_field_index(c)) for c in (*by, SLICE)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(s0, pa.float64()), pa.array(e0, pa.float64())], names=[*by, SLICE, "s0", "e0"])
+
+
+def _with_doubles(schema: StructType, *names: str) -> StructType:
+    return StructType([*schema.fields, *[StructField(n, DoubleType()) for n in names]])
 
 
 def repair_times(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id", hot: DataFrame | None = None) -> DataFrame:
     """t_snap and t_end (epoch seconds) from columns snap, end, duration, bad and next_valid. Rows are
-    streamed in order through each task; only running state is held. A hot game runs slice by slice."""
+    streamed in order through each task; only running state is held, and the other columns ride along,
+    so nothing is joined back. A hot game runs slice by slice."""
     by = list(by)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cols = [*by, order, "snap", "end", "duration", "bad", "next_valid"]
     base = with_slices(df, by, order, hot)
 
     def run(part: DataFrame, keys: list[str], track: bool) -> DataFrame:
-        schema = ", ".join([*(f"`{c}` {'bigint' if c == SLICE else types[c]}" for c in [*keys, order]),
-                            "t_snap double, t_end double"] + (["ss double, se double, es double, ee double"] if track else []))
-        ready = part.select(*dict.fromkeys([*keys, *cols])).repartition(*keys).sortWithinPartitions(*keys, order)
-        return ready.mapInPandas(lambda it: _fold(it, keys, order, track), schema)
-
-    def finite(c: Column) -> Column:
-        return F.when(c > F.lit(_NONE), c)
+        names = ["t_snap", "t_end", "ss", "se", "es", "ee"][:6 if track else 2]
+        ready = part.repartition(*keys).sortWithinPartitions(*keys, order)
+        return ready.mapInArrow(lambda it: _fold(it, keys, track), _with_doubles(part.schema, *names))
 
     if hot is None:
         times = run(base, by, False)
     else:
+        base = cut_lineage(base)
         cold = run(base.filter(F.col(SLICE).isNull()), by, False)
-        hot_rows = base.filter(F.col(SLICE).isNotNull())
-        local = run(hot_rows, [*by, SLICE], True)
-        ends = local.groupBy(*by, SLICE).agg(*[F.max_by(c, order).alias(c) for c in ("t_snap", "t_end", "ss", "se", "es", "ee")])
-        first = hot_rows.groupBy(*by).agg(F.min_by("snap", F.when(F.col("snap").isNotNull(), F.col(order))).alias("first_valid"))
-        schema = ", ".join(f"`{c}` {types[c]}" for c in by) + f", `{SLICE}` bigint, s0 double, e0 double"
-        carry = ends.join(first, by).repartition(*by).sortWithinPartitions(*by, SLICE).mapInPandas(
-            lambda it: _carry_state(it, by), schema)
-        done = local.join(carry, [*by, SLICE]).select(
-            *by, order, F.greatest("t_snap", F.col("ss") + F.col("s0"), F.col("se") + F.col("e0")).alias("t_snap"),
-            F.greatest("t_end", F.col("es") + F.col("s0"), F.col("ee") + F.col("e0")).alias("t_end"))
-        times = cold.unionByName(done)
-    times = times.select(*by, order, finite(F.col("t_snap")).alias("t_snap"), finite(F.col("t_end")).alias("t_end"))
-    return df.join(times, [*by, order])
+        local = cut_lineage(run(base.filter(F.col(SLICE).isNotNull()), [*by, SLICE], True))
+        ends = local.groupBy(*by, SLICE).agg(
+            F.max_by(F.struct("t_snap", "t_end", "ss", "se", "es", "ee"), order).alias("r"),
+            F.min_by("next_valid", order).alias("__v")).select(*by, SLICE, "r.*", "__v")
+        # the first slice's first row sees the game's first valid snap
+        first = ends.groupBy(*by).agg(F.min_by("__v", SLICE).alias("first_valid"))
+        sums = ends.drop("__v").join(first, by)
+        schema = _with_doubles(StructType([f for f in sums.schema.fields if f.name in (*by, SLICE)]), "s0", "e0")
+        sums = sums.select(*[f.name for f in schema.fields if f.name in (*by, SLICE)], "t_snap", "t_end", "ss", "se", "es", "ee", "first_valid")
+        keys = [f.name for f in schema.fields if f.name in by]
+        carry = sums.repartition(*by).sortWithinPartitions(*by, SLICE).mapInArrow(
+            lambda it: _carry_state(it, keys), StructType([*[schema[k] for k in keys], schema[SLICE], schema["s0"], schema["e0"]]))
+        done = local.join(carry, [*by, SLICE]).withColumns({
+            "t_snap": F.greatest("t_snap", F.col("ss") + F.col("s0"), F.col("se") + F.col("e0")),
+            "t_end": F.greatest("t_end", F.col("es") + F.col("s0"), F.col("ee") + F.col("e0"))}).drop("ss", "se", "es", "ee", "s0", "e0")
+        times = cold.unionByName(done).drop(SLICE)
+    known = lambda c: F.when(F.col(c) > F.lit(_NONE), F.col(c))
+    return times.withColumns({"t_snap": known("t_snap"), "t_end": known("t_end")})
 
 
 def clean_times(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id", limit_s: float = OUTLIER_S,
-                hot: DataFrame | None = None) -> DataFrame:
-    """From snap_raw, end_raw and play_type: t_snap, t_end (epoch seconds) and the four quality flags."""
+                hot: DataFrame | None = None, scores: bool = False) -> DataFrame:
+    """From snap_raw, end_raw and play_type: t_snap, t_end (epoch seconds) and the four quality flags;
+    with scores=True also the columns of with_scores, from the same scan."""
     w = flag_wild(with_durations(df), by, order, limit_s=limit_s, hot=hot)
     w = w.withColumn("snap", F.when(~F.col("snap_wild"), F.col("snap_raw"))).withColumnRenamed("end_raw", "end")
     w = w.withColumn("bad", bad_end(F.col("snap"), F.col("end")))
-    s = scan(w, by, [order], hot=hot, __seen=running_max("snap", inclusive=False), next_valid=bfill("snap"))
+    more = score_specs() if scores else {}
+    s = scan(w, by, [order], hot=hot, __seen=running_max("snap", inclusive=False), next_valid=bfill("snap"), **more)
     s = s.withColumn("snap_out_of_order", F.coalesce(F.col("snap") < F.col("__seen"), F.lit(False)))
-    t = repair_times(s, by, order, hot)
+    s = finish_scores(s) if scores else s
+    t = repair_times(s.drop("__seen"), by, order, hot)
     return t.withColumns({"snap_imputed": F.col("snap").isNull(), "end_imputed": F.col("bad")}).withColumnRenamed(
-        "end", "end_raw").drop("snap", "bad", "duration", "next_valid", "__seen")
+        "end", "end_raw").drop("snap", "bad", "duration", "next_valid")
 
 
 def ms_timestamp(sec: Column) -> Column:
@@ -181,28 +196,32 @@ def ms_timestamp(sec: Column) -> Column:
     return F.timestamp_millis(F.rint(sec * 1000).cast("bigint"))
 
 
-def with_scores(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id", hot: DataFrame | None = None) -> DataFrame:
-    """seq (0-based), and scores that never fall: after each row the highest total so far, before it
-    the previous row's."""
-    s = scan(df, by, [order], hot=hot, __rn=row_number(),
-             __hp=running_max("total_home_score"), __ap=running_max("total_away_score"),
-             __hb=running_max("total_home_score", inclusive=False), __ab=running_max("total_away_score", inclusive=False))
-    zero = F.lit(0.0)
+def score_specs() -> dict:
+    home, away = "total_home_score", "total_away_score"
+    return dict(__rn=row_number(), __hp=running_max(home), __ap=running_max(away), __hb=running_max(home, inclusive=False),
+                __ab=running_max(away, inclusive=False))
 
-    def up(c: str) -> Column:
-        return F.greatest(F.coalesce(c, zero), zero)
 
+def finish_scores(s: DataFrame) -> DataFrame:
+    zero = F.lit(0.0)
+    up = lambda c: F.greatest(F.coalesce(c, zero), zero)
     return s.withColumns({"seq": F.col("__rn") - 1, "home_score_post": up("__hp"), "away_score_post": up("__ap"),
-                          "home_score_pre": up("__hb"), "away_score_pre": up("__ab")}).drop(
-        "__rn", "__hp", "__ap", "__hb", "__ab")
+                          "home_score_pre": up("__hb"), "away_score_pre": up("__ab")}).drop("__rn", "__hp", "__ap", "__hb", "__ab")
+
+
+def with_scores(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id", hot: DataFrame | None = None) -> DataFrame:
+    """seq (0-based), and scores that never fall: after each row the highest total so far, before it
+    the previous row's."""
+    return finish_scores(scan(df, by, [order], hot=hot, **score_specs()))
 
 
 def build_play_events(pbp: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Raw play rows to cleaned play events, one row per input row. Post-play values keep a _post
     suffix and outcomes a final_ prefix, so that a leak into features is visible."""
     raw = pbp.withColumns({"snap_raw": epoch_seconds("time_of_day"), "end_raw": epoch_seconds("end_clock_time")})
-    t = clean_times(raw, hot=hot).withColumns({"t_snap": ms_timestamp(F.col("t_snap")), "t_end": ms_timestamp(F.col("t_end"))})
-    return with_scores(t, hot=hot).select(
+    t = clean_times(raw, hot=hot, scores=True).withColumns({
+        "t_snap": ms_timestamp(F.col("t_snap")), "t_end": ms_timestamp(F.col("t_end"))})
+    return t.select(
         "game_id", "season", "week", "season_type", "home_team", "away_team", "play_id", "seq", "play_type", "desc",
         "t_snap", "t_end", "snap_imputed", "snap_wild", "snap_out_of_order", "end_imputed", "qtr",
         "game_seconds_remaining", "half_seconds_remaining", "game_half", "posteam",

@@ -100,7 +100,7 @@ def score_repair(t: Tables):
     sc.away_score_pre, sc.away_score_post FROM cl1 c JOIN rec r USING (game_id, i) JOIN sc ON sc.play_id = c.play_id""")
 def play_events(t: Tables):
     """The cleaned event table: times, flags, sequence numbers and scores together."""
-    e = sq.with_scores(cleaned(t), hot=t.hot_games_by_id)
+    e = sq.clean_times(t.plays, limit_s=LIMIT_S, hot=t.hot_games_by_id, scores=True)
     ms = lambda c: F.rint(F.col(c) * 1000).cast("bigint")
     return e.select("game_id", "play_id", "seq", ms("t_snap").alias("snap_ms"), ms("t_end").alias("end_ms"), "snap_imputed",
                     "snap_wild", "snap_out_of_order", "end_imputed", "home_score_pre", "home_score_post",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,3 +42,15 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 def slice_rows(spark: SparkSession) -> int:
     """Rows per slice of a hot entity (see operators.scan)."""
     return int(spark.conf.get("spark.inplay.sliceRows", "1000000"))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's shared checkpoint folder and go on from there, where one is set; the
+    written copy survives lost executors. Without a folder (tests) the plan stays as it is."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
