@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
 from inplay.functions.hashing import id_key, poisson_weight, uniform
+from inplay.operators.onerow import with_row
 
 SEED = 2013  # fixed value
 EXACT_LIMIT = 100_000  # entities up to which draws are made exactly
@@ -102,4 +103,4 @@ def interval(df: DataFrame, value: Column, by: str = "game_id", groups: Sequence
     band = draws.groupBy(*groups).agg(
         F.percentile(F.col("sx") / F.col("sw"), F.lit(0.05)).alias("p05"),
         F.percentile(F.col("sx") / F.col("sw"), F.lit(0.95)).alias("p95"))
-    return total.join(band, list(groups)) if groups else total.crossJoin(band)
+    return total.join(band, list(groups)) if groups else total.transform(with_row, band)

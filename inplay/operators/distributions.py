@@ -290,3 +290,23 @@ def at_least(p: Column, k: Column) -> Column:
     start = F.transform(F.sequence(F.lit(0), F.size(p)), lambda i: (i == 0).cast("double"))
     dist = F.aggregate(p, start, lambda d, x: F.transform(d, lambda v, i: v * (1 - x) + F.when(i > 0, F.get(d, i - 1)).otherwise(0.0) * x))
     return F.aggregate(F.transform(dist, lambda v, i: F.when(i >= k, v).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+
+
+def tail_by_group(df: DataFrame, by: Sequence[str], p: Column, k: int, out: str) -> DataFrame:
+    """P(at least k successes) per group of any size, for a small fixed k: chances reduce to the sum of
+    log misses and k - 1 power sums of the odds, from which the probabilities of 0..k-1 follow. Sure
+    successes are counted apart."""
+    sure = p >= 1
+    odds = F.when(~sure, p / (1 - p))
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(sure).alias("__sure"), F.sum(F.when(~sure, F.log(1 - p))).alias("__miss"),
+            *[F.sum(F.pow(odds, F.lit(m))).alias(f"__s{m}") for m in range(1, k)]]
+    g = df.groupBy(*by).agg(*aggs)
+    e = [F.lit(1.0)]
+    for j in range(1, k):
+        terms = [F.lit(float((-1) ** (m - 1))) * e[j - m] * F.coalesce(f"__s{m}", F.lit(0.0)) for m in range(1, j + 1)]
+        e.append(sum(terms[1:], terms[0]) / j)
+    none = F.exp(F.coalesce("__miss", F.lit(0.0)))
+    below = F.lit(0.0)
+    for j in range(k):
+        below = below + F.when(F.col("__sure") + j < k, none * e[j]).otherwise(0.0)
+    return g.select(*by, "n", (1 - below).alias(out))

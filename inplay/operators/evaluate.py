@@ -10,6 +10,7 @@ from inplay.operators.asof import asof_join, asof_many, reviews, seconds, with_k
 from inplay.operators.bootstrap import entity_sums, resample, settle
 from inplay.operators.metrics import PRICE_CLIP, brier_row, log_loss_row
 from inplay.operators.scan import lag, scan
+from inplay.operators.onerow import with_row
 
 # fixed values
 DELTAS = (0, 5, 10, 20)  # seconds from a play's end until the engine knows its result
@@ -106,7 +107,7 @@ def paired(grid: DataFrame, groups: Sequence[str] = (), model: str = "model", ma
     band = reps.groupBy(*groups).agg(*[
         F.percentile((F.col(a) - F.col(b)) / F.col("n"), F.lit(q)).alias(f"{name}_{tag}")
         for name, (a, b) in pairs.items() for tag, q in (("p05", 0.05), ("p95", 0.95))])
-    return total.join(band, list(groups)) if groups else total.crossJoin(band)
+    return total.join(band, list(groups)) if groups else total.transform(with_row, band)
 
 
 def sweep(prices: DataFrame, minutes: DataFrame, deltas: Sequence[float] = DELTAS,

@@ -16,6 +16,7 @@ from inplay.operators.bootstrap import weights
 from inplay.operators.features import END_HALF, N_BINS, TIMED, WP_FEATURES, WP_SPREAD_FEATURES
 from inplay.operators.metrics import calibration_error, summary
 from inplay.operators.segments import RESULTS
+from inplay.operators.onerow import with_row
 
 # fixed values: tree settings of the two model variants (rounds, step, depth, row sample, least rows a leaf)
 MODELS = {
@@ -78,7 +79,7 @@ def cv_report(cv: DataFrame, kind: str, n_boot: int = 1000) -> DataFrame:
     reps = cells.join(w, "game_id").withColumns({c: F.col(c) * F.col("w") for c in ("n_plays", "n_wins")})
     sd = error(reps, ["rep"]).agg(F.stddev_samp("calibration_error").alias("calibration_error_sd"))
     by_season = summary(cv, "wp", "label", "qtr", ["season"]).agg(F.min("calibration_error").alias("season_min"), F.max("calibration_error").alias("season_max"))
-    return pooled.crossJoin(sd).crossJoin(by_season).withColumn("gate", F.col("calibration_error") <= PUBLISHED[kind] + GATE_TOLERANCE)
+    return pooled.transform(with_row, sd).transform(with_row, by_season).withColumn("gate", F.col("calibration_error") <= PUBLISHED[kind] + GATE_TOLERANCE)
 
 
 def fit_outcomes(frame: DataFrame, weight: str = "w", iterations: int = 50):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inplay.operators.distributions import search_left
 from inplay.operators.scan import row_number, scan
+from inplay.operators.onerow import with_row
 
 # fixed values
 KICK_NORMAL, KICK_ONSIDE, KICK_FREE = 0, 1, 2
@@ -109,7 +110,8 @@ def fill_thin(pool: DataFrame, min_rows: int = MIN_BUCKET) -> DataFrame:
     plan = borrow_plan(pool, min_rows).select(
         F.col("bucket").alias("to_bucket"), "result_idx", "own",
         F.explode(F.sequence(F.greatest("lo", F.lit(0)), F.least("hi", F.lit(N_YBINS - 1)))).alias("ybin"))
-    return pool.join(plan, ["result_idx", "ybin"]).filter(~F.col("own") | (F.col("bucket") == F.col("to_bucket"))).withColumn(
+    # the plan has at most 160 x 20 rows, and the join key few values: broadcasting avoids a skewed shuffle
+    return pool.join(F.broadcast(plan), ["result_idx", "ybin"]).filter(~F.col("own") | (F.col("bucket") == F.col("to_bucket"))).withColumn(
         "bucket", F.col("to_bucket")).drop("to_bucket", "own")
 
 
@@ -121,7 +123,7 @@ def pool_layout(pool: DataFrame, order: Sequence[str], bucket: str = "bucket", h
 
 def draw(requests: DataFrame, layout: DataFrame, u: Column, bucket: str = "bucket") -> DataFrame:
     """One pool row per request: slot floor(u * n) of its bucket, by an equality join on (bucket, slot)."""
-    n = layout.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.broadcast(layout.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n")))  # one row per bucket of a fixed grid
     slot = F.least(F.floor(u * F.col("__n")), F.col("__n") - 1)
     return requests.join(n, bucket).withColumn("slot", slot).drop("__n").join(layout, [bucket, "slot"])
 
@@ -167,7 +169,7 @@ def shrunk_table(rows: DataFrame, context: str, category: str, contexts: int, ca
     grid = spark.range(contexts * categories).select(F.expr(f"id div {categories}").alias(context),
                                                      (F.col("id") % categories).cast("int").alias(category))
     ctx = counts.groupBy(context).agg(F.sum("n").alias("ctx_n"))
-    j = grid.join(counts, [context, category], "left").join(ctx, context, "left").join(overall, category, "left").crossJoin(total)
+    j = grid.join(counts, [context, category], "left").join(ctx, context, "left").join(overall, category, "left").transform(with_row, total)
     z = F.lit(0)
     return j.select(context, category, ((F.coalesce("n", z) + prior * F.coalesce("all_n", z) / F.col("total"))
                                         / (F.coalesce("ctx_n", z) + prior)).alias("p"))

@@ -169,7 +169,9 @@ def match_events(events: DataFrame, schedule: DataFrame, tolerance_days: int = 1
         "event_ticker", pair_key(F.col("away"), F.col("home")).alias("pair"),
         F.explode(F.sequence(F.date_sub("day", tolerance_days), F.date_add("day", tolerance_days))).alias("on_day"))
     g = schedule.select("game_id", pair_key(F.col("away_team"), F.col("home_team")).alias("pair"), F.col("gameday").alias("on_day"))
-    hits = ok.join(g, ["pair", "on_day"]).groupBy("event_ticker").agg(F.count(F.lit(1)).alias("n"), F.min("game_id").alias("g"))
+    # games reduce to one row per pair and day, so a ticker meets a few rows however many games share a day
+    days = g.groupBy("pair", "on_day").agg(F.count(F.lit(1)).alias("n"), F.min("game_id").alias("g"))
+    hits = ok.join(days, ["pair", "on_day"]).groupBy("event_ticker").agg(F.sum("n").alias("n"), F.min("g").alias("g"))
     parsed = F.col("away").isNotNull()
     return e.join(hits, "event_ticker", "left").select(
         "event_ticker", "day", F.when(parsed, F.col("suffix")).alias("suffix"), F.when(F.col("n") == 1, F.col("g")).alias("game_id"),

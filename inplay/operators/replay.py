@@ -94,7 +94,8 @@ def with_next(rows: DataFrame, bounds: DataFrame, hot: DataFrame | None = None)
     runs = possession_runs(rows, ot, hot=hot)
     plays = runs.filter(F.col("play_type").isNotNull() & F.col("posteam").isNotNull() & F.col("t_end").isNotNull())
     s = scan(plays, ["game_id"], ["seq"], hot=hot, nxt=lead(F.struct(*NEXT)), __rn=row_number())
-    return s.withColumn("is_first", F.col("__rn") == 1).drop("__rn").join(bounds, "play_type", "left")
+    return s.withColumn("is_first", F.col("__rn") == 1).drop("__rn").join(
+        F.broadcast(bounds), "play_type", "left")  # one row per play type
 
 
 def with_public_time(plays: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 from inplay.session import slice_rows
 
 SLICE = "__slice"
+BROADCAST_ROWS = 1_000_000  # entries (about 40 bytes each) up to which the list of hot entities is broadcast
 _UNB, _END = Window.unboundedPreceding, Window.unboundedFollowing
 
 
@@ -81,8 +82,11 @@ def hot_entities(df: DataFrame, by: Sequence[str], order: str, rows: int | None
     x = numeric_key(df, order)
     stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     hot = stats.filter(F.col("__n") > rows).select(
-        *by, "__lo", (F.ceil(F.col("__n") / F.lit(rows)) / (F.col("__hi") - F.col("__lo") + 1).cast("double")).alias("__step"))
-    return None if hot.isEmpty() else hot
+        *by, "__lo", (F.ceil(F.col("__n") / F.lit(rows)) / (F.col("__hi") - F.col("__lo") + 1).cast("double")).alias("__step")).persist()
+    n = hot.count()
+    if n == 0:
+        return None
+    return F.broadcast(hot) if n <= BROADCAST_ROWS else hot
 
 
 def with_slices(df: DataFrame, by: Sequence[str], order: str, hot: DataFrame | None) -> DataFrame:

@@ -61,7 +61,7 @@ def type_durations(df: DataFrame, play_type: str = "play_type", snap: str = "sna
 
 def with_durations(df: DataFrame, play_type: str = "play_type", snap: str = "snap_raw", end: str = "end_raw") -> DataFrame:
     """Fallback length per row: the type's median, 0 for rows without a type, 5 s for unseen types."""
-    table = type_durations(df, play_type, snap, end)
+    table = F.broadcast(type_durations(df, play_type, snap, end))  # one row per play type
     return df.join(table, play_type, "left").withColumn(
         "duration", F.when(F.col(play_type).isNull(), ADMIN_DURATION_S).otherwise(
             F.coalesce("dur", F.lit(FALLBACK_DURATION_S)))).drop("dur")

@@ -170,9 +170,9 @@ def bin_quantiles(t: Tables):
 def quantile_lookup(t: Tables):
     """A duration drawn from the quantile row of each snap's bin."""
     s = ft.training_snaps(snap_rows(t)).withColumn("bin", ft.duration_bin(F.col("seconds")))
-    q = ft.bin_quantiles(s)
+    q = F.broadcast(ft.bin_quantiles(s))  # 19 bins
     # bins without any timed drive give even steps; they match no rows in the SQL twin
-    seen = s.filter("result <> 'end_half'").select("bin").distinct()
+    seen = F.broadcast(s.filter("result <> 'end_half'").select("bin").distinct())
     return s.join(q, "bin").join(seen, "bin", "left_semi").select("game_id", "seq", r6(ft.quantile_value(F.col("q"), uniform(11, F.col("seq")))).alias("drawn"))
 
 

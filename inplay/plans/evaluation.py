@@ -11,6 +11,7 @@ from inplay.plans.registry import query
 from inplay.plans.roles import Tables, r6, us
 from inplay.plans.sqlkit import (N_BOOT, STAGE, boot_ctes, brier, cols6, interval_sql, log_loss, mc_var, paired_sql,
                                  q05, q95)
+from inplay.operators.onerow import with_row
 
 PAIR_DOUBLES = ["brier_model", "brier_model_corrected", "brier_market", "log_loss_model", "log_loss_market",
                 "brier_diff", "brier_corrected_diff", "log_loss_diff", "brier_diff_p05", "brier_diff_p95",
@@ -236,7 +237,7 @@ def boot_paired(t: Tables):
                     ((F.sum("la") - F.sum("lb")) / F.sum("n")).alias("log_loss_diff"))
     reps = bs.resample(stats, "game_id", ["n", "ba", "bb", "la", "lb"], N_BOOT, method=method)
     band = bs.spread(reps, **d).drop("brier_sd", "brier_mean", "log_loss_sd", "log_loss_mean")
-    out = tot.crossJoin(band)
+    out = tot.transform(with_row, band)
     return rounded(out, out.columns)
 
 
@@ -283,7 +284,7 @@ def calib_paired(t: Tables):
     band = error(reps, ["rep", "who"]).agg(
         F.percentile(F.col("market") - F.col("model"), F.lit(0.05)).alias("diff_p05"),
         F.percentile(F.col("market") - F.col("model"), F.lit(0.95)).alias("diff_p95"))
-    out = error(cells, ["who"]).crossJoin(band)
+    out = error(cells, ["who"]).transform(with_row, band)
     return rounded(out, out.columns)
 
 
@@ -418,7 +419,7 @@ def event_study(t: Tables):
     """Response curve around big moves, and the first offset at which it crosses a level."""
     curve = ev.event_curve(paths(t), n_boot=N_BOOT)
     cross = curve.filter("share >= 0.05").agg(F.min("tau").cast("bigint").alias("first_cross"))
-    return rounded(curve.crossJoin(cross).withColumn("tau", F.col("tau").cast("bigint")), ["share", "p05", "p95"])
+    return rounded(curve.transform(with_row, cross).withColumn("tau", F.col("tau").cast("bigint")), ["share", "p05", "p95"])
 
 
 @query("event_delay", f"""WITH {PATHS}, st AS (SELECT tau, game_id, count(*)::DOUBLE AS n, sum(share) AS share, sum((1-share)*abs(dp)) AS "left",

@@ -228,10 +228,10 @@ def pattern_then(t: Tables):
       SELECT d.k, d.i + 1, d.h + x.x, d.m * CASE WHEN x.x = 1 THEN p.p ELSE 1 - p.p END FROM d JOIN p ON p.k = d.k AND p.i = d.i + 1, (VALUES (0), (1)) x(x)),
     n AS (SELECT k, max(i) AS n FROM p GROUP BY k) SELECT d.k, n.n, round(sum(CASE WHEN h >= 2 THEN m ELSE 0 END), 9) AS p_two FROM d JOIN n ON n.k = d.k AND d.i = n.n GROUP BY d.k, n.n""")
 def poisson_binomial(t: Tables):
-    """P(at least two returns) per order from its lines' chances (an order has a handful of lines)."""
+    """P(at least two returns) per order from its lines' chances."""
     chance = F.col("l_quantity") / (F.col("l_quantity") + 7.3)
-    p = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(chance)).alias("p"))
-    return p.select("k", F.size("p").cast("bigint").alias("n"), F.round(ds.at_least(F.col("p"), F.lit(2)), 9).alias("p_two"))
+    p = ds.tail_by_group(t.lineitem.withColumnRenamed("l_orderkey", "k"), ["k"], chance, 2, "p_two")
+    return p.withColumn("p_two", F.round("p_two", 9))
 
 
 @query("cond_median", """SELECT l_returnflag AS flag, count(*) AS snaps, count(DISTINCT l_orderkey) AS games, round(median(l_extendedprice), 4) AS price_median, min(l_extendedprice) AS price_min FROM lineitem WHERE l_quantity <= 10 GROUP BY flag""")

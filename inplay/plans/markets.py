@@ -16,6 +16,7 @@ from inplay.plans.registry import ROLE_SQL, query
 from inplay.plans.roles import DAY0_S, Tables, r6, us
 from inplay.plans.sqlkit import N_BOOT, cols6, paired_sql
 from inplay.sources import tables as tb
+from inplay.operators.onerow import with_row
 
 # ------------------------------------------------------------------ joins
 
@@ -249,14 +250,14 @@ def coverage(t: Tables):
     return c.withColumns({k: F.round(k, 9) for k in ("in_game_quote_share", "two_sided_share")})
 
 
-@query("gate_report", """WITH x AS (SELECT s_suppkey AS g, (50 - s_suppkey % 10)/50.0::DOUBLE AS snap_raw, 2 - (s_suppkey % 13 = 0)::INT AS wm, (70 + s_suppkey % 31)/100.0::DOUBLE AS qs, s_suppkey % 17 <> 5 AS pulled FROM supplier)
+@query("gate_report", """WITH x AS (SELECT s_suppkey AS g, (50 - s_suppkey % 10)/50.0::DOUBLE AS snap_raw, 2 - (s_suppkey % 13 = 0)::INT AS wm, (70 + s_suppkey % 31)/100.0::DOUBLE AS qs, s_acctbal > -300 AS pulled FROM supplier)
     SELECT count(*) AS played, round(avg(CASE WHEN snap_raw >= 0.9 THEN 1.0 ELSE 0.0 END), 6) AS share_timed, round(avg(CASE WHEN pulled AND wm = 2 AND qs >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS share_quoted,
     count(*) FILTER (NOT pulled) AS missing, count(*) FILTER (NOT pulled OR qs < 0.8) AS thin, false AS passed FROM x""")
 def gate_report(t: Tables):
     s = F.col("s_suppkey")
     games = t.supplier.select(s.alias("game_id"))
     timing = t.supplier.select(s.alias("game_id"), ((F.lit(50) - s % 10) / 50).alias("snap_raw"))
-    cov = t.supplier.filter(s % 17 != 5).select(s.alias("game_id"), (2 - (s % 13 == 0).cast("int")).alias("winner_markets"), ((F.lit(70) + s % 31) / 100).alias("in_game_quote_share"))
+    cov = t.supplier.filter("s_acctbal > -300").select(s.alias("game_id"), (2 - (s % 13 == 0).cast("int")).alias("winner_markets"), ((F.lit(70) + s % 31) / 100).alias("in_game_quote_share"))
     return rounded(qt.gate(games, timing, cov), ["share_timed", "share_quoted"])
 
 
@@ -376,7 +377,7 @@ def coverage_pit(t: Tables):
 def pit_hist(t: Tables):
     """Ten equal bins; a value of exactly one falls in none."""
     h = state_pit(t).filter("pit < 1").groupBy(F.floor(F.col("pit") * 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return h.crossJoin(h.agg(F.sum("n").alias("all_n"))).select("bin", "n", r6(F.col("n") / F.col("all_n")).alias("share"))
+    return h.transform(with_row, h.agg(F.sum("n").alias("all_n"))).select("bin", "n", r6(F.col("n") / F.col("all_n")).alias("share"))
 
 
 @query("quote_from_samples", """SELECT state_id, round(avg(CASE WHEN home > away THEN 1.0 WHEN home = away THEN 0.5 ELSE 0 END), 6) AS p_home, round(avg(CASE WHEN home = away THEN 1.0 ELSE 0 END), 6) AS p_tie,

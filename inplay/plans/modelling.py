@@ -14,6 +14,7 @@ from inplay.plans.registry import ROLE_SQL, query
 from inplay.plans.roles import Tables, r6
 from inplay.plans.sqlkit import N_BOOT, brier, cols6, interval_sql, log_loss
 from inplay.operators import bootstrap as bs
+from inplay.operators.onerow import with_row
 
 ROUNDS = 8  # boosting rounds in the demonstrations; models.MODELS holds the full settings
 
@@ -50,7 +51,7 @@ def forward_test(t: Tables):
     st, method = bs.settle(st, "auto")
     reps = bs.resample(st, "game_id", ["n", "a", "b"], N_BOOT, method=method)
     full = st.agg(F.sum("n").alias("rows"), (F.sum("a") / F.sum("n")).alias("brier_ours"), (F.sum("b") / F.sum("n")).alias("brier_external"))
-    return full.crossJoin(bs.spread(reps, diff=(F.col("a") - F.col("b")) / F.col("n")))
+    return full.transform(with_row, bs.spread(reps, diff=(F.col("a") - F.col("b")) / F.col("n")))
 
 
 @query("wp_on_events")

@@ -21,11 +21,11 @@ ROLE_SQL.update({
     "tickers": f"""SELECT c_custkey AS row_id, 'KXNFLGAME-' || strftime(d, '%y') || ({MONTHS_SQL})[month(d)] || strftime(d, '%d') ||
         CASE WHEN c_custkey % 2 = 0 THEN a || h ELSE h || a END || CASE WHEN c_custkey % 10 = 9 THEN '7' ELSE '' END AS event_ticker FROM (
         SELECT c_custkey, DATE '1995-01-01' + ((c_custkey * 37) % 2400)::INT AS d, ({TEAM_LIST})[c_custkey % 32 + 1] AS a,
-        ({TEAM_LIST})[(c_custkey * 7 + 3) % 32 + 1] AS h FROM customer)""",
+        ({TEAM_LIST})[(c_custkey % 32 + 1 + (c_custkey % 32 * 7) % 31) % 32 + 1] AS h FROM customer)""",
     "schedule": f"""SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS gameday, year(o_orderdate)::BIGINT AS season,
-        ({TEAM_LIST})[o_custkey % 32 + 1] AS away_team, ({TEAM_LIST})[(o_custkey * 7 + 3) % 32 + 1] AS home_team,
+        ({TEAM_LIST})[o_custkey % 32 + 1] AS away_team, ({TEAM_LIST})[(o_custkey % 32 + 1 + (o_custkey % 32 * 7) % 31) % 32 + 1] AS home_team,
         CASE WHEN o_orderkey % 50 = 0 THEN 'SB' WHEN o_orderkey % 50 < 3 THEN 'CON' ELSE 'REG' END AS game_type,
-        o_orderstatus FROM orders WHERE o_custkey % 32 <> (o_custkey * 7 + 3) % 32""",
+        o_orderstatus FROM orders""",
     "parsed": f"""SELECT t.*, CASE WHEN d IS NOT NULL THEN day END AS day FROM (SELECT *, regexp_extract(event_ticker, '{tm.EVENT_PATTERN}', 5) AS teams,
         regexp_matches(event_ticker, '{tm.EVENT_PATTERN}') AS d0,
         TRY_CAST('20' || regexp_extract(event_ticker, '{tm.EVENT_PATTERN}', 2) || '-' || lpad(list_position({MONTHS_SQL}, regexp_extract(event_ticker, '{tm.EVENT_PATTERN}', 3))::VARCHAR, 2, '0')
@@ -44,7 +44,7 @@ def tickers(t: Tables) -> DataFrame:
     """Event tickers, one per customer; every tenth is malformed."""
     k = F.col("c_custkey")
     d = F.date_add(F.to_date(F.lit("1995-01-01")), ((k * 37) % 2400).cast("int"))
-    a, h = team_at(k % 32), team_at((k * 7 + 3) % 32)
+    a, h = team_at(k % 32), team_at((k % 32 + 1 + (k % 32 * 7) % 31) % 32)
     months = F.element_at(F.array(*[F.lit(m) for m in tm.MONTHS]), F.month(d))
     return t.customer.select(k.alias("row_id"), F.concat(
         F.lit("KXNFLGAME-"), F.date_format(d, "yy"), months, F.date_format(d, "dd"),
@@ -53,10 +53,10 @@ def tickers(t: Tables) -> DataFrame:
 
 def schedule(t: Tables) -> DataFrame:
     k = F.col("o_custkey")
-    return t.orders.filter(k % 32 != (k * 7 + 3) % 32).select(
+    return t.orders.select(
         F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("gameday"),
         F.year("o_orderdate").cast("bigint").alias("season"), team_at(k % 32).alias("away_team"),
-        team_at((k * 7 + 3) % 32).alias("home_team"),
+        team_at((k % 32 + 1 + (k % 32 * 7) % 31) % 32).alias("home_team"),
         F.when(F.col("o_orderkey") % 50 == 0, "SB").when(F.col("o_orderkey") % 50 < 3, "CON").otherwise("REG").alias("game_type"),
         "o_orderstatus")
 
