@@ -79,18 +79,32 @@ def stage(qtr: Column, gsr: Column) -> Column:
         F.format_string("Q%d", qtr.cast("bigint")))
 
 
+PAIR_SUMS = ["n", "b_mod", "b_cor", "b_mkt", "l_mod", "l_mkt"]
+
+
+def pair_stats(grid: DataFrame, groups: Sequence[str] = (), model: str = "model", market: str = "market", y: str = "y",
+               var: str | None = "var_mc", by: str = "game_id") -> DataFrame:
+    """Per group and game: rows and summed scores of both prices (the corrected Brier leaves out the
+    model's own noise)."""
+    m, k, o = F.col(model), F.col(market), F.col(y)
+    return entity_sums(
+        grid, by, groups, n=F.lit(1.0), b_mod=brier_row(m, o),
+        b_cor=brier_row(m, o) - (F.col(var) if var else F.lit(0.0)), b_mkt=brier_row(k, o),
+        l_mod=log_loss_row(m, o, PRICE_CLIP), l_mkt=log_loss_row(k, o, PRICE_CLIP))
+
+
 def paired(grid: DataFrame, groups: Sequence[str] = (), model: str = "model", market: str = "market",
            y: str = "y", var: str | None = "var_mc", by: str = "game_id", n_boot: int = 1000,
            method: str = "auto") -> DataFrame:
     """Brier and log loss of model and market on the same rows, the differences, and 90% intervals
     from resampling games."""
-    m, k, o = F.col(model), F.col(market), F.col(y)
-    stats = entity_sums(
-        grid, by, groups, n=F.lit(1.0), b_mod=brier_row(m, o),
-        b_cor=brier_row(m, o) - (F.col(var) if var else F.lit(0.0)), b_mkt=brier_row(k, o),
-        l_mod=log_loss_row(m, o, PRICE_CLIP), l_mkt=log_loss_row(k, o, PRICE_CLIP))
+    return paired_from(pair_stats(grid, groups, model, market, y, var, by), groups, by, n_boot, method)
+
+
+def paired_from(stats: DataFrame, groups: Sequence[str] = (), by: str = "game_id", n_boot: int = 1000,
+                method: str = "auto") -> DataFrame:
+    """paired, from the output of pair_stats."""
     stats, method = settle(stats, method)
-    names = ["n", "b_mod", "b_cor", "b_mkt", "l_mod", "l_mkt"]
 
     def mean(a: str, b: str | None = None) -> Column:
         return (F.sum(a) - F.sum(b)) / F.sum("n") if b else F.sum(a) / F.sum("n")
@@ -101,7 +115,7 @@ def paired(grid: DataFrame, groups: Sequence[str] = (), model: str = "model", ma
         mean("b_mkt").alias("brier_market"), mean("l_mod").alias("log_loss_model"),
         mean("l_mkt").alias("log_loss_market"), mean("b_mod", "b_mkt").alias("brier_diff"),
         mean("b_cor", "b_mkt").alias("brier_corrected_diff"), mean("l_mod", "l_mkt").alias("log_loss_diff"))
-    reps = resample(stats, by, names, n_boot, groups, method=method)
+    reps = resample(stats, by, PAIR_SUMS, n_boot, groups, method=method)
     pairs = {"brier_diff": ("b_mod", "b_mkt"), "brier_corrected_diff": ("b_cor", "b_mkt"),
              "log_loss_diff": ("l_mod", "l_mkt")}
     band = reps.groupBy(*groups).agg(*[
@@ -288,6 +302,9 @@ def rung_grid(prices: DataFrame, rungs: DataFrame, delta: Column | float, by: Se
 
 
 def rung_accuracy(grid: DataFrame, n_boot: int = 1000) -> DataFrame:
-    """Paired scores per contract kind, with the number of contracts."""
-    contracts = grid.select("kind", "ticker").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("contracts"))
-    return paired(grid, ["kind"], n_boot=n_boot).join(contracts, "kind")
+    """Paired scores per contract kind, with the number of contracts. The grid is summed once per contract;
+    scores and counts both follow from those sums."""
+    per_ticker = pair_stats(grid, ["kind", "ticker"]).persist()
+    contracts = per_ticker.select("kind", "ticker").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("contracts"))
+    stats = per_ticker.groupBy("kind", "game_id").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+    return paired_from(stats, ["kind"], n_boot=n_boot).join(contracts, "kind")
