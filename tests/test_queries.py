@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from inplay.plans.catalog import ORACLES, QUERIES
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absen
 def test_every_oracle_belongs_to_a_query():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"wp_fit", "loso_cv", "forward_test", "wp_on_events", "outcome_fit"}
+    assert set(QUERIES) - set(ORACLES) == {"wp_fit", "loso_cv", "forward_test", "wp_on_events", "outcome_fit"}
 
 
 @needs_data
