@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inplay.llm import sharding, syncmers
+from inplay.llm import packing, rans, sharding, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
 @register
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards whose counts differ by one at most; sizes and checksums travel, not texts."""
@@ -35,3 +48,10 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and their edited twins, with likenesses."""
     return syncmers.edit_check(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids through the range-coded token file."""
+    tokens = rans.token_file(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return tokens.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
