@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inplay.llm import packing, rans, sharding, syncmers
+from inplay.llm import packing, rans, sharding, suffixes, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,9 @@ def op10_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids through the range-coded token file."""
     tokens = rans.token_file(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return tokens.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+@register
+def op6_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeated 400-byte strings cover."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
