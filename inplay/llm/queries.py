@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inplay.llm import packing, rans, sharding, suffixes, syncmers
+from inplay.llm import chunks, packing, rans, sharding, suffixes, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,12 @@ def op10_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes that repeated 400-byte strings cover."""
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@register
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that came before in others (or in themselves)."""
+    out = chunks.dedupe_passages(table(spark, sf_dir, "documents"))
+    bytes_of = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), bytes_of("repeated").alias("n_repeated"), bytes_of("removed").alias("n_removed"),
+                      F.size("repeated").cast("long").alias("n_passages"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
