@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inplay.llm import chunks, packing, rans, sharding, suffixes, syncmers
+from inplay.llm import chunks, jaccard, packing, rans, sharding, suffixes, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,24 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bytes_of = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), bytes_of("repeated").alias("n_repeated"), bytes_of("removed").alias("n_removed"),
                       F.size("repeated").cast("long").alias("n_passages"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by a Jaccard similarity of 0.75 or more on five-word n-grams."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("set_id")
+
+
+ORACLES["op8_jaccard_join"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
