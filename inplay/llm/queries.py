@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inplay.llm import chunks, jaccard, packing, rans, sharding, suffixes, syncmers
+from inplay.llm import chunks, decontaminate, jaccard, packing, quality, rans, sharding, suffixes, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,27 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
+
+
+@register
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a passage of a benchmark item, with the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def remainder(column: str, parts: int):
+    """crc32 of the id as text, modulo `parts` (a null id counts as an empty text)."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def quality_machine(docs: DataFrame, labels: DataFrame) -> quality.Machine:
+    """A machine that has seen the labels of four fifths of the ids."""
+    return quality.train(docs.select("doc_id", "text"), labels.filter(remainder("doc_id", 5) != 0))
+
+
+@register
+def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a quality score; labels of one fifth of the ids are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_machine(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
