@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inplay.llm import chunks, decontaminate, jaccard, packing, quality, rans, sharding, suffixes, syncmers
+from inplay.llm import chunks, decontaminate, jaccard, mixing, packing, quality, rans, sharding, suffixes, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,10 @@ def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality_machine(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of nine tenths of them."""
+    out = mixing.score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
