@@ -148,10 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, rank: int = 8,
 
 
 def score(docs: DataFrame, machine: Machine, metadata: Sequence[str] = ()) -> DataFrame:
-    """Every row of `docs` with `score` double (0 to 1); its other columns pass through. Null text is empty; an empty
-    text is scored by its statistics. No shuffle; a text is read once, in time linear in its words."""
-    if "score" in {c.lower() for c in docs.columns}:
-        raise ValueError("column score exists already")
+    """Every row of `docs` with `score` double (0 to 1); its other columns pass through, a former `score` gives way.
+    Null text is empty; an empty text is scored by its statistics. No shuffle; a text is read once, in time linear in
+    its words."""
+    docs = docs.drop("score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

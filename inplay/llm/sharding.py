@@ -73,12 +73,10 @@ def hypergeometric_shards(df: DataFrame, shards: int = 8, seed: int = 0, max_sou
     where; (4) rows are exchanged by shard and block and permuted again. A shard is numbered in blocks of
     about `block_rows` rows, so that no task holds a whole shard.
 
-    What rows hold decides nothing, so repeated rows, null ids and hot keys spread like others; columns of
-    any name pass through, but `shard` and `slot` must not exist. An empty table gives an empty result.
-    `seed` and the layout of the input fix the result."""
-    clash = {"shard", "slot"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    What rows hold decides nothing, so repeated rows, null ids and hot keys spread like others. Columns of any
+    name pass through; former columns `shard` and `slot` give way to the new ones. An empty table gives an empty
+    result. `seed` and the layout of the input fix the result."""
+    df = df.drop("shard", "slot")
     # Working columns lie in one struct beside the row, so no name of the input can meet theirs.
     placed = keep(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row") if df.columns else F.struct(F.lit(1)).alias("row"),
                             F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "placed")
