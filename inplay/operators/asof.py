@@ -12,7 +12,7 @@ from inplay.operators.scan import bfill, ffill, numeric_key, running_max, scan
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
               direction: str = "backward", tie: str | None = None, exact: bool = True,
               tolerance: float | None = None, columns: Sequence[str] | None = None,
-              hot: DataFrame | None = None) -> DataFrame:
+              hot: DataFrame | None = None, suffix: str | None = None) -> DataFrame:
     """left with the columns of the nearest right row at or before (backward) or at or after
     (forward) its key, per entity; nulls where there is none.
 
@@ -20,10 +20,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
                backward, lowest forward)
     exact      whether an equal key matches
     tolerance  largest key distance (seconds for timestamps)
+    suffix     added to right columns whose names the left has; without one such columns are an error
     """
     by = list(by)
     columns = list(columns or [c for c in right.columns if c not in by])
-    taken = [c for c in columns if c not in left.columns]
+    clash = [c for c in columns if c in left.columns]
+    if clash and suffix is None:
+        raise ValueError(f"both sides have columns {clash}: pick `columns`, rename, or give a suffix")
+    right = right.withColumns({f"{c}{suffix}": F.col(c) for c in clash})
+    taken = [f"{c}{suffix}" if c in clash else c for c in columns]
     forward = direction == "forward"
     # among equal keys the right row must come before the left row to match backward,
     # after it to match forward

@@ -12,7 +12,7 @@ from inplay.functions.hashing import id_key, poisson_weight, uniform
 from inplay.operators.onerow import with_row
 
 SEED = 2013  # fixed value
-EXACT_LIMIT = 100_000  # entities up to which draws are made exactly
+BUCKETS = 64  # shares in which entities are numbered for exact draws
 
 
 def entity_sums(df: DataFrame, by: str, groups: Sequence[str] = (), **sums: Column) -> DataFrame:
@@ -20,19 +20,16 @@ def entity_sums(df: DataFrame, by: str, groups: Sequence[str] = (), **sums: Colu
     return df.groupBy(*groups, by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
-def settle(stats: DataFrame, method: str) -> tuple[DataFrame, str]:
-    """Keep the per-entity sums (they are read several times) and pick the method by their number."""
-    if method == "auto":
-        stats = stats.persist()
-        method = "multinomial" if stats.count() <= EXACT_LIMIT else "poisson"
-    return stats, method
-
-
 def _numbered(stats: DataFrame, by: str, groups: Sequence[str]) -> DataFrame:
-    """Entities numbered 1..G within their group, with G (at most EXACT_LIMIT rows in all)."""
+    """Entities numbered 1..G within their group, with G. They are numbered in BUCKETS shares of the key;
+    a share's first number is the sum of the shares before it, BUCKETS rows a group."""
+    key = id_key(F.col(by), isinstance(stats.schema[by].dataType, NumericType))
+    stats = stats.withColumn("__b", F.pmod(key, F.lit(BUCKETS)))
+    sizes = stats.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__k"))
     part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    return stats.withColumns({"__i": F.row_number().over(part.orderBy(by)).cast("bigint"),
-                              "__g": F.count(F.lit(1)).over(part)})
+    sizes = sizes.withColumns({"__before": F.sum("__k").over(part.orderBy("__b")) - F.col("__k"), "__g": F.sum("__k").over(part)}).drop("__k")
+    place = F.row_number().over(Window.partitionBy(*groups, "__b").orderBy(by))
+    return stats.join(sizes, [*groups, "__b"]).withColumn("__i", (F.col("__before") + place).cast("bigint")).drop("__b", "__before")
 
 
 def _reps(n_boot: int) -> Column:
@@ -53,27 +50,28 @@ def _poisson(stats: DataFrame, by: str, n_boot: int, seed: int) -> DataFrame:
 
 
 def resample(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups: Sequence[str] = (),
-             seed: int = SEED, method: str = "auto") -> DataFrame:
+             seed: int = SEED, method: str = "poisson") -> DataFrame:
     """Weighted sums per replicate: (groups, rep, sums...).
 
+    poisson      an independent Poisson(1) count per entity from its id and the replicate's number, made where
+                 the entity lies: no draw table, no join, only partial sums are shuffled, and every group and
+                 statistic meets the same draws
     multinomial  every replicate draws as many entities as the group has, with replacement
-    poisson      an independent Poisson(1) count per entity, made where the entity lies: no draw
-                 table, no join, and only partial sums are shuffled
-    auto         multinomial up to EXACT_LIMIT rows of stats, poisson beyond
     """
     groups = list(groups)
-    stats, method = settle(stats, method)
     if method == "poisson":
         weighted = _poisson(stats, by, n_boot, seed)
-    else:
+    elif method == "multinomial":
         numbered = _numbered(stats, by, groups)
         weighted = _draws(numbered, groups, n_boot, seed).join(numbered.select(*groups, "__i", *sums), [*groups, "__i"])
+    else:
+        raise ValueError(f"no method {method}")
     return weighted.groupBy(*groups, "rep").agg(*[F.sum(F.col(s) * F.col("__w")).alias(s) for s in sums])
 
 
-def weights(rows: DataFrame, by: str, n_boot: int, seed: int = SEED, method: str = "auto") -> DataFrame:
+def weights(rows: DataFrame, by: str, n_boot: int, seed: int = SEED, method: str = "poisson") -> DataFrame:
     """(rep, entity, w): how often each replicate draws each entity (drawn entities only)."""
-    ids, method = settle(rows.select(by).distinct(), method)
+    ids = rows.select(by).distinct()
     if method == "poisson":
         return _poisson(ids, by, n_boot, seed).select("rep", by, F.col("__w").alias("w"))
     numbered = _numbered(ids, by, [])
@@ -92,11 +90,10 @@ def spread(replicates: DataFrame, groups: Sequence[str] = (), **stats: Column) -
 
 def interval(df: DataFrame, value: Column, by: str = "game_id", groups: Sequence[str] = (),
              weight: Column | None = None, n_boot: int = 1000, seed: int = SEED,
-             method: str = "auto") -> DataFrame:
+             method: str = "poisson") -> DataFrame:
     """Weighted mean of value with a 90% interval from resampling entities: mean, p05, p95, rows, games."""
     w = F.lit(1.0) if weight is None else weight
-    stats, method = settle(entity_sums(df, by, groups, sw=w.cast("double"), sx=(w * value).cast("double"),
-                                        n=F.lit(1)), method)
+    stats = entity_sums(df, by, groups, sw=w.cast("double"), sx=(w * value).cast("double"), n=F.lit(1))
     total = stats.groupBy(*groups).agg((F.sum("sx") / F.sum("sw")).alias("mean"), F.sum("n").alias("rows"),
                                        F.count(F.lit(1)).alias("games"))
     draws = resample(stats, by, ["sw", "sx"], n_boot, groups, seed, method)

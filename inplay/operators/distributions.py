@@ -292,21 +292,30 @@ def at_least(p: Column, k: Column) -> Column:
     return F.aggregate(F.transform(dist, lambda v, i: F.when(i >= k, v).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
 
 
-def tail_by_group(df: DataFrame, by: Sequence[str], p: Column, k: int, out: str) -> DataFrame:
-    """P(at least k successes) per group of any size, for a small fixed k: chances reduce to the sum of
-    log misses and k - 1 power sums of the odds, from which the probabilities of 0..k-1 follow. Sure
-    successes are counted apart."""
-    sure = p >= 1
-    odds = F.when(~sure, p / (1 - p))
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(sure).alias("__sure"), F.sum(F.when(~sure, F.log(1 - p))).alias("__miss"),
-            *[F.sum(F.pow(odds, F.lit(m))).alias(f"__s{m}") for m in range(1, k)]]
-    g = df.groupBy(*by).agg(*aggs)
-    e = [F.lit(1.0)]
-    for j in range(1, k):
-        terms = [F.lit(float((-1) ** (m - 1))) * e[j - m] * F.coalesce(f"__s{m}", F.lit(0.0)) for m in range(1, j + 1)]
-        e.append(sum(terms[1:], terms[0]) / j)
-    none = F.exp(F.coalesce("__miss", F.lit(0.0)))
-    below = F.lit(0.0)
-    for j in range(k):
-        below = below + F.when(F.col("__sure") + j < k, none * e[j]).otherwise(0.0)
-    return g.select(*by, "n", (1 - below).alias(out))
+def _merged(a: Column, b: Column, k: Column) -> Column:
+    """The law of a sum from two laws of counts 0..k-1 and `k or more` (the last cell)."""
+    low = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.aggregate(
+        F.sequence(F.lit(0), j), F.lit(0.0), lambda t, i: t + F.get(a, i) * F.get(b, j - i)))
+    low = F.when(k > 0, low).otherwise(F.array().cast("array<double>"))
+    return F.concat(low, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(low, F.lit(0.0), lambda t, v: t + v))))
+
+
+def tail_by_group(df: DataFrame, by: Sequence[str], p: Column, k: int | Column, out: str, slices: int = 16) -> DataFrame:
+    """P(at least k successes) per group, for chances p of independent trials: by, n, k, out. `k` is a number or an
+    aggregate of the group (its observed successes, say); null chances are no trials.
+
+    Each group is dealt into `slices` shares; a share's trials fold, one by one, into the law of their count cut off
+    at k, of non-negative terms only, and the shares' laws are multiplied together."""
+    k = F.lit(k) if isinstance(k, int) else k
+    share = F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int")
+    parts = df.groupBy(*by, share.alias("__s")).agg(F.collect_list(p.cast("double")).alias("__p"))
+    size = df.groupBy(*by).agg(F.count(p).alias("n"), F.greatest(F.lit(0), k).cast("int").alias("k"))
+    law = F.aggregate(
+        "__p", F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: (i == 0).cast("double")),
+        lambda d, x: F.transform(d, lambda v, i: F.when(i < F.col("k"), v * (1 - x)).otherwise(v) + F.when(i > 0, F.get(d, i - 1)).otherwise(0.0) * x))
+    keys = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    laws = parts.join(size.withColumnsRenamed({c: f"__{c}" for c in by}), keys).select(*by, "n", "k", law.alias("__law"))
+    sure = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: (i == 0).cast("double"))
+    whole = laws.groupBy(*by, "n", "k").agg(F.collect_list("__law").alias("__laws"))  # `slices` laws at most
+    whole = whole.withColumn("__law", F.aggregate("__laws", sure, lambda a, b: _merged(a, b, F.col("k"))))
+    return whole.select(*by, "n", "k", F.element_at("__law", -1).alias(out))

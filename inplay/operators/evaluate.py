@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inplay.operators.asof import asof_join, asof_many, reviews, seconds, with_known_time
-from inplay.operators.bootstrap import entity_sums, resample, settle
+from inplay.operators.bootstrap import entity_sums, resample
 from inplay.operators.metrics import PRICE_CLIP, brier_row, log_loss_row
 from inplay.operators.scan import lag, scan
 from inplay.operators.onerow import with_row
@@ -95,16 +95,15 @@ def pair_stats(grid: DataFrame, groups: Sequence[str] = (), model: str = "model"
 
 def paired(grid: DataFrame, groups: Sequence[str] = (), model: str = "model", market: str = "market",
            y: str = "y", var: str | None = "var_mc", by: str = "game_id", n_boot: int = 1000,
-           method: str = "auto") -> DataFrame:
+           method: str = "poisson") -> DataFrame:
     """Brier and log loss of model and market on the same rows, the differences, and 90% intervals
     from resampling games."""
     return paired_from(pair_stats(grid, groups, model, market, y, var, by), groups, by, n_boot, method)
 
 
 def paired_from(stats: DataFrame, groups: Sequence[str] = (), by: str = "game_id", n_boot: int = 1000,
-                method: str = "auto") -> DataFrame:
+                method: str = "poisson") -> DataFrame:
     """paired, from the output of pair_stats."""
-    stats, method = settle(stats, method)
 
     def mean(a: str, b: str | None = None) -> Column:
         return (F.sum(a) - F.sum(b)) / F.sum("n") if b else F.sum(a) / F.sum("n")
@@ -170,7 +169,7 @@ def solve3(n, sx, sc, sxx, sxc, scc, sy, sxy, scy) -> tuple[Column, Column, Colu
 
 
 def info_test(pairs: DataFrame, k: int, by: str = "game_id", n_boot: int = 500,
-              method: str = "auto") -> DataFrame:
+              method: str = "poisson") -> DataFrame:
     """Does the market move toward the model over the next k minutes, and the model toward the market?
     Slope on the gap, controlling for the own last-minute move, with a 90% interval."""
     m, p = F.col("market"), F.col("model")
@@ -180,7 +179,6 @@ def info_test(pairs: DataFrame, k: int, by: str = "game_id", n_boot: int = 500,
         F.struct(F.lit("model_toward_market").alias("direction"), (F.col("p_fut") - p).alias("y"),
                  (m - p).alias("x"), (F.col("p_past") - p).alias("c"), (p - m).alias("gap")))).alias("r")).select(by, "r.*")
     stats = moments(both, F.col("y"), F.col("x"), F.col("c"), by, ["direction"])
-    stats, method = settle(stats, method)
     cols = [F.col(c) for c in MOMENTS]
     full = stats.groupBy("direction").agg(*[F.sum(c).alias(c) for c in MOMENTS])
     _, bx, bc = solve3(*cols)
@@ -222,9 +220,9 @@ def event_curve(paths: DataFrame, n_boot: int = 500, by: str = "game_id") -> Dat
     """Mean share of the move in the price per tau with bootstrap bands, nulls (no trade yet) skipped."""
     share = (F.col("px") - F.col("base")) / F.col("dp")
     ok = paths.withColumn("share", share).filter(F.col("share").isNotNull())
-    stats, method = settle(entity_sums(ok, by, ["tau"], n=F.lit(1.0), s=F.col("share")), "auto")
+    stats = entity_sums(ok, by, ["tau"], n=F.lit(1.0), s=F.col("share"))
     mean = stats.groupBy("tau").agg((F.sum("s") / F.sum("n")).alias("share"), F.sum("n").cast("bigint").alias("moves"))
-    band = resample(stats, by, ["n", "s"], n_boot, ["tau"], method=method).withColumn("m", F.col("s") / F.col("n")).groupBy("tau").agg(
+    band = resample(stats, by, ["n", "s"], n_boot, ["tau"]).withColumn("m", F.col("s") / F.col("n")).groupBy("tau").agg(
         F.percentile("m", F.lit(0.05)).alias("p05"), F.percentile("m", F.lit(0.95)).alias("p95"))
     return mean.join(band, "tau")
 
@@ -238,12 +236,11 @@ def delay_table(paths: DataFrame, n_boot: int = 500, by: str = "game_id") -> Dat
     ok = paths.filter(px.isNotNull())
     stats = entity_sums(ok, by, ["tau"], n=F.lit(1.0), share=share, left=(1 - share) * F.abs(dp), pnl=pnl,
                         net=pnl - TAKER_FEE * px * (1 - px))
-    stats, method = settle(stats, "auto")
     names = ["left", "pnl", "net"]
     mean = stats.groupBy("tau").agg(F.sum("n").cast("bigint").alias("moves"),
                                     (F.sum("share") / F.sum("n")).alias("share"),
                                     *[(F.sum(c) / F.sum("n") * 100).alias(f"{c}_cents") for c in names])
-    reps = resample(stats, by, ["n", *names], n_boot, ["tau"], method=method)
+    reps = resample(stats, by, ["n", *names], n_boot, ["tau"])
     band = reps.groupBy("tau").agg(*[
         (F.percentile(F.col(c) / F.col("n"), F.lit(q)) * 100).alias(f"{c}_{tag}")
         for c in names for tag, q in (("p05", 0.05), ("p95", 0.95))])

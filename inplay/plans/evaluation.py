@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from inplay.functions.hashing import uniform_sql
 from inplay.operators import bootstrap as bs, evaluate as ev, metrics as mt
 from inplay.operators.asof import asof_join, model_asof, outside_intervals, reviews, seconds
 from inplay.plans.registry import query
 from inplay.plans.roles import Tables, r6, us
-from inplay.plans.sqlkit import (N_BOOT, STAGE, boot_ctes, brier, cols6, interval_sql, log_loss, mc_var, paired_sql,
+from inplay.plans.sqlkit import (N_BOOT, STAGE, boot_ctes, brier, cols6, interval_sql, log_loss, mc_var, paired_sql, weight_ctes,
                                  q05, q95)
 from inplay.operators.onerow import with_row
 
@@ -190,18 +189,15 @@ def metric_summary(t: Tables):
 # ------------------------------------------------------------------ bootstrap
 
 
-@query("boot_weights", f"""WITH st AS (SELECT DISTINCT game_id FROM ev),
-    num AS (SELECT game_id, row_number() OVER (ORDER BY game_id) AS i, count(*) OVER () AS g FROM st)
-    SELECT rep, n2.game_id, count(*) AS w FROM (SELECT rep, CAST(floor({uniform_sql(2013, 'i', 'rep')} * g) AS BIGINT) + 1 AS j
-    FROM num, range(20) r(rep)) d JOIN num n2 ON n2.i = d.j GROUP BY rep, n2.game_id""")
+@query("boot_weights", f"""WITH st AS (SELECT DISTINCT game_id FROM ev), {weight_ctes('st')} SELECT * FROM wt""")
 def boot_weights(t: Tables):
-    return bs.weights(t.ev, "game_id", 20).select(F.col("rep").cast("bigint").alias("rep"), "game_id", "w")
+    return bs.weights(t.ev, "game_id", N_BOOT).select(F.col("rep").cast("bigint").alias("rep"), "game_id", "w")
 
 
 BOOT_STATS = "SELECT game_id, count(*)::DOUBLE AS n, sum(value) AS sx FROM ev GROUP BY game_id"
 
 
-@query("boot_spread", f"""WITH st AS ({BOOT_STATS}), {boot_ctes('st', [], ['n', 'sx'], prefix='a_')},
+@query("boot_spread", f"""WITH st AS ({BOOT_STATS}), {boot_ctes('st', [], ['n', 'sx'], prefix='a_', method='multinomial')},
     {boot_ctes('st', [], ['n', 'sx'], prefix='b_', method='poisson')}
     SELECT 'multinomial' AS method, round(stddev_samp(sx/n), 6) AS m_sd, round(avg(sx/n), 6) AS m_mean,
       round({q05('sx/n')}, 6) AS m_p05, round({q95('sx/n')}, 6) AS m_p95 FROM a_reps
@@ -231,11 +227,10 @@ def boot_paired(t: Tables):
     stats = bs.entity_sums(g, "game_id", n=F.lit(1.0), ba=mt.brier_row(F.col("model"), y),
                            bb=mt.brier_row(F.col("market"), y), la=mt.log_loss_row(F.col("model"), y),
                            lb=mt.log_loss_row(F.col("market"), y))
-    stats, method = bs.settle(stats, "auto")
     d = {"brier": (F.col("ba") - F.col("bb")) / F.col("n"), "log_loss": (F.col("la") - F.col("lb")) / F.col("n")}
     tot = stats.agg(((F.sum("ba") - F.sum("bb")) / F.sum("n")).alias("brier_diff"),
                     ((F.sum("la") - F.sum("lb")) / F.sum("n")).alias("log_loss_diff"))
-    reps = bs.resample(stats, "game_id", ["n", "ba", "bb", "la", "lb"], N_BOOT, method=method)
+    reps = bs.resample(stats, "game_id", ["n", "ba", "bb", "la", "lb"], N_BOOT)
     band = bs.spread(reps, **d).drop("brier_sd", "brier_mean", "log_loss_sd", "log_loss_mean")
     out = tot.transform(with_row, band)
     return rounded(out, out.columns)
@@ -250,9 +245,7 @@ CALIB_CELLS = """SELECT game_id, least(qtr, 4) AS q, who, round_even(p/0.05, 0)*
     tot AS (SELECT who, sum(err*w)/sum(w) AS e FROM (SELECT who, q, sum(abs(bin - wins/n)*n)/sum(n) AS err, sum(wins) AS w
       FROM (SELECT who, q, bin, sum(n) AS n, sum(wins) AS wins FROM cells GROUP BY ALL) GROUP BY ALL) GROUP BY who),
     gm AS (SELECT DISTINCT game_id FROM cells),
-    num AS (SELECT game_id, row_number() OVER (ORDER BY game_id) AS i, count(*) OVER () AS g FROM gm),
-    wt AS (SELECT rep, n2.game_id, count(*) AS w FROM (SELECT rep, CAST(floor({uniform_sql(2013, 'i', 'rep')} * g) AS BIGINT) + 1 AS j
-      FROM num, range({N_BOOT}) r(rep)) d JOIN num n2 ON n2.i = d.j GROUP BY rep, n2.game_id),
+    {weight_ctes('gm')},
     rc AS (SELECT rep, who, q, bin, sum(w*n) AS n, sum(w*wins) AS wins FROM cells JOIN wt USING (game_id) GROUP BY ALL),
     re AS (SELECT rep, who, sum(err*w)/sum(w) AS e FROM (SELECT rep, who, q, sum(abs(bin - wins/n)*n)/sum(n) AS err, sum(wins) AS w
       FROM rc GROUP BY ALL) GROUP BY ALL),

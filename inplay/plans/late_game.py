@@ -223,15 +223,17 @@ def pattern_then(t: Tables):
     return lt.pattern_then(t.play_rows.filter("posteam IS NOT NULL"), (F.col("play_type") == "punt") & (F.col("qtr") >= 2), F.col("play_type") == "run")
 
 
-@query("poisson_binomial", """WITH RECURSIVE p AS (SELECT l_orderkey AS k, l_quantity/(l_quantity + 7.3::DOUBLE) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS i FROM lineitem),
-    d AS (SELECT k, 0 AS i, 0 AS h, 1.0::DOUBLE AS m FROM (SELECT DISTINCT k FROM p) UNION ALL
-      SELECT d.k, d.i + 1, d.h + x.x, d.m * CASE WHEN x.x = 1 THEN p.p ELSE 1 - p.p END FROM d JOIN p ON p.k = d.k AND p.i = d.i + 1, (VALUES (0), (1)) x(x)),
-    n AS (SELECT k, max(i) AS n FROM p GROUP BY k) SELECT d.k, n.n, round(sum(CASE WHEN h >= 2 THEN m ELSE 0 END), 9) AS p_two FROM d JOIN n ON n.k = d.k AND d.i = n.n GROUP BY d.k, n.n""")
+@query("poisson_binomial", """WITH RECURSIVE p AS (SELECT l_orderkey AS g, l_quantity/(l_quantity + 7.3::DOUBLE) AS p, l_returnflag = 'R' AS hit,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS i FROM lineitem),
+    d AS (SELECT g, 0 AS i, 0 AS h, 1.0::DOUBLE AS m FROM (SELECT DISTINCT g FROM p) UNION ALL
+      SELECT d.g, d.i + 1, d.h + x.x, d.m * CASE WHEN x.x = 1 THEN p.p ELSE 1 - p.p END FROM d JOIN p ON p.g = d.g AND p.i = d.i + 1, (VALUES (0), (1)) x(x)),
+    n AS (SELECT g, max(i) AS n, count(*) FILTER (WHERE hit) AS k FROM p GROUP BY g)
+    SELECT d.g, n.n, n.k::INT AS k, round(sum(CASE WHEN h >= k THEN m ELSE 0 END), 9) AS p_as_many FROM d JOIN n ON n.g = d.g AND d.i = n.n GROUP BY d.g, n.n, n.k""")
 def poisson_binomial(t: Tables):
-    """P(at least two returns) per order from its lines' chances."""
+    """P(as many returns as there were, or more) per order from its lines' chances."""
     chance = F.col("l_quantity") / (F.col("l_quantity") + 7.3)
-    p = ds.tail_by_group(t.lineitem.withColumnRenamed("l_orderkey", "k"), ["k"], chance, 2, "p_two")
-    return p.withColumn("p_two", F.round("p_two", 9))
+    p = ds.tail_by_group(t.lineitem.withColumnRenamed("l_orderkey", "g"), ["g"], chance, F.count_if(F.col("l_returnflag") == "R"), "p_as_many")
+    return p.withColumn("p_as_many", F.round("p_as_many", 9))
 
 
 @query("cond_median", """SELECT l_returnflag AS flag, count(*) AS snaps, count(DISTINCT l_orderkey) AS games, round(median(l_extendedprice), 4) AS price_median, min(l_extendedprice) AS price_min FROM lineitem WHERE l_quantity <= 10 GROUP BY flag""")

@@ -15,8 +15,12 @@ from inplay.streaming import live as lv
 
 
 def shared_dir(spark) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-live-")
+    """The cluster's shared folder. Only a local session, whose driver and executors are one machine, may go
+    without it and gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-live-")
 
 
 def finish(t: Tables, stream: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from inplay.plans.evaluation import rounded
 from inplay.plans.late_game import lt
 from inplay.plans.registry import ROLE_SQL, query
 from inplay.plans.roles import Tables, r6
-from inplay.plans.sqlkit import N_BOOT, brier, cols6, interval_sql, log_loss
+from inplay.plans.sqlkit import N_BOOT, brier, cols6, interval_sql, log_loss, weight_ctes
 from inplay.operators import bootstrap as bs
 from inplay.operators.onerow import with_row
 
@@ -48,8 +48,7 @@ def forward_test(t: Tables):
     both = ours.withColumn("external", F.lit(0.5) + (F.col("seq") % 40 - 20) / 100)
     y = F.col("label").cast("double")
     st = bs.entity_sums(both, "game_id", n=F.lit(1.0), a=(F.col("wp") - y) ** 2, b=(F.col("external") - y) ** 2)
-    st, method = bs.settle(st, "auto")
-    reps = bs.resample(st, "game_id", ["n", "a", "b"], N_BOOT, method=method)
+    reps = bs.resample(st, "game_id", ["n", "a", "b"], N_BOOT)
     full = st.agg(F.sum("n").alias("rows"), (F.sum("a") / F.sum("n")).alias("brier_ours"), (F.sum("b") / F.sum("n")).alias("brier_external"))
     return full.transform(with_row, bs.spread(reps, diff=(F.col("a") - F.col("b")) / F.col("n")))
 
@@ -116,8 +115,7 @@ ERR = "SELECT {g2} sum(err*wins)/sum(wins) AS e FROM (SELECT {g} qtr, sum(abs(b*
 
 @query("cv_report", f"""WITH gc AS (SELECT game_id, season, qtr, round_even(wp/0.05, 0) AS b, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS wins FROM cv GROUP BY ALL),
     al AS ({ERR.format(g='', g2='', cells=CELL.format(g='', src='gc'), by='')}), se AS ({ERR.format(g='season,', g2='season,', cells=CELL.format(g='season,', src='gc'), by='GROUP BY season')}),
-    num AS (SELECT game_id, row_number() OVER (ORDER BY game_id) AS i, count(*) OVER () AS g FROM (SELECT DISTINCT game_id FROM gc)),
-    wt AS (SELECT rep, n2.game_id, count(*) AS w FROM (SELECT rep, CAST(floor({uniform_sql(2013, 'i', 'rep')} * g) AS BIGINT) + 1 AS j FROM num, range({N_BOOT}) r(rep)) d JOIN num n2 ON n2.i = d.j GROUP BY rep, n2.game_id),
+    gm AS (SELECT DISTINCT game_id FROM gc), {weight_ctes('gm')},
     wc AS (SELECT rep, qtr, b, n*w AS n, wins*w AS wins FROM gc JOIN wt USING (game_id)), re AS ({ERR.format(g='rep,', g2='rep,', cells=CELL.format(g='rep,', src='wc'), by='GROUP BY rep')})
     SELECT round((SELECT e FROM al), 6) AS calibration_error, round(avg({log_loss('wp', 'label', '1e-15')}), 6) AS log_loss, round(avg({brier('wp', 'label')}), 6) AS brier,
     round(avg(CASE WHEN (wp > 0.5) <> (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS error_rate, count(*) AS n, round((SELECT stddev_samp(e) FROM re), 6) AS calibration_error_sd,

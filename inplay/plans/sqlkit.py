@@ -3,30 +3,36 @@
 from __future__ import annotations
 
 from inplay.functions.hashing import poisson_sql, uniform_sql
-from inplay.operators.bootstrap import SEED
+from inplay.operators.bootstrap import BUCKETS, SEED
 from inplay.plans.registry import ROLE_SQL
 
-N_BOOT = 100
+N_BOOT = 1000
 
 
 def boot_ctes(stats: str, groups: list[str], sums: list[str], n_boot: int = N_BOOT, by: str = "game_id",
-              prefix: str = "", seed: int = SEED, method: str = "multinomial") -> str:
+              prefix: str = "", seed: int = SEED, method: str = "poisson") -> str:
     """CTEs ending in {prefix}reps(groups, rep, sums): resampled entity sums of table `stats`."""
     g = "".join(f"{c}, " for c in groups)
     part = f"PARTITION BY {', '.join(groups)} " if groups else ""
+    order = f"{by} % {BUCKETS}, {by}"
     weighted = ", ".join(f"sum({s} * w) AS {s}" for s in sums)
     if method == "poisson":
         w = poisson_sql(uniform_sql(seed, by, "rep"))
         return f"""{prefix}reps AS (SELECT {g}rep, {weighted} FROM (
             SELECT s.*, rep, {w} AS w FROM {stats} s, range({n_boot}) r(rep)) WHERE w > 0 GROUP BY {g}rep)"""
     using = ", ".join([*groups, "i"])
-    return f"""{prefix}num AS (SELECT *, row_number() OVER ({part}ORDER BY {by}) AS i,
+    return f"""{prefix}num AS (SELECT *, row_number() OVER ({part}ORDER BY {order}) AS i,
             count(*) OVER ({part.strip()}) AS g FROM {stats}),
         {prefix}draws AS (SELECT {g}rep, CAST(floor({uniform_sql(seed, 'i', 'rep')} * g) AS BIGINT) + 1 AS i, count(*) AS w
             FROM {prefix}num, range({n_boot}) r(rep) GROUP BY ALL),
         {prefix}reps AS (SELECT {g}rep, {weighted} FROM {prefix}draws JOIN {prefix}num USING ({using}) GROUP BY {g}rep)"""
 
 
+def weight_ctes(games: str, n_boot: int = N_BOOT, by: str = "game_id", seed: int = SEED) -> str:
+    """CTE wt(rep, game_id, w) of the drawn rows of table `games`."""
+    return f"""wt AS (SELECT rep, {by}, w FROM (SELECT {by}, rep, {poisson_sql(uniform_sql(seed, by, 'rep'))} AS w FROM {games}, range({n_boot}) r(rep)) WHERE w > 0)"""
+
+
 def q05(x: str) -> str:
     return f"quantile_cont({x}, 0.05)"
 

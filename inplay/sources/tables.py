@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StringType, StructType
 
@@ -70,13 +71,16 @@ def season_path(root: str, name: str, season: int) -> str:
 
 def missing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """Paths that do not exist, on whatever file system they name."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    out = []
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if not path.getFileSystem(conf).exists(path):
-            out.append(p)
-    return out
+    def absent(path: str) -> bool:
+        try:
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).schema
+            return False
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return True
+
+    return [p for p in paths if absent(p)]
 
 
 def load_seasons(spark: SparkSession, root: str, name: str, seasons: Sequence[int],
@@ -137,8 +141,15 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def consolidate(spark: SparkSession, pattern: str, out: str, drop: Sequence[str] = ()) -> None:
-    """Files of finished games (a glob) to one table, without the listed columns."""
-    spark.read.option("mergeSchema", "true").parquet(pattern).drop(*drop).write.mode("overwrite").parquet(out)
+    """Files of finished games (a glob) to one table, without the listed columns. Column types may drift from file
+    to file: files are grouped by their own schema, read group by group, and united by supertypes."""
+    files = [r["path"] for r in spark.read.format("binaryFile").load(pattern).select("path").toLocalIterator()]
+    if not files:
+        raise FileNotFoundError(pattern)
+    groups: dict[str, list[str]] = {}
+    for f in files:
+        groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
+    union_relaxed([spark.read.parquet(*g) for _, g in sorted(groups.items())]).drop(*drop).write.mode("overwrite").parquet(out)
 
 
 # ------------------------------------------------------------------ price log and reports
@@ -152,11 +163,15 @@ def write_price_log(df: DataFrame, path: str, parts_per_game: int = 1) -> None:
         "partitionOverwriteMode", "dynamic").partitionBy("game_id").parquet(path)
 
 
-def load_price_log(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+def load_price_log(spark: SparkSession, path: str, columns: Sequence[str] | None = None, key: str = "STRING") -> DataFrame:
+    """The log with its declared types (game ids are text, so 007 stays 007), in the order of game and event."""
+    from inplay.operators.replay import LOG_SCHEMA
+
+    held = {f.name for f in spark.read.parquet(path).schema.fields}
+    df = spark.read.schema(StructType([f for f in schema_of(LOG_SCHEMA.format(key=key)).fields if f.name in held])).parquet(path)
     if columns:
         df = df.select(*dict.fromkeys(["game_id", "order", *columns]))
-    return df
+    return df.orderBy("game_id", "order")
 
 
 def todo(df: DataFrame, done: DataFrame, key: str = "game_id") -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructField, StructType
 
 from inplay.operators.quotes import bars
 from inplay.operators.replay import DEFAULT_END_BOUND_S, MAX_PLAY_SECONDS, PENALTY, PENALTY_LAG_S, REVIEW, REVIEW_LAG_S
@@ -266,6 +267,8 @@ def price_log_sink(stream: DataFrame, path: str, checkpoint: str, trigger: dict
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def load_live_log(spark, path: str) -> DataFrame:
-    """The log as written by price_log_sink, each (game, order) once, from its last batch."""
-    return dedupe_last(spark.read.parquet(path), ["game_id", "order"], ["batch"]).drop("batch")
+def load_live_log(spark, path: str, key: str = "STRING") -> DataFrame:
+    """The log as written by price_log_sink, each (game, order) once, from its last batch. Game ids are read as
+    `key`, not guessed from folder names."""
+    fields = [f if f.name != "game_id" else StructField("game_id", StructType.fromDDL(f"g {key}")[0].dataType) for f in spark.read.parquet(path).schema.fields]
+    return dedupe_last(spark.read.schema(StructType(fields)).parquet(path), ["game_id", "order"], ["batch"]).drop("batch")

@@ -96,3 +96,12 @@ def test_asof_has_no_nested_loop(spark):
     left = spark.range(10).select(F.col("id").alias("g"), F.col("id").alias("t"))
     plan = asof_join(left, left.select("g", F.col("t").alias("k"), F.lit(1).alias("v")), ["g"], "t", "k")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_asof_names_clashing_columns(spark):
+    left = spark.createDataFrame([("a", 5, "l")], "g string, t int, kind string")
+    right = spark.createDataFrame([("a", 3, "r")], "g string, k int, kind string")
+    with pytest.raises(ValueError, match="kind"):
+        asof_join(left, right, ["g"], "t", "k")
+    r = asof_join(left, right, ["g"], "t", "k", suffix="_right").collect()[0]
+    assert (r.kind, r.kind_right, r.k) == ("l", "r", 3)

@@ -39,6 +39,21 @@ def test_price_log_is_idempotent_and_resumable(spark, tmp_path):
     assert [r.game_id for r in left.collect()] == ["C"]
 
 
+def test_price_log_keeps_text_ids_and_order(spark, tmp_path):
+    path = str(tmp_path / "log")
+    tb.write_price_log(spark.createDataFrame([("012", 1, 0.4), ("007", 2, 0.6), ("007", 1, 0.5)], "game_id string, order int, p_home double"), path)
+    assert [(r.game_id, r.order) for r in tb.load_price_log(spark, path).collect()] == [("007", 1), ("007", 2), ("012", 1)]
+
+
+def test_consolidation_widens_drifting_types(spark, tmp_path):
+    spark.createDataFrame([("A", 1)], "game_id string, p int").write.parquet(str(tmp_path / "g" / "A" / "t.parquet"))
+    spark.createDataFrame([("B", 1.5, 2)], "game_id string, p double, extra int").write.parquet(str(tmp_path / "g" / "B" / "t.parquet"))
+    tb.consolidate(spark, str(tmp_path / "g" / "*" / "t.parquet"), str(tmp_path / "out"))
+    assert sorted((r.game_id, r.p, r.extra) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("A", 1.0, None), ("B", 1.5, 2)]
+    with pytest.raises(Exception):
+        tb.consolidate(spark, str(tmp_path / "none" / "*"), str(tmp_path / "out2"))
+
+
 def test_derived_tables_by_season_and_consolidation(spark, tmp_path):
     path = str(tmp_path / "ev")
     tb.save_by_season(spark.createDataFrame([(1, 2000), (2, 2001)], "x int, season int"), path)
