@@ -30,6 +30,7 @@ GAME_SERIES, SPREAD_SERIES, TOTAL_SERIES = "KXNFLGAME", "KXNFLSPREAD", "KXNFLTOT
 CONFERENCE_SERIES = ("KXNFLAFCCHAMP", "KXNFLNFCCHAMP")
 FINAL_SERIES = "KXSB"
 WINNER_SERIES = (GAME_SERIES, *CONFERENCE_SERIES, FINAL_SERIES)
+# fixed values: months and the form of an event ticker
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 EVENT_PATTERN = r"^([A-Z0-9]+)-(\d{2})([A-Z]{3})(\d{2})([A-Z]+)$"
 

@@ -81,8 +81,7 @@ def union_relaxed(t: Tables):
 
 @query("semi_in", "SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) IN (1996, 1999)")
 def semi_in(t: Tables):
-    d = t.orders.withColumn("season", F.year("o_orderdate"))
-    return tb.load_schedules(d, ps.parse_seasons("1996,1999")).select("o_orderkey", "o_totalprice")
+    return tb.load_schedules(t.orders, ps.parse_seasons("1996,1999"), date="o_orderdate").select("o_orderkey", "o_totalprice")
 
 
 @query("conform", "SELECT event_id, user_id::VARCHAR AS user_id, value::FLOAT::DOUBLE AS value, NULL::BIGINT AS missing FROM events")

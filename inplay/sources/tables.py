@@ -96,8 +96,14 @@ def load_seasons(spark: SparkSession, root: str, name: str, seasons: Sequence[in
     return union_relaxed(frames)
 
 
-def load_schedules(df: DataFrame, seasons: Sequence[int], column: str = "season") -> DataFrame:
-    return df.filter(F.col(column).isin(*seasons))
+def load_schedules(df: DataFrame, seasons: Sequence[int], column: str = "season", date: str | None = None) -> DataFrame:
+    """Rows of the seasons, by a season column or, where there is none, by ranges of a date column (calendar
+    years), which the scan can skip files and row groups by."""
+    if date is None:
+        return df.filter(F.col(column).isin(*seasons))
+    day = lambda y: F.lit(f"{y}-01-01").cast(df.schema[date].dataType)
+    spans = [(F.col(date) >= day(y)) & (F.col(date) < day(y + 1)) for y in seasons]
+    return df.filter(reduce(lambda a, b: a | b, spans, F.lit(False)))
 
 
 def save_by_season(df: DataFrame, path: str, column: str = "season") -> None:
