@@ -50,31 +50,53 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int, longest: int) -
     return ends
 
 
-def chunk_table(docs: DataFrame, bits: int = 5, longest: int = 512) -> DataFrame:
-    """One row per chunk of each text (doc_id, text_hash, text): doc_id, text_hash, start, size (bytes), digest (two longs)."""
+def chunk_spans(data: np.ndarray, offsets: np.ndarray, bits: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All chunks: text, start and end in `data`, and the first 64 bits of the digest."""
+    ends = chunk_ends(data, offsets, bits, longest)
+    starts = np.append(0, ends[:-1]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    return np.searchsorted(offsets, starts, "right") - 1, starts, ends, span_hashes(data, starts, ends)
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for part, data, offsets in slices(batch, "text"):
-                ends = chunk_ends(data, offsets, bits, longest)
-                starts = np.append(0, ends[:-1]) if len(ends) else ends
-                text = np.searchsorted(offsets, starts, "right") - 1
-                which = pa.array(text)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").take(which), part.column("text_hash").take(which), pa.array(starts - offsets[:-1][text], pa.int64()), pa.array((ends - starts).astype(np.int32)),
-                    pa.array(span_hashes(data, starts, ends).view(np.int64)), pa.array(span_hashes(data, starts, ends, OTHER, OTHER_INVERSE).view(np.int64))],
-                    names=["doc_id", "text_hash", "start", "size", "high", "low"])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(cut, "doc_id long, text_hash long, start long, size int, high long, low long")
+def repeated_chunks(docs: DataFrame, bits: int = 5, longest: int = 512) -> DataFrame:
+    """Chunks of the texts (doc_id, text_hash, text) whose digest of 128 bits occurs again: doc_id, text_hash, start, size
+    (bytes), and `first`: whether this is the first occurrence (in the order of doc_id, text_hash, start).
 
+    Two passes over the texts, so that the exchange of whole records is left to chunks that can matter: the first
+    sends half digests alone and finds those that occur twice; the second leaves out, by a filter of fixed size (2 MB)
+    over them, most chunks that do not (a full filter lets more through and changes nothing). First occurrences are
+    found by a group-by on the digest with map-side minima."""
 
-def repeated_chunks(docs: DataFrame, bits: int = 5, longest: int = 512) -> DataFrame:
-    """Chunks whose digest occurs again, with `first`: whether this is the first occurrence (in the order of
-    doc_id, text_hash, start). First occurrences are found by a group-by on the digest with map-side minima."""
-    chunks = keep(chunk_table(docs, bits, longest), "chunks")
+    def halves(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for _, data, offsets in slices(batch, "text"):
+                high, n = np.unique(chunk_spans(data, offsets, bits, longest)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(n > 1)], names=["high", "again"])
+
+    twice = docs.select("text").mapInArrow(halves, "high long, again boolean").groupBy("high").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again"))
+    twice = keep(twice.filter("n > 1 or again").select("high"), "halves")
+    table = np.zeros(1 << 18, np.uint64)
+    words = twice.select(F.pmod("high", F.lit(1 << 24)).alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("bits"))
+    for r in words.toLocalIterator():  # 2^18 rows at most
+        table[r["w"]] = np.int64(r["bits"]).view(np.uint64)
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for part, data, offsets in slices(batch, "text"):
+                text, starts, ends, high = chunk_spans(data, offsets, bits, longest)
+                slot = high & np.uint64((1 << 24) - 1)
+                may = (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                low = span_hashes(data, starts, ends, OTHER, OTHER_INVERSE)
+                which = pa.array(text[may])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(which), part.column("text_hash").take(which), pa.array((starts - offsets[:-1][text])[may]),
+                                                  pa.array((ends - starts)[may].astype(np.int32)), pa.array(high[may].view(np.int64)), pa.array(low[may].view(np.int64))],
+                                                 names=["doc_id", "text_hash", "start", "size", "high", "low"])
+
+    chunks = docs.select("doc_id", "text_hash", "text").mapInArrow(cut, "doc_id long, text_hash long, start long, size int, high long, low long")
+    chunks = keep(chunks, "chunks")
     place = F.struct("doc_id", "text_hash", "start")
     heads = chunks.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).filter("n > 1").select("high", "low", "head")
-    return chunks.join(heads, ["high", "low"]).select("doc_id", "text_hash", "start", "size", (F.col("head") == place).alias("first"))
+    # Both sides are plain tables, so that Spark can split a chunk that very many texts share.
+    return chunks.join(keep(heads, "heads"), ["high", "low"]).select("doc_id", "text_hash", "start", "size", (F.col("head") == place).alias("first"))
 
 
 def passages(starts: list[int], sizes: list[int], first: list[bool], least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -124,7 +146,7 @@ def dedupe_passages(docs: DataFrame, least: int = 120, bits: int = 5, longest: i
     them), `repeated` (byte spans of passages that occur elsewhere too, this being the first occurrence or not)
     and `removed` (spans taken out), by content-defined chunks of 2^bits bytes on average.
 
-    A chunk is a repeat if its digest (128 bits) occurred before, in the order of doc_id, text and place. Short
+    A chunk is a repeat if its digest occurred before, in the order of doc_id, text and place. Short
     repeats are common words: only runs of adjoining repeated chunks that cover `least` bytes count as a passage,
     and only stretches of so many bytes are taken out. The first occurrence of each chunk stays, so every passage survives once. A passage of 50 words shares all but
     its outermost chunks (about 60 bytes at its start and 30 at its end on average) with its other occurrences.
