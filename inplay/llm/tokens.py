@@ -13,9 +13,11 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Chunks remembered per generation; two generations are alive, so memory stays bounded.
-GENERATION = 350_000
+GENERATION = 500_000
 #: Chunks longer than this are encoded but not remembered.
 LONG = 64
+#: Marks after a word that are a piece of their own in both vocabularies.
+TAIL = ".,;:!?%&$*#|()[]{}<>/+=~^@\"-"
 #: White space that keeps a text from being cut at its single spaces alone (Unicode's, beside space and newline).
 WIDE_SPACES = ["  ", "\n ", " \n", "\t", "\x0b", "\x0c", "\r"]
 SPACES = [*WIDE_SPACES, "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
@@ -47,8 +49,8 @@ class Encoder:
         after a zero byte come the very bytes to encode."""
         if any(c in text for c in CONTROLS) or not self.by_end and any(c in text for c in (WIDE_SPACES if text.isascii() else SPACES)):
             return ["\0" + c for c in SPLIT.split(text) if c]
-        if self.by_end:  # white space carries no id
-            return text.split()
+        if self.by_end:  # white space and case carry no id; a final sigma is the one letter whose case depends on its place
+            return (text if "Σ" in text else text.lower()).split()
         parts = text.split(" ")
         parts[0] = "\0" + parts[0]
         return parts
@@ -57,11 +59,23 @@ class Encoder:
         return [np.asarray(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def learn(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of chunks not met yet. Plain words are joined to one text, whose ids are cut again at the
-        vocabulary's marks; others are encoded one by one."""
-        plain, odd, out = [], [], {}
+        """Ids of chunks not met yet. Plain words, without the marks after them, are joined to one text, whose ids are
+        cut again at the vocabulary's marks; others are encoded one by one."""
+        plain, odd, out, composed = set(), [], {}, []
         for c in keys:
-            (plain if len(c) <= LONG and c.isalpha() else odd).append(c)
+            core = c if c.isalpha() else c.rstrip(TAIL)
+            if not core.isalpha() or len(c) > LONG:
+                odd.append(c)
+                continue
+            if core != c:  # marks after a word are split from it before bytes merge
+                tail = c[len(core):] if self.by_end else "\0" + c[len(core):]
+                composed.append((c, core, tail))
+                if tail not in self.memory and tail not in self.older:
+                    odd.append(tail)
+                if core in self.memory or core in self.older:
+                    continue
+            plain.add(core)
+        odd, plain = list(dict.fromkeys(odd)), list(plain)
         for at in range(0, len(plain), 2000):
             some = plain[at:at + 2000]
             ids = np.asarray(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u2")
@@ -75,25 +89,25 @@ class Encoder:
         for at in range(0, len(odd), 2000):
             some = odd[at:at + 2000]
             out |= dict(zip(some, self.encode([c[1:] if c[:1] == "\0" else c if self.by_end else " " + c for c in some])))
-        return out
+        ids_of = lambda c: out.get(c) or self.memory.get(c) or self.older[c]
+        return out | {c: ids_of(core) + ids_of(tail) for c, core, tail in composed}
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         memory, older = self.memory, self.older
         known, gaps, new = [], [], set()
-        for row, text in enumerate(texts):
+        for text in texts:
             keys = self.chunks(text or "")
             ids = list(map(memory.get, keys))
             known.append(ids)
-            if None in ids:
-                missing = [(i, c) for i, (c, v) in enumerate(zip(keys, ids)) if v is None]
-                gaps.append((row, missing))
-                new.update(c for _, c in missing)
+            for i in range(ids.count(None)):
+                at = ids.index(None, at + 1 if i else 0)
+                gaps.append((ids, at, keys[at]))
+                new.add(keys[at])
         memory.update((c, older[c]) for c in new if c in older)
         new.difference_update(older)
         memory |= self.learn(list(new))
-        for row, missing in gaps:
-            for i, c in missing:
-                known[row][i] = memory[c]
+        for ids, i, c in gaps:
+            ids[i] = memory[c]
         out = list(map(b"".join, known))
         for c in new:
             if len(c) > LONG:
