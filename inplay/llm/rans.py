@@ -21,8 +21,9 @@ SCALE = 20  # frequencies add up to 2^SCALE
 LOW = 1 << 31  # states stay in [LOW, 2^63)
 HEADER = struct.Struct("<4sIIIIII")  # mark, checksum of what follows, documents, tokens, lanes, checkpoints, words
 MARK = b"rANS"
-BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("start", T.LongType()),
-                       T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("payload", T.BinaryType())])
+SEGMENTS = T.StructType([
+    T.StructField("part", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_docs", T.LongType()),
+    T.StructField("n_tokens", T.LongType()), T.StructField("table", T.BinaryType()), T.StructField("blocks", T.ArrayType(T.BinaryType()))])
 DOCUMENTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()),
                           T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -51,6 +52,18 @@ class Frequencies:
                     break
         return cls(freq)
 
+    def to_bytes(self) -> bytes:
+        """The ids that occur (16 bits each), then their frequencies (32 bits each), deflated."""
+        ids = np.flatnonzero(self.freq)
+        return zlib.compress(ids.astype("<u2").tobytes() + self.freq[ids].astype("<u4").tobytes(), 1)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Frequencies:
+        raw = zlib.decompress(raw)
+        n, freq = len(raw) // 6, np.zeros(1 << 16, np.int64)
+        freq[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<u4", n, 2 * n)
+        return cls(freq)
+
 
 def encode_block(doc_ids: list[int | None], docs: list[np.ndarray], table: Frequencies, lanes: int = 256, every: int = 1024) -> bytes:
     """One self-contained block: header, document index, checkpoints, words.
@@ -132,91 +145,87 @@ def _ids_with_end(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
                 yield doc_id, np.append(np.frombuffer(ids, "<u2"), end)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_tokens: int = 1 << 17, lanes: int = 256) -> str:
-    """Encode every document's ids and `end_id` in ascending doc_id order (null first, equal ids by their texts'
-    hash) to `path`: `tables` (the shared frequencies) and `blocks` (one block a row, in Parquet, which Spark's
-    committer makes whole or not at all). A block holds whole documents, `block_tokens` or one longer document.
-
-    Two passes over the texts: counts of ids, added up by Spark to one row per id of the vocabulary, and then
-    coding, after one range exchange. Repeated ids are spread over ranges like others. Empty and null texts are
-    one id, `end_id`; an empty table gives an empty file."""
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    spark = docs.sparkSession
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << 16, np.int64), [], 0
-        for _, ids in _ids_with_end(batches, tokenizer, end_id):
-            held.append(ids)
-            size += len(ids)
-            if size >= 1 << 20:
-                total += np.bincount(np.concatenate(held), minlength=1 << 16)
-                held, size = [], 0
-        for ids in held:
-            total += np.bincount(ids, minlength=1 << 16)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "count"])
-
-    counted = docs.mapInArrow(count, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
+def encode_segment(doc_ids: list[int | None], docs: list[np.ndarray], block_tokens: int, lanes: int) -> tuple[bytes, list[bytes]]:
+    """A segment's shared table, from the counts of all its ids, and its blocks of whole documents: `block_tokens`
+    tokens at most, or one longer document."""
     counts = np.zeros(1 << 16, np.int64)
-    for r in counted:
-        counts[r["id"]] = r["count"]
-    freq = Frequencies.scaled(counts).freq.astype(np.int64)
-    wide = F.from_json(F.lit(json.dumps([[int(i), int(freq[i])] for i in np.flatnonzero(freq)])), "array<array<bigint>>")
-    spark.range(1).select(F.explode(wide).alias("e")).selectExpr("int(e[0]) id", "e[1] freq").write.parquet(f"{path}/tables")
+    for d in docs:
+        counts += np.bincount(d, minlength=1 << 16) if len(d) > 1 << 14 else 0
+    small = [d for d in docs if len(d) <= 1 << 14]
+    counts += np.bincount(np.concatenate(small), minlength=1 << 16) if small else 0
+    table, blocks, at, size = Frequencies.scaled(counts), [], 0, 0
+    for i, d in enumerate([*docs, None]):
+        if d is None or (i > at and size + len(d) > block_tokens):
+            blocks.append(encode_block(doc_ids[at:i], docs[at:i], table, lanes))
+            at, size = i, 0
+        size += 0 if d is None else len(d)
+    return table.to_bytes(), blocks
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_tokens: int = 1 << 22, block_tokens: int = 1 << 18, lanes: int = 1024) -> str:
+    """Encode every document's ids and `end_id` to files at `path`, in ascending doc_id order (null first, equal
+    ids by their texts' hash). One range exchange, then one pass: a task's documents go to segments of about
+    `segment_tokens` tokens (or one longer document), which is what a task holds at once. A segment is a row of
+    Parquet, which Spark's committer makes whole or not at all: the frequency table that its blocks share, and
+    the blocks, each of which can be decoded alone and from any of its checkpoints.
+
+    Repeated ids are spread over ranges like others. Empty and null texts are one id, `end_id`; an empty table gives
+    an empty file; other columns are ignored."""
+    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = Frequencies(freq), TaskContext.get().partitionId()
-        ids, held, size, block, start = [], [], 0, 0, 0
+        part = TaskContext.get().partitionId()
+        ids, held, size, segment, start = [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            values = [[part], [block], [start], [len(held)], [size], [encode_block(ids, held, table, lanes)]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=BLOCKS.names)
+            table, blocks = encode_segment(ids, held, block_tokens, lanes)
+            values = [[part], [segment], [start], [len(held)], [size], [table], [blocks]]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=SEGMENTS.names)
 
         for doc_id, tokens in _ids_with_end(batches, tokenizer, end_id):
-            if held and size + len(tokens) > block_tokens:
+            if held and size + len(tokens) > segment_tokens:
                 yield row()
-                ids, held, size, block, start = [], [], 0, block + 1, start + size
+                ids, held, size, segment, start = [], [], 0, segment + 1, start + size
             ids.append(doc_id)
             held.append(tokens)
             size += len(tokens)
         if held:
             yield row()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     ordered = keyed.repartitionByRange(n, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").select("doc_id", "text")
-    ordered.mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(encode, SEGMENTS).write.parquet(path)
     return path
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Decode the files at `path`: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian
     unsigned 32-bit). Every block is decoded on its own; the start of each part comes from one sum per part."""
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    freq = np.zeros(1 << 16, np.int64)
-    for r in spark.read.parquet(f"{path}/tables").collect():
-        freq[r["id"]] = r["freq"]
+    segments = spark.read.schema(SEGMENTS).parquet(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Frequencies(freq)
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, lengths, tokens = decode_block(batch.column("payload")[row].as_py(), table)
-                ends = np.cumsum(lengths.astype(np.int64))
-                raw, size = tokens.astype("<u4").tobytes(), len(ids)
-                starts = batch.column("start")[row].as_py() + ends - lengths
-                pieces = [raw[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("part")[row].as_py()] * size, pa.int32()), pa.array(ids, pa.int64()),
-                                                  pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary())], names=DOCUMENTS.names)
-
-    sums = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # one row per part
+                part, start, raw_table, blocks = (batch.column(c)[row] for c in ("part", "start", "table", "blocks"))
+                table, start = Frequencies.from_bytes(raw_table.as_py()), start.as_py()
+                for block in blocks.as_py():
+                    ids, lengths, tokens = decode_block(block, table)
+                    ends = np.cumsum(lengths.astype(np.int64))
+                    raw, size = tokens.astype("<u4").tobytes(), len(ids)
+                    pieces = [raw[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * size, pa.int32()), pa.array(ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()),
+                                                      pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary())], names=DOCUMENTS.names)
+                    start += len(tokens)
+
+    sums = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # one row per part
     bases, total = [], 0
     for p in range(max(sums, default=-1) + 1):
         bases.append(total)
         total += sums.get(p, 0)
     base = F.get(F.from_json(F.lit(json.dumps(bases)), "array<bigint>"), F.col("part"))
-    return blocks.select("part", "start", "payload").mapInArrow(decode, DOCUMENTS).select("doc_id", (F.col("start") + base).alias("start"), "n_tokens", "ids")
+    return segments.select("part", "start", "table", "blocks").mapInArrow(decode, DOCUMENTS).select("doc_id", (F.col("start") + base).alias("start"), "n_tokens", "ids")
 
 
 def token_file(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
