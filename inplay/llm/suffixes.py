@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inplay.llm.storage import keep
-from inplay.llm.textscan import BASE, BASE_INVERSE, mix, powers, slices
+from inplay.llm.textscan import BASE, BASE_INVERSE, mix, powers, slices, span_hashes
 
 DEPTH = 100  # bytes by which suffixes are ordered
 STEP = 32  # places of a repeated string that are judged together
@@ -141,34 +141,43 @@ def repeated_strings(docs: DataFrame, length: int = 400, batches: int = 4) -> Da
     def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for r in range(batch.num_rows):
-                raw = batch.column("text")[r].as_py().encode()
+                data = np.frombuffer(batch.column("text")[r].as_py().encode(), np.uint8)
                 marks = batch.column("places")[r].as_py()
                 a, near, far = (np.array([m[k] for m in marks], np.int64) for k in ("place", "near", "far"))
                 kinds = far // STEP - near // STEP + 1
                 which = np.repeat(np.arange(len(a)), kinds)
                 step = np.arange(len(which)) - (np.cumsum(kinds) - kinds)[which] + (near // STEP)[which]
                 p = np.unique(a[which] - STEP * step)
-                data = np.frombuffer(raw, np.uint8)
-                cores = window_hashes(data, core, OTHER, OTHER_INVERSE)[p]
-                sides = [(raw[max(0, i - STEP + 1):i], raw[i + core:i + core + STEP - 1]) for i in p.tolist()]
+                begin, end = np.maximum(p - STEP + 1, 0), np.minimum(p + core + STEP - 1, len(data))
+                flanks = mix(span_hashes(data, begin, end) + ((p - begin) * STEP + end - p - core).astype(np.uint64))
                 n = len(p)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column("text_hash")[r].as_py()] * n, pa.int64()), pa.array([batch.column("n_bytes")[r].as_py()] * n, pa.int32()), pa.array(p, pa.int64()),
-                    pa.array(cores.view(np.int64)), pa.array([s[0] for s in sides], pa.binary()), pa.array([s[1] for s in sides], pa.binary())],
-                    names=["text_hash", "n_bytes", "place", "core", "left", "right"])
+                    pa.array(window_hashes(data, core, OTHER, OTHER_INVERSE)[p].view(np.int64)), pa.array(flanks.view(np.int64))], names=["text_hash", "n_bytes", "place", "core", "flanks"])
 
-    judged = texts.mapInArrow(judge, "text_hash long, n_bytes int, place long, core long, left binary, right binary")
-    judged = keep(judged.withColumn("flanks", F.xxhash64("left", "right")), "judged")
-    kinds = keep(judged.groupBy("core", "flanks").agg(F.count(F.lit(1)).alias("n"), F.min("left").alias("left"), F.min("right").alias("right")), "kinds")
+    def one_by_one(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for r in range(batch.num_rows):
+                data = np.frombuffer(batch.column("text")[r].as_py().encode(), np.uint8)
+                marks = batch.column("places")[r].as_py()
+                p, cores, flanks, n = (np.array([m[k] for m in marks], np.int64) for k in ("place", "core", "flanks", "n"))
+                i = np.tile(np.arange(STEP), len(p))
+                start = np.repeat(p, STEP) - i
+                ok = (start >= 0) & (start + length <= len(data))
+                whole = window_hashes(data, length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, STEP)[ok]) for x in (cores, flanks, n)] + [pa.array(i[ok].astype(np.int32)), pa.array(whole[start[ok]].view(np.int64))],
+                                                 names=["core", "flanks", "n", "i", "whole"])
+
+    judged = keep(texts.mapInArrow(judge, "text_hash long, n_bytes int, place long, core long, flanks long"), "judged")
+    kinds = keep(judged.groupBy("core", "flanks").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_hash", "n_bytes", "place")).alias("at")), "kinds")
     mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("core")
-    single = kinds.join(mixed, "core").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(STEP - 1))))
-    left, right = F.octet_length("left"), F.octet_length("right")
-    single = single.filter((F.col("i") <= left) & (STEP - 1 - F.col("i") <= right))
-    single = single.select("core", "flanks", "i", "n", F.xxhash64(F.expr("substring(left, octet_length(left) - i + 1, i)"), F.expr(f"substring(right, 1, {STEP - 1} - i)")).alias("rest"))
-    again = single.groupBy("core", "i", "rest").agg(F.sum("n").alias("total")).filter("total > 1").select("core", "i", "rest")
-    masks = single.join(again, ["core", "i", "rest"]).groupBy("core", "flanks").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    doubtful = kinds.join(mixed, "core").select("at.*", "core", "flanks", "n").groupBy("text_hash", "n_bytes").agg(F.collect_list(F.struct("place", "core", "flanks", "n")).alias("places"))
+    single = texts.drop("places").join(doubtful, ["text_hash", "n_bytes"]).select("text", "places").mapInArrow(one_by_one, "core long, flanks long, n long, i int, whole long")
+    again = keep(single.groupBy("core", "i", "whole").agg(F.sum("n").alias("total")).filter("total > 1").select("core", "i", "whole"), "again")
+    masks = single.join(again, ["core", "i", "whole"]).select("core", "flanks", F.expr("shiftleft(1L, i)").alias("mask"))
     masks = masks.union(kinds.filter("n > 1").select("core", "flanks", F.lit((1 << STEP) - 1).cast("long"))).groupBy("core", "flanks").agg(F.bit_or("mask").alias("mask"))
-    verdicts = judged.join(masks, ["core", "flanks"]).groupBy("text_hash", "n_bytes").agg(F.collect_list(F.struct("place", "mask")).alias("places"))
+    # Both sides of the joins on strings are plain tables, so that Spark can split one that very many places share.
+    verdicts = judged.join(keep(masks, "masks"), ["core", "flanks"]).groupBy("text_hash", "n_bytes").agg(F.collect_list(F.struct("place", "mask")).alias("places"))
     return texts.drop("places").join(verdicts, ["text_hash", "n_bytes"])
 
 
@@ -216,7 +225,7 @@ def without_repeats(docs: DataFrame, length: int = 400, batches: int = 4) -> Dat
     one = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("stop")))
     known = known.select("text_hash", "n_bytes", F.when(whole, one).otherwise(F.col("spans")).alias("spans"),
                          F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("cut_sha")).alias("cut_sha"))
-    out = keyed.join(known, ["text_hash", "n_bytes"], "left")
+    out = keyed.join(keep(known, "known"), ["text_hash", "n_bytes"], "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"))
     return out.select("doc_id", F.col("n_bytes").cast("long"), F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"]).alias("n_removed"),
                       F.size(spans).cast("long").alias("n_spans"), spans.alias("spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
