@@ -90,7 +90,7 @@ def test_bits_of_a_word_have_probabilities_that_add_up():
     rng = np.random.default_rng(1)
     mixer.zeros[:], mixer.ones[:] = rng.integers(0, 9, mixing.SLOTS), rng.integers(0, 9, mixing.SLOTS)
     assert mixer.learn(iter([(words, kinds, np.array([5.0, 3, 2, 1]))]), least_steps=20) == 11
-    mixer.refine(mixer.observe(words, kinds, np.array([5.0, 3, 2, 1])))
+    mixer.refine(mixer.watched)
     one_byte = [bytes([b]) for b in range(256) if bytes([b]) != mixing.END]
     ends = 10 ** mixer.scores([mixing.END], np.array([0]))[0]
     heads = 0.0
