@@ -29,7 +29,7 @@ def calibration_error(table: DataFrame, groups: Sequence[str] = ()) -> DataFrame
     """Bins weighted by plays within a quarter, quarters weighted by wins."""
     per_q = table.groupBy(*groups, "qtr").agg(
         (F.sum(F.col("cal_diff") * F.col("n_plays")) / F.sum("n_plays")).alias("err"), F.sum("n_wins").alias("wins"))
-    return per_q.groupBy(*groups).agg((F.sum(F.col("err") * F.col("wins")) / F.sum("wins")).alias("calibration_error"))
+    return per_q.groupBy(*groups).agg(F.try_divide(F.sum(F.col("err") * F.col("wins")), F.sum("wins")).alias("calibration_error"))
 
 
 def log_loss_row(p: Column, y: Column, eps: float = 1e-15) -> Column:
@@ -64,6 +64,6 @@ def summary(df: DataFrame, p: str, label: str, qtr: str, groups: Sequence[str] =
                                                                         ("w", "wins", "n", "ll", "br", "er")])
     err = F.when(F.col("w") > 0, F.col("d") / F.col("w")).otherwise(0.0)
     return per_q.groupBy(*groups).agg(
-        (F.sum(err * F.col("wins")) / F.sum("wins")).alias("calibration_error"),
+        F.try_divide(F.sum(err * F.col("wins")), F.sum("wins")).alias("calibration_error"),
         (F.sum("ll") / F.sum("w")).alias("log_loss"), (F.sum("br") / F.sum("w")).alias("brier"),
         (F.sum("er") / F.sum("w")).alias("error_rate"), F.sum("n").alias("n"))

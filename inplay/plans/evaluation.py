@@ -242,12 +242,12 @@ CALIB_CELLS = """SELECT game_id, least(qtr, 4) AS q, who, round_even(p/0.05, 0)*
 
 
 @query("calib_paired", f"""WITH cells AS ({CALIB_CELLS}),
-    tot AS (SELECT who, sum(err*w)/sum(w) AS e FROM (SELECT who, q, sum(abs(bin - wins/n)*n)/sum(n) AS err, sum(wins) AS w
+    tot AS (SELECT who, sum(err*w)/nullif(sum(w), 0) AS e FROM (SELECT who, q, sum(abs(bin - wins/n)*n)/sum(n) AS err, sum(wins) AS w
       FROM (SELECT who, q, bin, sum(n) AS n, sum(wins) AS wins FROM cells GROUP BY ALL) GROUP BY ALL) GROUP BY who),
     gm AS (SELECT DISTINCT game_id FROM cells),
     {weight_ctes('gm')},
     rc AS (SELECT rep, who, q, bin, sum(w*n) AS n, sum(w*wins) AS wins FROM cells JOIN wt USING (game_id) GROUP BY ALL),
-    re AS (SELECT rep, who, sum(err*w)/sum(w) AS e FROM (SELECT rep, who, q, sum(abs(bin - wins/n)*n)/sum(n) AS err, sum(wins) AS w
+    re AS (SELECT rep, who, sum(err*w)/nullif(sum(w), 0) AS e FROM (SELECT rep, who, q, sum(abs(bin - wins/n)*n)/sum(n) AS err, sum(wins) AS w
       FROM rc GROUP BY ALL) GROUP BY ALL),
     df AS (SELECT rep, max(CASE WHEN who = 'market' THEN e END) - max(CASE WHEN who = 'model' THEN e END) AS d FROM re GROUP BY rep)
     SELECT round(max(CASE WHEN who = 'market' THEN e END), 6) AS market, round(max(CASE WHEN who = 'model' THEN e END), 6) AS model,

@@ -110,7 +110,7 @@ def external_preds(t: Tables):
 
 
 CELL = "SELECT {g} qtr, b, sum(n) AS n, sum(wins) AS wins FROM {src} GROUP BY {g} qtr, b"
-ERR = "SELECT {g2} sum(err*wins)/sum(wins) AS e FROM (SELECT {g} qtr, sum(abs(b*0.05 - wins/n)*n)/sum(n) AS err, sum(wins) AS wins FROM ({cells}) GROUP BY {g} qtr) {by}"
+ERR = "SELECT {g2} sum(err*wins)/nullif(sum(wins), 0) AS e FROM (SELECT {g} qtr, sum(abs(b*0.05 - wins/n)*n)/sum(n) AS err, sum(wins) AS wins FROM ({cells}) GROUP BY {g} qtr) {by}"
 
 
 @query("cv_report", f"""WITH gc AS (SELECT game_id, season, qtr, round_even(wp/0.05, 0) AS b, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS wins FROM cv GROUP BY ALL),
