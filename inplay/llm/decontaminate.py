@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inplay.llm.storage import keep
-from inplay.llm.textscan import mix, sequence_hash, shingle_hashes, slices, word_hashes
+from inplay.llm.textscan import mix, sequence_hashes, shingle_hashes, slices, word_hashes
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2  # any two 64-bit fingerprints within 23 bits have a block within 2 bits
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-WORD_BITS = 22  # of the table of benchmark words (half a megabyte)
+TABLE_BITS = 24  # of the table of benchmark shingles (2 MB)
 
 
 def fingerprints(grams: np.ndarray) -> np.ndarray:
@@ -41,7 +41,7 @@ def counted(grams: np.ndarray) -> np.ndarray:
 def window_grams(words: np.ndarray, starts: np.ndarray, n: int, size: int) -> np.ndarray:
     """Shingle hashes of the windows of `n` words at `starts`, a row each; of fewer than `size` words the sequence's."""
     if n < size:
-        return np.array([[sequence_hash(words[s:s + n])] for s in starts.tolist()], np.uint64).reshape(len(starts), 1)
+        return sequence_hashes(words, n)[starts][:, None]
     grams = shingle_hashes(words, size)
     return grams[starts[:, None] + np.arange(n - size + 1)]
 
@@ -59,8 +59,9 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     similarity (weighted Jaccard of `size`-word shingles, the best window's), n_windows, first_word.
 
     Every window of a document with as many words as an item is a candidate. (1) A window can reach `percent` only if
-    few of its words (one in seven shingles' worth, at 75) are foreign to the benchmark; this bound is sound, uses a
-    table of fixed size, and leaves windows about real passages. (2) Those get a SimHash; windows of equal content
+    few of its shingles (one in seven, at 75) are foreign to the whole benchmark; this bound is sound, uses a
+    table of fixed size (a full one lets more windows through and changes nothing), and leaves windows about real
+    passages. (2) Those get a SimHash; windows of equal content
     become one row. (3) Multi-index Hamming search among items of that length: the 64 bits are eight blocks; items are
     entered under all values within two bits of each block, windows look up their own blocks, so every pair within
     RADIUS = 23 bits meets. (4) Pairs that meet and lie within RADIUS are compared exactly, shingles weighing as
@@ -80,17 +81,19 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
                         grams = window_grams(words[a:b], np.zeros(1, np.int64), b - a, size)
                         yield _rows(part.column("item_id").slice(r, 1).cast(pa.int64()), np.zeros(1, np.int64), np.array([b - a]), fingerprints(grams), list(counted(grams)))
 
-    def vocabulary(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for _, data, offsets in slices(batch, "text"):
-                slots = np.unique(word_hashes(data, offsets)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+                words, first = word_hashes(data, offsets)
+                grams = [window_grams(words[a:b], np.zeros(1, np.int64), b - a, size)[0] for a, b in zip(first[:-1].tolist(), first[1:].tolist()) if b > a]
+                slots = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
 
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     wanted = keep(items.mapInArrow(item, ROWS), "items")
-    known = np.zeros(1 << WORD_BITS, bool)
-    bits = items.mapInArrow(vocabulary, "slot int").groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
-    for r in bits.toLocalIterator():  # 2^16 rows at most
+    known = np.zeros(1 << TABLE_BITS, bool)
+    bits = items.mapInArrow(shingles, "slot int").groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
+    for r in bits.toLocalIterator():  # 2^18 rows at most
         known[64 * r["w"] + np.flatnonzero((np.int64(r["bits"]).view(np.uint64) >> np.arange(64, dtype=np.uint64)) & np.uint64(1))] = True
     lengths = sorted(r["n"] for r in wanted.select("n").distinct().toLocalIterator())  # distinct lengths of items, not items
 
@@ -98,11 +101,15 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
         for batch in rows:
             for part, data, offsets in slices(batch, "text"):
                 words, first = word_hashes(data, offsets)
-                foreign = np.append(np.int32(0), np.cumsum(~known[words >> np.uint64(64 - WORD_BITS)], dtype=np.int32))
+                foreign = np.append(np.int32(0), np.cumsum(~known[shingle_hashes(words, size) >> np.uint64(64 - TABLE_BITS)], dtype=np.int32))
                 for n in lengths:
                     if n > len(words):
                         break
-                    may = np.flatnonzero(foreign[n:] - foreign[:-n] <= (slack(n - size + 1) if n >= size else 0))
+                    m = n - size + 1
+                    if m > 0:
+                        may = np.flatnonzero(foreign[m:] - foreign[:-m] <= slack(m))
+                    else:
+                        may = np.flatnonzero(known[sequence_hashes(words, n) >> np.uint64(64 - TABLE_BITS)])
                     text = np.searchsorted(first, may, "right") - 1
                     inside = may + n <= first[1:][text]
                     may, text = may[inside], text[inside]

@@ -84,10 +84,17 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of `size` words as a sequence of its own; differs from that of a shingle."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, size, np.uint64)
+    for j in range(size):
+        out = out * np.uint64(BASE) + words[j:j + n]
+    return mix(out ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def sequence_hash(words: np.ndarray) -> np.uint64:
-    """Hash of a whole short sequence of words; differs from that of a shingle."""
-    out = np.uint64(len(words))
-    with np.errstate(over="ignore"):
-        for w in words:
-            out = out * np.uint64(BASE) + w
-    return mix(np.array([out ^ np.uint64(0x5851F42D4C957F2D)]))[0]
+    """Hash of a whole short sequence of words."""
+    return sequence_hashes(words, len(words))[0]
