@@ -52,11 +52,12 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
     count. (1) Equal sets are one row of the matrix. (2) A document enters with its first n - ceil(p n) + 1 n-grams in
     one order of all n-grams: two sets that are similar enough must meet there. The order puts n-grams that are
     frequent anywhere last, by a fixed-size table of counts over all documents; it changes the work, not the result.
-    (3) First product: each block links its documents to one document of like size, so a group of g near copies
-    costs g entries, not g^2. What is verified becomes components. (4) Second product: all pairs of each block that lie
-    in different components and whose sizes allow a link; overlap counts add up over blocks, and a pair is dropped
-    when count and unseen rest fall short of the size-derived bound. (5) What is left is compared on whole sets.
-    Every link between different components is found, so components are exact; links inside one are not listed.
+    (3) First product: each block pairs its documents with one document of like size, so a group of g near copies
+    costs g entries, not g^2; each document's two pairs of most overlap that could reach the bound of (4) are verified and
+    become components. (4) Second product: all pairs of each block that lie in different components and whose sizes allow a
+    link; overlap counts add up over blocks, and a pair is dropped when count and unseen rest fall short of the
+    size-derived bound. (5) What is left is compared on whole sets. The first product may miss links; the second
+    misses none between different components. Every link between different components is found, so components are exact; links inside one are not listed.
 
     Null text is empty; empty documents are linked with nothing and are their own component. A null id takes part and
     is never the smallest id (its component_id is null when alone). Repeated ids and rows are allowed; an empty table
@@ -105,7 +106,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
     block, like = W.partitionBy("key"), W.partitionBy("key", "class")
     entry = docs.mapInArrow(enter, "key long, n int, s long, last long").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
     entry = entry.repartition("key")
-    me = F.struct("n", "s")
+    me = F.struct("n", "s", "last")
     entry = entry.withColumn("low", F.min(me).over(block)).withColumn("high", F.max(me).over(block)).filter("low <> high")
     entry = keep(entry.withColumn("hub", F.min(me).over(like)).select("key", "n", "s", "last", "hub").distinct(), "entries")
 
@@ -153,26 +154,33 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
         return links.join(a, ["an", "as"]).join(b, ["bn", "bs"]).select("a", "b")
 
     vertex = keep(vertex, "vertices")
-    star = keep(entry.filter(me != F.col("hub")).select(F.col("hub.n").alias("an"), F.col("hub.s").alias("as"), F.col("n").alias("bn"), F.col("s").alias("bs")).distinct(), "stars")
+
+    def enough(met: DataFrame, times: int = 1) -> DataFrame:
+        """Pairs (one row per n-gram met) whose count, taken `times`, and unseen rest allow a link. Keys up to the lesser
+        of the two last ones have all been met; the rest of that document is the most that can follow."""
+        pairs = met.groupBy("an", "as", "bn", "bs").agg(F.count(F.lit(1)).alias("met"), F.first("alast").alias("alast"), F.first("blast").alias("blast"))
+        alast, blast = F.shiftrightunsigned("alast", 1), F.shiftrightunsigned("blast", 1)
+        unseen = F.when(alast < blast, F.col("an")).when(alast > blast, F.col("bn")).otherwise(F.greatest("an", "bn"))
+        unseen = F.ceil(unseen * percent / 100) - 1
+        return pairs.filter((times * F.col("met") + unseen) * (100 + percent) >= percent * (F.col("an") + F.col("bn"))).select("an", "as", "bn", "bs", "met")
+
+    star = entry.filter(me != F.col("hub")).select(F.col("hub.n").alias("an"), F.col("hub.s").alias("as"), F.col("hub.last").alias("alast"), F.col("n").alias("bn"), F.col("s").alias("bs"), F.col("last").alias("blast"))
+    # Blocks of one group may have different hubs, so a hub's count is a part of the overlap; the two best hubs will do.
+    best = F.row_number().over(W.partitionBy("bn", "bs").orderBy(F.desc("met"), "an", "as"))
+    star = keep(enough(star, 4).withColumn("best", best).filter("best <= 2").select("an", "as", "bn", "bs"), "stars")
     links = verify(star)
     linked = by_id(links)
     group = components(linked)
 
     member = vertex.join(group, "id", "left").select(F.col("n").cast("int").alias("n"), "s", F.coalesce("component", "id").alias("component"))
-    rest = entry.drop("hub").join(member, ["n", "s"]).repartition("key")
+    rest = entry.drop("hub").join(keep(member, "members"), ["n", "s"]).repartition("key")
     rest = rest.withColumn("one", F.min("component").over(block)).withColumn("other", F.max("component").over(block)).filter("one <> other").drop("one", "other")
     rest = keep(rest, "entries")
     a, b = (rest.select("key", *[F.col(c).alias(f"{x}{c[0]}" if c != "last" else f"{x}last") for c in ("n", "s", "component", "last")]) for x in "ab")
     met = a.join(b, "key").filter((F.struct("an", "as") < F.struct("bn", "bs")) & (F.col("ac") != F.col("bc")) & (100 * F.col("an") >= percent * F.col("bn")))
-    pairs = met.groupBy("an", "as", "bn", "bs").agg(F.count(F.lit(1)).alias("met"), F.first("alast").alias("alast"), F.first("blast").alias("blast"))
-    # Keys up to the lesser of the two last ones have all been met; the rest of that document is the most that can follow.
-    alast, blast = F.shiftrightunsigned("alast", 1), F.shiftrightunsigned("blast", 1)
-    unseen = F.when(alast < blast, F.col("an")).when(alast > blast, F.col("bn")).otherwise(F.greatest("an", "bn"))
-    unseen = F.ceil(unseen * percent / 100) - 1
-    enough = (F.col("met") + unseen) * (100 + percent) >= percent * (F.col("an") + F.col("bn"))
-    pairs = keep(pairs.filter(enough).join(star, ["an", "as", "bn", "bs"], "left_anti").select("an", "as", "bn", "bs"), "pairs")
+    pairs = keep(enough(met).drop("met").join(star, ["an", "as", "bn", "bs"], "left_anti"), "pairs")
     group = components(linked.union(by_id(verify(pairs))))
     final = vertex.join(group, "id", "left").select("n", "s", F.coalesce("component", "id").alias("component"))
-    out = named.join(final, ["n", "s"], "left")
+    out = named.join(keep(final, "final"), ["n", "s"], "left")
     component = F.when(F.col("component") == NO_ID, F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("s").alias("set_id"))
