@@ -1,4 +1,4 @@
-"""Repeated passages, by content-defined chunks and their digests."""
+"""Repeated passages: content-defined chunks and their digests as anchors, extended byte-wise."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inplay.llm.storage import keep
-from inplay.llm.suffixes import OTHER, OTHER_INVERSE
-from inplay.llm.textscan import mix, slices, span_hashes
+from inplay.llm.suffixes import OTHER, OTHER_INVERSE, sliding_least
+from inplay.llm.textscan import SPACE, mix, slices, span_hashes
 
 REACH = 32  # bytes the rolling hash looks back over
 #: The gear table: one pseudo-random 32-bit number per byte value, from a rule.
@@ -50,26 +50,49 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int, longest: int) -
     return ends
 
 
-def chunk_spans(data: np.ndarray, offsets: np.ndarray, bits: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All chunks: text, start and end in `data`, and the first 64 bits of the digest."""
-    ends = chunk_ends(data, offsets, bits, longest)
-    starts = np.append(0, ends[:-1]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    return np.searchsorted(offsets, starts, "right") - 1, starts, ends, span_hashes(data, starts, ends)
-
-
-def repeated_chunks(docs: DataFrame, bits: int = 5, longest: int = 512) -> DataFrame:
-    """Chunks of the texts (doc_id, text_hash, text) whose digest of 128 bits occurs again: doc_id, text_hash, start, size
-    (bytes), and `first`: whether this is the first occurrence (in the order of doc_id, text_hash, start).
-
-    Two passes over the texts, so that the exchange of whole records is left to chunks that can matter: the first
+def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Places by which equal stretches find each other: in every string of `least` bytes within a text, the chunk of
+    least // 2 bytes whose gear hash at its end is least (the leftmost of equals). Equal strings choose the same place, so
+    two occurrences of a stretch of `least` bytes always share one. Returns text, place in the text, least and greatest
+    distance of the strings' starts before it, and two 64-bit digests of the chunk.
+
+    Where a chunk overlaps itself (a text that repeats a few bytes), only the first two and the last of its run stay."""
+    size = least // 2
+    if size < REACH:
+        raise ValueError(f"least must be {2 * REACH} or more")
+    long = np.diff(offsets) >= least
+    none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    if not long.any():
+        return none
+    h = gear_hashes(data)[size - 1:]
+    place = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    chosen = (sliding_least(place, least - size + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    strings = np.maximum(np.diff(offsets) - least + 1, 0)
+    text = np.repeat(np.arange(len(strings)), strings)
+    start = np.arange(len(text)) - (np.cumsum(strings) - strings)[text] + offsets[:-1][text]
+    at = chosen[start]
+    runs = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])))
+    last = np.append(runs[1:], len(text)) - 1
+    at, text, near, far = at[runs], text[runs], at[runs] - start[last], at[runs] - start[runs]
+    high, low = span_hashes(data, at, at + size), span_hashes(data, at, at + size, OTHER, OTHER_INVERSE)
+    same = np.append(False, (high[1:] == high[:-1]) & (text[1:] == text[:-1]) & (np.diff(at) < size))
+    stay = ~same | ~np.append(False, same[:-1]) | ~np.append(same[1:], False)
+    return text[stay], (at - offsets[:-1][text])[stay], near[stay], far[stay], high[stay], low[stay]
+
+
+def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
+    """Anchors of the texts (id, text_hash, text) whose digest of 128 bits occurs again, without the first occurrence (in the
+    order of id, text_hash, place): id, text_hash, place, near, far, and the first one's place as head_id, head_hash, head_place.
+
+    Two passes over the texts, so that the exchange of whole records is left to anchors that can matter: the first
     sends half digests alone and finds those that occur twice; the second leaves out, by a filter of fixed size (2 MB)
-    over them, most chunks that do not (a full filter lets more through and changes nothing). First occurrences are
+    over them, most anchors that do not (a full filter lets more through and changes nothing). First occurrences are
     found by a group-by on the digest with map-side minima."""
 
     def halves(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for _, data, offsets in slices(batch, "text"):
-                high, n = np.unique(chunk_spans(data, offsets, bits, longest)[3], return_counts=True)
+                high, n = np.unique(anchors(data, offsets, least)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(n > 1)], names=["high", "again"])
 
     twice = docs.select("text").mapInArrow(halves, "high long, again boolean").groupBy("high").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again"))
@@ -82,46 +105,55 @@ def repeated_chunks(docs: DataFrame, bits: int = 5, longest: int = 512) -> DataF
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part, data, offsets in slices(batch, "text"):
-                text, starts, ends, high = chunk_spans(data, offsets, bits, longest)
+                text, place, near, far, high, low = anchors(data, offsets, least)
                 slot = high & np.uint64((1 << 24) - 1)
                 may = (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                low = span_hashes(data, starts, ends, OTHER, OTHER_INVERSE)
                 which = pa.array(text[may])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(which), part.column("text_hash").take(which), pa.array((starts - offsets[:-1][text])[may]),
-                                                  pa.array((ends - starts)[may].astype(np.int32)), pa.array(high[may].view(np.int64)), pa.array(low[may].view(np.int64))],
-                                                 names=["doc_id", "text_hash", "start", "size", "high", "low"])
-
-    chunks = docs.select("doc_id", "text_hash", "text").mapInArrow(cut, "doc_id long, text_hash long, start long, size int, high long, low long")
-    chunks = keep(chunks, "chunks")
-    place = F.struct("doc_id", "text_hash", "start")
-    heads = chunks.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).filter("n > 1").select("high", "low", "head")
-    # Both sides are plain tables, so that Spark can split a chunk that very many texts share.
-    return chunks.join(keep(heads, "heads"), ["high", "low"]).select("doc_id", "text_hash", "start", "size", (F.col("head") == place).alias("first"))
-
-
-def passages(starts: list[int], sizes: list[int], first: list[bool], least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Runs of adjoining repeated chunks of `least` bytes or more, and within them the stretches to remove: chunks
-    that are not first occurrences, again `least` bytes or more together."""
-    order = sorted(range(len(starts)), key=starts.__getitem__)
-    runs: list[list[int]] = []
-    for i in order:
-        if runs and starts[i] == starts[runs[-1][-1]] + sizes[runs[-1][-1]]:
-            runs[-1].append(i)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(which), part.column("text_hash").take(which), pa.array(place[may]), pa.array(near[may].astype(np.int32)),
+                                                  pa.array(far[may].astype(np.int32)), pa.array(high[may].view(np.int64)), pa.array(low[may].view(np.int64))],
+                                                 names=["id", "text_hash", "place", "near", "far", "high", "low"])
+
+    found = docs.select("id", "text_hash", "text").mapInArrow(cut, "id long, text_hash long, place long, near int, far int, high long, low long")
+    found = keep(found, "anchors")
+    where = F.struct("id", "text_hash", "place")
+    heads = found.groupBy("high", "low").agg(F.min(where).alias("head"), F.max(where).alias("top")).filter("head <> top").select("high", "low", "head")
+    # Both sides are plain tables, so that Spark can split an anchor that very many texts share.
+    return found.join(keep(heads, "heads"), ["high", "low"]).filter(F.col("head") != where).select(
+        "id", "text_hash", "place", "near", "far", F.col("head.id").alias("head_id"), F.col("head.text_hash").alias("head_hash"), F.col("head.place").alias("head_place"))
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Bytes that two arrays have in common from their beginning, in time of that order."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        other = a[at:min(at + step, n)] != b[at:min(at + step, n)]
+        if other.any():
+            return at + int(other.argmax())
+        at, step = at + len(other), 2 * step
+    return n
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as disjoint ones in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            runs.append([i])
-    found, gone = [], []
-    for run in runs:
-        a, b = starts[run[0]], starts[run[-1]] + sizes[run[-1]]
-        if b - a < least:
-            continue
-        found.append((a, b))
-        for i in run:
-            if not first[i]:
-                if gone and gone[-1][1] == starts[i]:
-                    gone[-1] = (gone[-1][0], starts[i] + sizes[i])
-                else:
-                    gone.append((starts[i], starts[i] + sizes[i]))
-    return found, [(a, b) for a, b in gone if b - a >= least]
+            out.append((a, b))
+    return out
+
+
+def whole_words(raw: bytes, spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Spans drawn in to where words begin and end, if that is REACH bytes away at most, and otherwise to where
+    characters begin; those that are left with `least` bytes or more."""
+    blank = lambda i: i < 0 or i >= len(raw) or bool(SPACE[raw[i]])
+    out = []
+    for a, b in spans:
+        to = next((i for i in range(a, min(a + REACH, b)) if blank(i - 1) and not blank(i)), a)
+        end = next((i for i in range(b, max(b - REACH, to), -1) if blank(i) and not blank(i - 1)), b)
+        out += [(x, y) for x, y in whole_characters(raw, [(to, end)]) if y - x >= least]
+    return out
 
 
 def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -141,59 +173,84 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 SPAN = "array<struct<start:long,stop:long>>"
 
 
-def dedupe_passages(docs: DataFrame, least: int = 120, bits: int = 5, longest: int = 512) -> DataFrame:
+def dedupe_passages(docs: DataFrame, least: int = 120) -> DataFrame:
     """Remove repeated passages from all texts: returns the rows of (doc_id, text) with `kept` (the text without
     them), `repeated` (byte spans of passages that occur elsewhere too, this being the first occurrence or not)
-    and `removed` (spans taken out), by content-defined chunks of 2^bits bytes on average.
+    and `removed` (spans taken out).
 
-    A chunk is a repeat if its digest occurred before, in the order of doc_id, text and place. Short
-    repeats are common words: only runs of adjoining repeated chunks that cover `least` bytes count as a passage,
-    and only stretches of so many bytes are taken out. The first occurrence of each chunk stays, so every passage survives once. A passage of 50 words shares all but
-    its outermost chunks (about 60 bytes at its start and 30 at its end on average) with its other occurrences.
+    A passage is a stretch of `least` bytes or more, the same byte for byte at an earlier place in the order of doc_id, text
+    and place. (1) Content-defined chunks are anchors only (see `anchors`): two occurrences of a stretch of `least` bytes
+    share one. (2) Every anchor is compared with its first occurrence, byte-wise to both sides as far as the texts
+    agree; what agrees for `least` bytes as a whole is a passage. (3) Strings of `least` bytes about an anchor that its first
+    occurrence does not have may still be equal among the others: those are compared by a group-by on their digests.
+    So no passage is missed for where its chunks end, and chunks that repeat at different places make none. What is taken
+    out are whole words (of texts that have some), `least` bytes or more; the first occurrence stays. Where
+    a stretch overlaps its own earlier occurrence, its first `least` bytes stay.
 
     Null text is empty and `kept` is then empty; rows with equal id and text are told apart by nothing, so they lose
     nothing to each other, and all keep what the first of them keeps. Null ids come first. An empty table gives none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    chunks = repeated_chunks(docs, bits, longest)
-    # Equal rows (id and text) give equal chunks; one of each is enough.
-    marks = chunks.groupBy(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), "text_hash").agg(F.collect_set(F.struct("start", "size", "first")).alias("marks"))
-
-    def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1 << 63)))
+    pairs = repeated_anchors(docs, least).groupBy("id", "text_hash", "head_id", "head_hash").agg(F.collect_set(F.struct("place", "head_place", "near", "far")).alias("marks"))
+    pairs = keep(pairs, "pairs")
+    wanted = pairs.select("id", "text_hash").union(pairs.select("head_id", "head_hash")).distinct()
+    texts = keep(docs.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.first("text").alias("text")), "texts")
+
+    def extend(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "text_hash", "start", "stop", "gone", "high", "low"]
         for batch in rows:
-            ids, hashes, found, gone = [], [], [], []
             for r in range(batch.num_rows):
-                m = batch.column("marks")[r].as_py()
-                f, g = passages([x["start"] for x in m], [x["size"] for x in m], [x["first"] for x in m], least)
-                if f:
-                    ids.append(batch.column("id")[r].as_py())
-                    hashes.append(batch.column("text_hash")[r].as_py())
-                    found.append([{"start": a, "stop": b} for a, b in f])
-                    gone.append([{"start": a, "stop": b} for a, b in g])
-            span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(found, span), pa.array(gone, span)],
-                                             names=["id", "text_hash", "repeated", "removed"])
-
-    spans = marks.mapInArrow(judge, f"id long, text_hash long, repeated {SPAN}, removed {SPAN}")
+                key, other = [(batch.column(a)[r].as_py(), batch.column(b)[r].as_py()) for a, b in (("id", "text_hash"), ("head_id", "head_hash"))]
+                own, head = [np.frombuffer(batch.column(c)[r].as_py().encode(), np.uint8) for c in ("text", "head_text")]
+                marks = sorted((m["place"] - m["head_place"], m["place"], m["near"], m["far"]) for m in batch.column("marks")[r].as_py())
+                spans, open_, a, b, way = set(), [], 0, 0, None
+                for gap, p, near, far in marks:
+                    if gap != way or p >= b:
+                        q, way = p - gap, gap
+                        a, b = p - common(own[:p][::-1], head[:q][::-1]), p + common(own[p:], head[q:])
+                        if b - a >= least:
+                            spans.add((*other, a - gap, b - gap, False))
+                            spans.add((*key, max(a, a - gap + least) if key == other else a, b, True))
+                    at = np.arange(p - far, p - near + 1)
+                    open_.append(at[(at < a) | (at + least > b)])
+                if spans:
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(zip(*sorted(spans)), kinds)], pa.nulls(len(spans), pa.int64()), pa.nulls(len(spans), pa.int64())], names=names)
+                at = np.unique(np.concatenate(open_))
+                if len(at):
+                    put = lambda v: pa.array(np.full(len(at), v, np.int64))
+                    yield pa.RecordBatch.from_arrays([put(key[0]), put(key[1]), pa.array(at), pa.array(at + least), pa.nulls(len(at), pa.bool_()), pa.array(span_hashes(own, at, at + least).view(np.int64)),
+                                                      pa.array(span_hashes(own, at, at + least, OTHER, OTHER_INVERSE).view(np.int64))], names=names)
+
+    # All sides of these joins are plain tables, so that Spark can split a text that very many share.
+    both = pairs.join(texts.select(F.col("id").alias("head_id"), F.col("text_hash").alias("head_hash"), F.col("text").alias("head_text")), ["head_id", "head_hash"]).join(texts, ["id", "text_hash"])
+    matches = keep(both.select("id", "text_hash", "text", "head_id", "head_hash", "head_text", "marks").mapInArrow(
+        extend, "id long, text_hash long, start long, stop long, gone boolean, high long, low long"), "matches")
+    where = F.struct("id", "text_hash", "start")
+    strings = matches.filter("gone is null")
+    firsts = strings.groupBy("high", "low").agg(F.min(where).alias("head"), F.max(where).alias("top")).filter("head <> top").select("high", "low", "head")
+    again = strings.join(keep(firsts, "firsts"), ["high", "low"])
+    close = (F.col("id") == F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash")) & (F.col("start") < F.col("head.start") + least)
+    again = again.filter((F.col("head") == where) | ~close).select("id", "text_hash", F.struct("start", "stop", (F.col("head") != where).alias("gone")).alias("mark"))
+    marks = matches.filter("gone is not null").select("id", "text_hash", F.struct("start", "stop", "gone").alias("mark")).union(again)
+    marks = marks.groupBy("id", "text_hash").agg(F.collect_set("mark").alias("marks"))
 
     def remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in rows:
-            kept, real = [], []
+            kept, found, real = [], [], []
             for r in range(batch.num_rows):
-                text, gone = batch.column("text")[r].as_py(), batch.column("removed")[r].as_py()
-                if gone:
-                    raw, at, parts = text.encode(), 0, []
-                    gone = whole_characters(raw, [(g["start"], g["stop"]) for g in gone])
-                    for a, b in gone:
-                        parts.append(raw[at:a])
-                        at = b
-                    text = b"".join([*parts, raw[at:]]).decode()
-                    gone = [{"start": a, "stop": b} for a, b in gone]
-                kept.append(text)
-                real.append(gone or [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.string()), batch.column("repeated"),
-                                              pa.array(real, batch.schema.field("removed").type)], names=["doc_id", "text", "kept", "repeated", "removed"])
-
-    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1 << 63)))
-    empty = F.array().cast(SPAN)
-    joined = keyed.join(spans, ["id", "text_hash"], "left").select("doc_id", "text", F.coalesce("repeated", empty).alias("repeated"), F.coalesce("removed", empty).alias("removed"))
+                text, marks = batch.column("text")[r].as_py(), batch.column("marks")[r].as_py() or []
+                raw, at, parts = text.encode() if marks else b"", 0, []
+                every, gone = [whole_words(raw, merged([(m["start"], m["stop"]) for m in marks if m["gone"] or not only]), least) for only in (False, True)]
+                for a, b in gone:
+                    parts.append(raw[at:a])
+                    at = b
+                kept.append(b"".join([*parts, raw[at:]]).decode() if gone else text)
+                found.append([{"start": a, "stop": b} for a, b in every])
+                real.append([{"start": a, "stop": b} for a, b in gone])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.string()), pa.array(found, span), pa.array(real, span)],
+                                             names=["doc_id", "text", "kept", "repeated", "removed"])
+
+    joined = docs.join(marks, ["id", "text_hash"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(remove, f"doc_id long, text string, kept string, repeated {SPAN}, removed {SPAN}")

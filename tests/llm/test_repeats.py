@@ -87,6 +87,29 @@ def test_passages_go_once_and_clean_texts_stay(make_docs, rows):
     assert sum(r.kept == r.text for r in twins) == 1 and len(text) < len(rows)
 
 
+def test_every_short_passage_goes(make_docs):
+    """Many passages of 51 to 60 words, twice each; and common stretches that stay under the length but adjoin."""
+    plant = [prose(("plant", k), 51 + k % 10) for k in range(150)]
+    pairs = [(k, f"{prose(('before', k), 30)} {p} {prose(('after', k), 30)}") for k, p in enumerate(plant)]
+    pairs += [(1000 + k, f"{prose(('front', k), 30)} {p} {prose(('back', k), 30)}") for k, p in enumerate(plant)]
+    bits = [prose(("bit", k), 60)[:70].strip() for k in range(2)]
+    pairs += [(2000, f"{prose('x', 30)} {bits[0]} {prose('y', 30)}"), (2001, f"{prose('z', 30)} {bits[1]} {prose('w', 30)}"), (2002, f"{prose('u', 30)} {bits[0]} {bits[1]} {prose('v', 30)}")]
+    out = {r.doc_id: r for r in chunks.dedupe_passages(make_docs(pairs)).collect()}
+    for k, p in enumerate(plant):
+        assert out[k].kept == out[k].text and len(out[k].repeated) == 1
+        assert p not in out[1000 + k].kept and len(out[1000 + k].kept.encode()) <= len(out[1000 + k].text.encode()) - len(p.encode())
+    assert all(not out[i].repeated and out[i].kept == out[i].text for i in (2000, 2001, 2002))
+
+
+def test_passages_of_others_than_the_first(make_docs):
+    """The first occurrence of a common phrase has another context; two later texts share the phrase with theirs."""
+    phrase = prose("phrase", 40)[:100].strip()
+    around = [f"{prose('l', 4)} {phrase} {prose('r', 4)}" for _ in range(2)]
+    pairs = [(0, f"{prose('a', 40)} {phrase} {prose('b', 40)}")] + [(1 + k, f"{prose(('c', k), 40)} {x} {prose(('d', k), 40)}") for k, x in enumerate(around)]
+    out = {r.doc_id: r for r in chunks.dedupe_passages(make_docs(pairs)).collect()}
+    assert [len(out[k].removed) for k in range(3)] == [0, 0, 1] and around[1] not in out[2].kept and len(out[1].repeated) == 1
+
+
 def brute_links(pairs, percent=75):
     sets = [frozenset(grams(t)) for _, t in pairs]
     parent = list(range(len(pairs)))
