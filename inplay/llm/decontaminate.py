@@ -58,7 +58,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     """Which documents (doc_id, text) hold a passage of which benchmark items (item_id, text): doc_id, item_id,
     similarity (weighted Jaccard of `size`-word shingles, the best window's), n_windows, first_word.
 
-    Every window of a document with as many words as an item is a candidate. (1) A window can reach `percent` only if
+    Every window of a document with as many words as an item is a candidate, and of a document with fewer words (`size`
+    at least) the whole, under each item length that it can reach, by the same bound for unequal sizes. (1) A window can reach `percent` only if
     few of its shingles (one in seven, at 75) are foreign to the whole benchmark; this bound is sound, uses a
     table of fixed size (a full one lets more windows through and changes nothing), and leaves windows about real
     passages. (2) Those get a SimHash; windows of equal content
@@ -117,6 +118,16 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
                         s, t = may[at:at + 2000], text[at:at + 2000]
                         grams = window_grams(words, s, n, size)
                         yield _rows(part.column("doc_id").take(pa.array(t)).cast(pa.int64()), s - first[:-1][t], np.full(len(s), n), fingerprints(grams), list(counted(grams)))
+                sizes = np.diff(first)
+                for t in np.flatnonzero((sizes >= size) & (sizes < max(lengths, default=0))).tolist():  # whole documents
+                    a, n = int(first[t]), int(sizes[t])
+                    m = n - size + 1
+                    strange = int(foreign[a + m] - foreign[a])
+                    # 100 * own >= percent * (the item's shingles + strange) must hold; only then is a longer item in reach.
+                    far = [k for k in lengths if k > n and 100 * (m - strange) >= percent * (k - size + 1 + strange)]
+                    if far:
+                        grams, many = window_grams(words, np.array([a]), n, size), len(far)
+                        yield _rows(part.column("doc_id").take(pa.array([t] * many)).cast(pa.int64()), np.zeros(many, np.int64), np.array(far), np.repeat(fingerprints(grams), many), [*counted(grams)] * many)
 
     windows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, ROWS)
     windows = keep(windows.withColumn("content", F.xxhash64("grams")), "windows")

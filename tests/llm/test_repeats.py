@@ -173,6 +173,23 @@ def test_benchmark_passages_equal_brute_force(spark, make_docs):
     assert len(got) >= 10 and not any(d is not None and d >= 60 for d, _ in got)
 
 
+def test_documents_shorter_than_an_item(spark, make_docs):
+    items = [(k, prose(("whole", k), 59 - 4 * k)) for k in range(8)]
+    cut = lambda k, a, b: " ".join(items[k][1].split(" ")[a:len(items[k][1].split(" ")) - b])
+    pairs = [(10 * k + j, cut(k, a, b)) for k in range(8) for j, (a, b) in enumerate([(0, 2), (1, 1), (3, 2), (5, 5), (9, 9)])]
+    pairs += [(200 + k, edited(cut(k, 1, 2), k, 0.02)) for k in range(8)] + [(None, cut(0, 2, 0)), (300, prose("other", 40)), (301, "a b c"), (302, None)]
+    want = brute_leaks(pairs, items)
+    for doc, text in pairs:
+        for item, passage in items:
+            part, own = Counter(grams(text)), Counter(grams(passage))
+            both, every = sum((own & part).values()), sum((own | part).values())
+            if len(words(text)) < len(words(passage)) and 100 * both >= 75 * every:
+                want[doc, item] = both / every
+    got = {(r.doc_id, r.item_id): (r.similarity, r.n_windows) for r in decontaminate.contaminated(make_docs(pairs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(want) and all(v[1] == 1 for v in got.values())
+    assert want[0, 0] == pytest.approx(53 / 55) and len(want) >= 24
+
+
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([], "item_id long, text string")
     assert suffixes.without_repeats(none).count() == 0
