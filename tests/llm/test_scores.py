@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from inplay.llm import mixing, quality, sharding, syncmers
+from inplay.llm import mixing, quality, queries, sharding, syncmers
 from inplay.llm.ordering import cut_points, range_bucket
 from inplay.llm.queries import remainder
 from pyspark.sql import functions as F
@@ -182,3 +182,13 @@ def test_pipeline_stages_on_a_small_corpus(make_docs, spark, tmp_path):
     assert kept[2] - kept[3] == {1001}
     assert kept[4] == kept[3]
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_registered_shards_deal_the_texts(spark, monkeypatch, tmp_path, make_docs, rows):
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    real, met = sharding.hypergeometric_shards, []
+    monkeypatch.setattr(sharding, "hypergeometric_shards", lambda df, **k: met.append(df.columns) or real(df, **k))
+    out = queries.op2_hypergeometric_shards(spark, str(tmp_path)).collect()
+    assert met == [["doc_id", "text"]]
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((i, len(t) + 1, zlib.crc32(t)) for i, t in raw)
