@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inplay.llm import chunks, decontaminate, jaccard, mixing, packing, quality, rans, sharding, suffixes, syncmers
+from inplay.llm import chunks, decontaminate, jaccard, mixing, packing, quality, rans, sharding, spheres, suffixes, syncmers, toxicity, tries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,65 @@ def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of nine tenths of them."""
     out = mixing.score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@register
+def op11_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a toxicity score; labels of a third of the ids are held out."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels.filter(remainder("doc_id", 3) != 1)))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register
+def op12_trie_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from all documents, in each of their 120 orders, per source."""
+    return tries.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_trie_audit"] = r"""
+WITH marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+counted AS (SELECT doc_id, part, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM texts),
+failing AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN least < c.doc_id THEN 'E' ELSE '' END) AS f
+    FROM counted c LEFT JOIN marks m ON m.doc_id = c.doc_id),
+masks AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a JOIN letters b ON b.l <> a.l JOIN letters c ON c.l NOT IN (a.l, b.l)
+    JOIN letters d ON d.l NOT IN (a.l, b.l, c.l) JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+each AS (SELECT part, o, s, n, good, toxic, f, contains(f, substr(o, s, 1)) AS fails, len(translate(f, substr(o, 1, s - 1), '')) < len(f) AS gone, length(f) AS k
+    FROM masks, orders, (SELECT unnest(range(1, 6)) AS s))
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN f = substr(o, s, 1) THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost, CAST(sum(CASE WHEN fails THEN n * (120 // k) ELSE 0 END) AS BIGINT) AS shapley
+FROM each GROUP BY part, o, s
+"""
+
+
+@register
+def op13_sphere_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid vectors in 16 clusters after three rounds of exact whole-number k-means."""
+    rows, centroids = spheres.centroid_clusters(table(spark, sf_dir, "embeddings"))
+    return spheres.with_inertia(rows.drop("scanned"), centroids)
+
+
+def _sphere_sql(k: int = 16, rounds: int = 3) -> str:
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('1:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT v.r, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))), 'c': c.c}}) AS m
+  FROM v, c{i} c GROUP BY v.r)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.e, o.e) AS e FROM c{i} o LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM
+  (SELECT a.m.c AS c, i, sum(v.e[i]) AS s, count(*) AS n FROM a{i} a JOIN v ON v.r = a.r, (SELECT unnest(range(1, 65)) AS i) GROUP BY a.m.c, i) GROUP BY c) n ON n.c = o.c)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT v.vec_id, CAST(a.m.c AS INTEGER) AS cluster, CAST(a.m.d AS BIGINT) AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.e, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON v.r = a.r JOIN c{rounds} c ON c.c = a.m.c"""
+
+
+ORACLES["op13_sphere_drift"] = _sphere_sql()

@@ -29,4 +29,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of what came before."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that keep() gave, once what replaces it is written. Other frames stay untouched."""
+    folder = getattr(df, "kept_at", None)
+    if folder:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
