@@ -22,15 +22,20 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the group's smallest id; of several rows with that
-    id, the one whose text hashes least. Null ids have no group of their own and stay, as do texts without words."""
-    groups = jaccard.jaccard_join(docs.select("doc_id", "text"))
-    drop = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(drop, "doc_id", "left_anti")
-    twice = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.xxhash64("text")).alias("least")).filter("rows > 1 and doc_id is not null")
-    rest = left.join(twice.select("doc_id"), "doc_id", "left_anti")
-    some = left.join(twice.select("doc_id", "least"), "doc_id").filter(F.xxhash64("text") == F.col("least")).select(*COLUMNS).dropDuplicates(["doc_id"])
-    return rest.select(*COLUMNS).union(some)
+    """One row of each class of linked texts: the one of the smallest id (a null id is larger than every other), of several
+    with that id the one whose text hashes least, of several rows alike any one. What counts is the text: rows that
+    merely share an id stay, and so do texts without words."""
+    keyed = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    groups = keep(jaccard.jaccard_join(keyed, carry=["text_hash"]).filter("class_id is not null").select("doc_id", "text_hash", "class_id"), "groups")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    judged = groups.join(groups.groupBy("class_id").agg(F.min(row).alias("one")), "class_id").withColumn("stays", row == F.col("one"))
+    judged = judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    drop, twice = judged.filter("not stays"), judged.filter("stays and rows > 1")
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["text_hash"] == other["text_hash"])
+    more = drop.unionByName(twice).select("doc_id", "text_hash")
+    lone = keyed.join(more, same(more), "left_anti")
+    one = keyed.join(twice.select("doc_id", "text_hash"), same(twice), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return lone.select(*COLUMNS).union(one.select(*COLUMNS))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inplay.llm.storage import keep
+from inplay.llm.storage import discard, keep
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def components(links: DataFrame) -> DataFrame:
         large = keep(large, "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b")
-        edges = keep(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, edges = edges, keep(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(old)
+        discard(large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from inplay.llm.components import components
-from inplay.llm.storage import keep
+from inplay.llm.storage import discard, keep
 from inplay.llm.textscan import mix, sequence_hash, shingle_hashes, slices, word_hashes
 
-NO_ID = (1 << 63) - 1  # stands for a null id while ids are compared
 SLOTS = 20  # bits of the table of frequent n-grams
 
 
@@ -43,26 +43,30 @@ def ordered(grams: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sort((weight[grams >> np.uint64(64 - SLOTS)].astype(np.uint64) << np.uint64(58)) | (grams & np.uint64((1 << 58) - 1)))
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, carry: Sequence[str] = ()) -> DataFrame:
     """Link documents (doc_id, text) whose sets of `size`-word n-grams have a Jaccard similarity of `percent` or
-    more: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included), and `set_id`
-    (equal for equal sets), one row per row of `docs`. Words are runs of non-space bytes, A-Z in lower case.
+    more: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included), `set_id` (equal for
+    equal sets), `class_id` (equal for linked sets; null without words) and the columns named in `carry`, one row per
+    row of `docs`. Words are runs of non-space bytes, A-Z in lower case.
 
     The product of the document by n-gram matrix with its transpose, in blocks of one n-gram, without what cannot
     count. (1) Equal sets are one row of the matrix. (2) A document enters with its first n - ceil(p n) + 1 n-grams in
     one order of all n-grams: two sets that are similar enough must meet there. The order puts n-grams that are
     frequent anywhere last, by a fixed-size table of counts over all documents; it changes the work, not the result.
-    (3) First product: each block pairs its documents with one document of like size, so a group of g near copies
-    costs g entries, not g^2; each document's two pairs of most overlap that could reach the bound of (4) are verified and
-    become components. (4) Second product: all pairs of each block that lie in different components and whose sizes allow a
-    link; overlap counts add up over blocks, and a pair is dropped when count and unseen rest fall short of the
-    size-derived bound. (5) What is left is compared on whole sets. The first product may miss links; the second
-    misses none between different components. Every link between different components is found, so components are exact; links inside one are not listed.
+    (3) An entry knows its place in that order. Where two documents first meet, at places i and j, they share
+    min(n - i, m - j) n-grams at most, so a pair that falls short of the size-derived bound there is never made; as rare
+    n-grams come first, a document with many n-grams of its own hardly meets anyone. (4) First product: each block
+    pairs its documents with the one that has the n-gram earliest among those of like size, so a group of g near
+    copies costs g entries, not g^2; each document's two pairs that meet most often are verified and become components.
+    (5) Second product: the pairs of each block that lie in different components, whose sizes allow a link and whose places
+    keep the bound. (6) What is left is compared on whole sets. The first product may miss links; the second misses none
+    between different components: the n-gram at which a linked pair first meets passes the bound. So components are
+    exact; links inside one are not listed.
 
     Null text is empty; empty documents are linked with nothing and are their own component. A null id takes part and
-    is never the smallest id (its component_id is null when alone). Repeated ids and rows are allowed; an empty table
-    gives no rows; other columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    is never the smallest id (component_id is null where no document of the component has one). Repeated ids and rows are
+    allowed; an empty table gives no rows; columns not named in `carry` are ignored."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOTS, np.int64)
@@ -75,40 +79,51 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(often, pa.int32()), pa.array(total[often], pa.int64())], names=["slot", "n"])
 
     weight = np.zeros(1 << SLOTS, np.uint8)
-    for r in docs.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # 2^SLOTS rows at most
+    for r in docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # 2^SLOTS rows at most
         weight[r["slot"]] = min(63, int(r["n"]).bit_length())
 
     def name(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part, data, offsets in slices(batch, "text"):
                 sets = list(gram_sets(data, offsets, size))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())],
-                                                 names=["doc_id", "n", "s"])
+                rest = part.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())],
+                                                 names=[*rest.schema.names, "__n", "__s"])
 
     def enter(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()  # a task sends each set once
         for batch in rows:
             for _, data, offsets in slices(batch, "text"):
                 keys, ns, ids = [], [], []
                 for s in gram_sets(data, offsets, size):
-                    if len(s):
+                    i = set_hash(s) if len(s) else 0
+                    if len(s) and (len(s), i) not in met:
+                        met.add((len(s), i))
                         keys.append(ordered(s, weight)[:len(s) - -(-percent * len(s) // 100) + 1])
                         ns.append(len(s))
-                        ids.append(set_hash(s))
-                sizes = [len(k) for k in keys]
+                        ids.append(i)
+                sizes = np.array([len(k) for k in keys], np.int64)
+                places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(np.repeat(np.array(ids, np.int64), sizes)),
-                    pa.array(np.repeat(np.array([k[-1] for k in keys], np.uint64).view(np.int64), sizes))], names=["key", "n", "s", "last"])
+                    pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), sizes)),
+                    pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(places.astype(np.int32))], names=["key", "n", "s", "i"])
 
-    named = keep(docs.mapInArrow(name, "doc_id long, n long, s long"), "named")
-    vertex = named.filter("n > 0").groupBy("n", "s").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.count(F.lit(1)).alias("copies"))
+    fields = [f for f in docs.schema.fields if f.name != "text"]
+    named = docs.mapInArrow(name, T.StructType([*fields, T.StructField("__n", T.LongType()), T.StructField("__s", T.LongType())]))
+    named = keep(named.select("doc_id", F.col("__n").alias("n"), F.col("__s").alias("s"), *carry), "named")
+    vertex = keep(named.filter("n > 0").groupBy("n", "s").agg(F.min("doc_id").alias("id")), "vertices")
 
     # One exchange by n-gram; the windows share it. Copies of a set meet as equal rows and only mark each other.
     block, like = W.partitionBy("key"), W.partitionBy("key", "class")
-    entry = docs.mapInArrow(enter, "key long, n int, s long, last long").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    entry = docs.select("text").mapInArrow(enter, "key long, n int, s long, i int").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
     entry = entry.repartition("key")
-    me = F.struct("n", "s", "last")
+    me, first = F.struct("n", "s"), F.struct("i", "n", "s")
     entry = entry.withColumn("low", F.min(me).over(block)).withColumn("high", F.max(me).over(block)).filter("low <> high")
-    entry = keep(entry.withColumn("hub", F.min(me).over(like)).select("key", "n", "s", "last", "hub").distinct(), "entries")
+    entry = keep(entry.withColumn("hub", F.min(first).over(like)).select("key", "n", "s", "i", "hub").distinct(), "entries")
+
+    def reach(an: Column, ai: Column, bn: Column, bi: Column) -> Column:
+        """Whether sets of these sizes that first meet at these places may be similar enough."""
+        return (100 + percent) * F.least(an - ai, bn - bi) >= percent * (an + bn)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """(an, as, bn, bs) -> those that are similar enough, compared on whole sets."""
@@ -120,6 +135,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
             bits[r["w"]] = np.int64(r["bits"]).view(np.uint64)
 
         def load(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: set[tuple[int, int]] = set()
             for batch in rows:
                 for _, data, offsets in slices(batch, "text"):
                     ns, ids, sets = [], [], []
@@ -127,13 +143,14 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
                         if len(s):
                             i = set_hash(s)
                             h = i % (1 << 24)
-                            if int(bits[h >> 6]) >> (h & 63) & 1:
+                            if int(bits[h >> 6]) >> (h & 63) & 1 and (len(s), i) not in met:
+                                met.add((len(s), i))
                                 ns.append(len(s))
                                 ids.append(i)
                                 sets.append(s.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int32()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["n", "s", "grams"])
 
-        sets = docs.mapInArrow(load, "n int, s long, grams binary").join(wanted, ["n", "s"], "left_semi")
+        sets = docs.select("text").mapInArrow(load, "n int, s long, grams binary").join(wanted, ["n", "s"], "left_semi")
         sets = keep(sets.groupBy("n", "s").agg(F.first("grams").alias("grams")), "sets")
 
         def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,41 +163,39 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
                 yield batch.select(["an", "as", "bn", "bs"]).filter(pa.array(good, pa.bool_()))
 
         full = pairs.join(sets.selectExpr("n an", "s as", "grams ga"), ["an", "as"]).join(sets.selectExpr("n bn", "s bs", "grams gb"), ["bn", "bs"])
-        return keep(full.select("an", "as", "bn", "bs", "ga", "gb").mapInArrow(compare, "an int, as long, bn int, bs long"), "links")
-
-    def by_id(links: DataFrame) -> DataFrame:
-        a = vertex.select(F.col("n").cast("int").alias("an"), F.col("s").alias("as"), F.col("id").alias("a"))
-        b = vertex.select(F.col("n").cast("int").alias("bn"), F.col("s").alias("bs"), F.col("id").alias("b"))
-        return links.join(a, ["an", "as"]).join(b, ["bn", "bs"]).select("a", "b")
-
-    vertex = keep(vertex, "vertices")
-
-    def enough(met: DataFrame, times: int = 1) -> DataFrame:
-        """Pairs (one row per n-gram met) whose count, taken `times`, and unseen rest allow a link. Keys up to the lesser
-        of the two last ones have all been met; the rest of that document is the most that can follow."""
-        pairs = met.groupBy("an", "as", "bn", "bs").agg(F.count(F.lit(1)).alias("met"), F.first("alast").alias("alast"), F.first("blast").alias("blast"))
-        alast, blast = F.shiftrightunsigned("alast", 1), F.shiftrightunsigned("blast", 1)
-        unseen = F.when(alast < blast, F.col("an")).when(alast > blast, F.col("bn")).otherwise(F.greatest("an", "bn"))
-        unseen = F.ceil(unseen * percent / 100) - 1
-        return pairs.filter((times * F.col("met") + unseen) * (100 + percent) >= percent * (F.col("an") + F.col("bn"))).select("an", "as", "bn", "bs", "met")
-
-    star = entry.filter(me != F.col("hub")).select(F.col("hub.n").alias("an"), F.col("hub.s").alias("as"), F.col("hub.last").alias("alast"), F.col("n").alias("bn"), F.col("s").alias("bs"), F.col("last").alias("blast"))
-    # Blocks of one group may have different hubs, so a hub's count is a part of the overlap; the two best hubs will do.
-    best = F.row_number().over(W.partitionBy("bn", "bs").orderBy(F.desc("met"), "an", "as"))
-    star = keep(enough(star, 4).withColumn("best", best).filter("best <= 2").select("an", "as", "bn", "bs"), "stars")
+        found = keep(full.select("an", "as", "bn", "bs", "ga", "gb").mapInArrow(compare, "an int, as long, bn int, bs long"), "links")
+        discard(sets)
+        return found
+
+    hub = F.col("hub")
+    star = entry.filter((F.col("n") != hub["n"]) | (F.col("s") != hub["s"])).filter(reach(F.col("n"), F.col("i"), hub["n"], hub["i"]))
+    star = star.groupBy(hub["n"].alias("hn"), hub["s"].alias("hs"), "n", "s").agg(F.count(F.lit(1)).alias("met"))
+    # Blocks of one group may have different hubs; the two that a document meets most often will do.
+    star = star.withColumn("best", F.row_number().over(W.partitionBy("n", "s").orderBy(F.desc("met"), "hn", "hs"))).filter("best <= 2")
+    a, b = F.least(F.struct(F.col("hn").alias("n"), F.col("hs").alias("s")), me), F.greatest(F.struct(F.col("hn").alias("n"), F.col("hs").alias("s")), me)
+    star = keep(star.select(a["n"].alias("an"), a["s"].alias("as"), b["n"].alias("bn"), b["s"].alias("bs")).distinct(), "stars")
     links = verify(star)
-    linked = by_id(links)
-    group = components(linked)
+    linked = links.selectExpr("as a", "bs b")
+
+    def with_class(links: DataFrame) -> DataFrame:
+        """Every set with the class it is linked into: a set's hash stands for it."""
+        group = components(links).select(F.col("id").alias("s"), "component")
+        return vertex.join(group, "s", "left").select("n", "s", "id", F.coalesce("component", "s").alias("component"))
 
-    member = vertex.join(group, "id", "left").select(F.col("n").cast("int").alias("n"), "s", F.coalesce("component", "id").alias("component"))
-    rest = entry.drop("hub").join(keep(member, "members"), ["n", "s"]).repartition("key")
+    member = keep(with_class(linked).select(F.col("n").cast("int").alias("n"), "s", "component"), "members")
+    rest = entry.drop("hub").join(member, ["n", "s"]).repartition("key")
     rest = rest.withColumn("one", F.min("component").over(block)).withColumn("other", F.max("component").over(block)).filter("one <> other").drop("one", "other")
     rest = keep(rest, "entries")
-    a, b = (rest.select("key", *[F.col(c).alias(f"{x}{c[0]}" if c != "last" else f"{x}last") for c in ("n", "s", "component", "last")]) for x in "ab")
-    met = a.join(b, "key").filter((F.struct("an", "as") < F.struct("bn", "bs")) & (F.col("ac") != F.col("bc")) & (100 * F.col("an") >= percent * F.col("bn")))
-    pairs = keep(enough(met).drop("met").join(star, ["an", "as", "bn", "bs"], "left_anti"), "pairs")
-    group = components(linked.union(by_id(verify(pairs))))
-    final = vertex.join(group, "id", "left").select("n", "s", F.coalesce("component", "id").alias("component"))
-    out = named.join(keep(final, "final"), ["n", "s"], "left")
-    component = F.when(F.col("component") == NO_ID, F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("s").alias("set_id"))
+    discard(entry)
+    a, b = (rest.select("key", *[F.col(c).alias(f"{x}{c[0]}") for c in ("n", "s", "component", "i")]) for x in "ab")
+    a = a.filter((100 + percent) * (F.col("an") - F.col("ai")) >= 2 * percent * F.col("an"))  # the smaller set must come early even for its own size
+    met = a.join(b, "key").filter((F.struct("an", "as") < F.struct("bn", "bs")) & (F.col("ac") != F.col("bc")) & (100 * F.col("an") >= percent * F.col("bn"))
+                                  & reach(F.col("an"), F.col("ai"), F.col("bn"), F.col("bi")))
+    pairs = keep(met.select("an", "as", "bn", "bs").distinct().join(star, ["an", "as", "bn", "bs"], "left_anti"), "pairs")
+    discard(rest)
+    member = keep(with_class(linked.union(verify(pairs).selectExpr("as a", "bs b"))).withColumnRenamed("component", "class_id"), "members")
+    least = member.groupBy("class_id").agg(F.min("id").alias("component_id"))
+    final = keep(member.join(least, "class_id").select("n", "s", "class_id", "component_id"), "final")
+    out = named.join(final, ["n", "s"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("s").alias("set_id"), "class_id", *carry)

@@ -75,7 +75,7 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by a Jaccard similarity of 0.75 or more on five-word n-grams."""
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("set_id")
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents")).drop("set_id", "class_id")
 
 
 ORACLES["op8_jaccard_join"] = r"""

@@ -142,6 +142,23 @@ def test_jaccard_components_equal_brute_force(make_docs, rows):
     assert got == brute_links(pairs)
 
 
+def test_null_ids_do_not_tie_classes_together(make_docs):
+    """Two unrelated texts without an id, each near an unrelated document; and a class of which no row has an id."""
+    a, b, c = prose("one", 100), prose("two", 100), prose("three", 100)
+    pairs = [(5, a), (None, a + " x"), (9, b), (None, b + " y"), (None, c), (None, "z " + c), (None, prose("lone", 60)), (5, prose("same id", 60))]
+    out = jaccard.jaccard_join(make_docs(pairs), carry=["lang"]).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_links(pairs)
+    assert sorted(Counter(r.class_id for r in out).values()) == [1, 1, 2, 2, 2] and {r.lang for r in out} == {"xx"}
+
+
+def test_heavily_edited_crowd_meets_only_near_its_like(make_docs):
+    """Copies with one to three tenths of their words edited: some links, many near misses, each decided exactly."""
+    base = prose("crowd of edits", 150)
+    pairs = [(k, edited(base, k, 0.01 + 0.003 * k)) for k in range(40)] + [(100 + k, base + " " + prose(("more", k), 10 + 6 * k)) for k in range(8)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(make_docs(pairs, 5)).collect())
+    assert got == brute_links(pairs) and 1 < len({c for _, _, c in got}) < 48
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

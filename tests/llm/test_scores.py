@@ -184,6 +184,16 @@ def test_pipeline_stages_on_a_small_corpus(make_docs, spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
 
 
+def test_one_of_each_decides_by_text(make_docs, spark):
+    a, b, c = prose("first text", 90), prose("second text", 90), prose("third text", 90)
+    pairs = [(5, a), (None, a + " x"), (9, b), (None, b + " y"), (7, c), (7, prose("another text of id 7", 90)), (7, c), (8, c + " z"), (None, prose("alone", 50)), (None, prose("alone", 50) + " w"), (3, ""), (3, ""), (None, None)]
+    docs = make_docs(pairs).select(*corpus_pipeline.COLUMNS)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    lone = [k for k in kept if k[0] is None and k[1] is not None]
+    assert len(lone) == 1 and lone[0][1].startswith(prose("alone", 50)) and kept.pop(lone[0]) == 1
+    assert kept == Counter([(5, a), (9, b), (7, c), (7, prose("another text of id 7", 90)), (3, ""), (3, ""), (None, None)])
+
+
 def test_registered_shards_deal_the_texts(spark, monkeypatch, tmp_path, make_docs, rows):
     make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
     real, met = sharding.hypergeometric_shards, []
