@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 PRIME = 2147483647  # 2^31 - 1
@@ -42,12 +43,12 @@ def poisson_cdf(n: int = 10) -> list[float]:
     return out
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count by inverse CDF."""
-    w = F.lit(0)
-    for edge in poisson_cdf():
-        w = w + (u >= edge).cast("int")
-    return w.cast("bigint")
+def poisson_weights(seed: int, keys: np.ndarray, n: int) -> np.ndarray:
+    """Poisson(1) counts (keys x 0..n-1) by inverse CDF of uniform(seed, key, number); keys lie in [0, PRIME)."""
+    mixed = seed + keys.astype(np.int64)[:, None] * _MULTIPLIERS[0] + np.arange(n, dtype=np.int64)[None, :] * _MULTIPLIERS[1]
+    x = mixed % PRIME
+    square = x * x % PRIME
+    return np.searchsorted(poisson_cdf(), square * square % PRIME * x % PRIME / float(PRIME), "right")
 
 
 def poisson_sql(u: str) -> str:

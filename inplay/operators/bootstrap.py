@@ -3,16 +3,20 @@ rows are summed per entity first and only those sums meet the resample weights."
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, IntegralType, LongType, NumericType, StructField, StructType
 
-from inplay.functions.hashing import id_key, poisson_weight, uniform
+from inplay.functions.hashing import PRIME, id_key, poisson_cdf, poisson_weights, uniform
 from inplay.operators.onerow import with_row
 
 SEED = 2013  # fixed value
 BUCKETS = 64  # shares in which entities are numbered for exact draws
+BLOCK = 512  # entities whose weights are held at once
+GROUPS_HELD = 1024  # groups whose replicates a task holds before it gives them on
 
 
 def entity_sums(df: DataFrame, by: str, groups: Sequence[str] = (), **sums: Column) -> DataFrame:
@@ -43,10 +47,87 @@ def _draws(numbered: DataFrame, groups: Sequence[str], n_boot: int, seed: int) -
         F.count(F.lit(1)).alias("__w"))
 
 
-def _poisson(stats: DataFrame, by: str, n_boot: int, seed: int) -> DataFrame:
+class _Replicates:
+    """Weighted sums of one group over all replicates, as far as one task has seen it. Row 0 is the weights' own sum."""
+
+    def __init__(self, n_sums: int, n_boot: int):
+        self.total = np.zeros((1 + n_sums, n_boot))
+        self.seen: np.ndarray | None = None  # draws of non-null values; None: as many as draws
+
+    def add(self, values: np.ndarray, w: np.ndarray) -> None:
+        missing = np.isnan(values)
+        if self.seen is None and missing.any():
+            self.seen = np.repeat(self.total[:1], len(self.total) - 1, 0)
+        if self.seen is not None:
+            self.seen += (~missing).T.astype(float) @ w
+        self.total[0] += w.sum(0)
+        values = np.where(missing, 0.0, values)
+        if np.isfinite(values).all():
+            self.total[1:] += values.T @ w
+        else:  # an infinite sum counts where it is drawn only
+            for i, column in enumerate(values.T, 1):
+                self.total[i] += np.where(w > 0, column[:, None] * np.where(w > 0, w, 1), 0).sum(0)
+
+
+def _block_codes(part: pa.RecordBatch, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's group within the block, a row of each group)."""
+    code = np.zeros(part.num_rows, np.int64)
+    for i in range(n_groups):
+        one = part.column(i).dictionary_encode(null_encoding="encode")
+        code = np.unique(code * (len(one.dictionary) + 1) + np.asarray(one.indices), return_inverse=True)[1]
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+def _replicate_rows(held: dict[tuple, _Replicates], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(types)]
+    some = list(held.values())
+    n_boot = some[0].total.shape[1]
+    offsets = np.arange(len(some) + 1, dtype=np.int32) * n_boot
+    for i in range(len(some[0].total)):
+        flat = np.concatenate([r.total[i] for r in some])
+        none = np.concatenate([np.zeros(n_boot, bool) if r.seen is None or not i else r.seen[i - 1] == 0 for r in some])
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=none)))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _poisson(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups: list[str], seed: int) -> DataFrame:
+    """Replicates as a blocked product: a task multiplies its block of per-entity sums (entities x sums) with the
+    entities' weights (entities x replicates), both made where the rows lie. What it gives on is one array of
+    replicates per group and sum; entities x replicates never become rows. Entities without an id are not drawn."""
     numeric = isinstance(stats.schema[by].dataType, NumericType)
-    u = uniform(seed, id_key(F.col(by), numeric), F.col("rep"))
-    return stats.select("*", _reps(n_boot)).withColumn("__w", poisson_weight(u)).filter("__w > 0")
+    key = F.pmod(id_key(F.col(by), numeric), F.lit(PRIME)).alias("__key")
+    narrow = stats.filter(F.col(by).isNotNull()).select(*groups, key, *[F.col(c).cast("double").alias(c) for c in sums])
+    lists = [StructField(c, ArrayType(DoubleType())) for c in ("__w", *sums)]
+    schema = StructType([*[stats.schema[g] for g in groups], *lists])
+    n_groups, names = len(groups), [f.name for f in schema]
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, _Replicates] = {}
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(n_groups)]
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                ids, where = np.unique(np.asarray(part.column(n_groups)), return_inverse=True)
+                w = poisson_weights(seed, ids, n_boot).astype(float)
+                values = np.stack([part.column(n_groups + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(sums))], 1)
+                code, first = _block_codes(part, n_groups)
+                labels = list(zip(*[part.column(i).take(pa.array(first)).to_pylist() for i in range(n_groups)])) or [()]
+                order, ends = np.argsort(code, kind="stable"), np.cumsum(np.bincount(code, minlength=len(first)))
+                for label, rows in zip(labels, np.split(order, ends[:-1])):
+                    held.setdefault(label, _Replicates(len(sums), n_boot)).add(values[rows], w[where[rows]])
+                if len(held) > GROUPS_HELD:
+                    yield _replicate_rows(held, types, names)
+                    held = {}
+        if held:
+            yield _replicate_rows(held, types, names)
+
+    arrays = narrow.mapInArrow(product, schema)
+    each = arrays.select(*groups, F.posexplode(F.arrays_zip("__w", *sums)).alias("rep", "__r")).select(*groups, "rep", "__r.*")
+    whole = [c for c in sums if isinstance(stats.schema[c].dataType, IntegralType)]
+    total = {c: F.round(F.sum(c)).cast("bigint") if c in whole else F.sum(c) for c in sums}
+    return each.groupBy(*groups, "rep").agg(F.sum("__w").alias("__w"), *[e.alias(c) for c, e in total.items()]).filter("__w > 0").drop("__w")
 
 
 def resample(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups: Sequence[str] = (),
@@ -54,26 +135,37 @@ def resample(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups
     """Weighted sums per replicate: (groups, rep, sums...).
 
     poisson      an independent Poisson(1) count per entity from its id and the replicate's number, made where
-                 the entity lies: no draw table, no join, only partial sums are shuffled, and every group and
-                 statistic meets the same draws
+                 the entity lies: no draw table, no join, no row per draw; only (groups x replicates) partial sums
+                 are shuffled, and every group and statistic meets the same draws
     multinomial  every replicate draws as many entities as the group has, with replacement
     """
     groups = list(groups)
     if method == "poisson":
-        weighted = _poisson(stats, by, n_boot, seed)
-    elif method == "multinomial":
-        numbered = _numbered(stats, by, groups)
-        weighted = _draws(numbered, groups, n_boot, seed).join(numbered.select(*groups, "__i", *sums), [*groups, "__i"])
-    else:
+        return _poisson(stats, by, sums, n_boot, groups, seed)
+    if method != "multinomial":
         raise ValueError(f"no method {method}")
+    numbered = _numbered(stats, by, groups)
+    weighted = _draws(numbered, groups, n_boot, seed).join(numbered.select(*groups, "__i", *sums), [*groups, "__i"])
     return weighted.groupBy(*groups, "rep").agg(*[F.sum(F.col(s) * F.col("__w")).alias(s) for s in sums])
 
 
 def weights(rows: DataFrame, by: str, n_boot: int, seed: int = SEED, method: str = "poisson") -> DataFrame:
-    """(rep, entity, w): how often each replicate draws each entity (drawn entities only)."""
+    """(rep, entity, w): how often each replicate draws each entity (drawn entities only). A list of the draws for those
+    who want to see them; resample() needs none."""
     ids = rows.select(by).distinct()
     if method == "poisson":
-        return _poisson(ids, by, n_boot, seed).select("rep", by, F.col("__w").alias("w"))
+        key = F.pmod(id_key(F.col(by), isinstance(rows.schema[by].dataType, NumericType)), F.lit(PRIME))
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    w = poisson_weights(seed, np.asarray(part.column(1)), n_boot)
+                    row, rep = np.nonzero(w)
+                    yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int32()), part.column(0).take(pa.array(row)), pa.array(w[row, rep])], names=["rep", by, "w"])
+
+        schema = StructType([StructField("rep", IntegerType()), rows.schema[by], StructField("w", LongType())])
+        return ids.filter(F.col(by).isNotNull()).select(by, key.alias("__key")).mapInArrow(drawn, schema)
     numbered = _numbered(ids, by, [])
     return _draws(numbered, [], n_boot, seed).join(numbered.select("__i", by), "__i").select(
         "rep", by, F.col("__w").alias("w"))

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from inplay.operators.bootstrap import weights
+from inplay.operators.bootstrap import resample
 from inplay.operators.features import END_HALF, N_BINS, TIMED, WP_FEATURES, WP_SPREAD_FEATURES
 from inplay.operators.metrics import calibration_error, summary
 from inplay.operators.segments import RESULTS
@@ -75,8 +75,7 @@ def cv_report(cv: DataFrame, kind: str, n_boot: int = 1000) -> DataFrame:
         t = c.groupBy(*groups, "qtr", "b").agg(F.sum("n_plays").alias("n_plays"), F.sum("n_wins").alias("n_wins"))
         return calibration_error(t.withColumn("cal_diff", F.abs(F.col("b") * 0.05 - F.col("n_wins") / F.col("n_plays"))), groups)
 
-    w = weights(cells, "game_id", n_boot)
-    reps = cells.join(w, "game_id").withColumns({c: F.col(c) * F.col("w") for c in ("n_plays", "n_wins")})
+    reps = resample(cells, "game_id", ["n_plays", "n_wins"], n_boot, ["qtr", "b"])
     sd = error(reps, ["rep"]).agg(F.stddev_samp("calibration_error").alias("calibration_error_sd"))
     by_season = summary(cv, "wp", "label", "qtr", ["season"]).agg(F.min("calibration_error").alias("season_min"), F.max("calibration_error").alias("season_max"))
     return pooled.transform(with_row, sd).transform(with_row, by_season).withColumn("gate", F.col("calibration_error") <= PUBLISHED[kind] + GATE_TOLERANCE)

@@ -271,9 +271,7 @@ def calib_paired(t: Tables):
         return e.groupBy(*rest).agg(*[F.max(F.when(F.col("who") == x, F.col("calibration_error"))).alias(x)
                                       for x in ("market", "model")])
 
-    w = bs.weights(cells, "game_id", N_BOOT)
-    reps = cells.join(w, "game_id").withColumns({"n_plays": F.col("n_plays") * F.col("w"),
-                                                 "n_wins": F.col("n_wins") * F.col("w")})
+    reps = bs.resample(cells, "game_id", ["n_plays", "n_wins"], N_BOOT, ["who", "q", "b"])
     band = error(reps, ["rep", "who"]).agg(
         F.percentile(F.col("market") - F.col("model"), F.lit(0.05)).alias("diff_p05"),
         F.percentile(F.col("market") - F.col("model"), F.lit(0.95)).alias("diff_p95"))
