@@ -19,27 +19,27 @@ SCHEMA = T.StructType([
 #: Marks that end a sentence, and what may close it after them.
 SENTENCE_END, CLOSERS = ".!?…。！？", "\"')]}»”’"
 
-LEAST_EXACT = 256  # shortest sequence that may stand without padding
-APART = 8  # tokens in which one sentence end is enough to choose from
 
-
-def choose_cuts(places: np.ndarray, penalties: np.ndarray, length: int, final: bool, least: int = LEAST_EXACT) -> list[int]:
+def choose_cuts(places: np.ndarray, penalties: np.ndarray, length: int, final: bool) -> list[int]:
     """Which of the ascending `places` (the first is where the first sequence starts) to cut at, so that
     padding plus cut penalties over all sequences is least.
 
     cost[j] = penalty[j] + min over i of cost[i] + padding(places[j] - places[i]), where padding(n) is
     length - n, or 0 where n is a power of two. The first form is a minimum of cost[i] + places[i] over a
-    sliding window of places, held by a monotone queue; the exact powers of two, of `least` and more, are few and
-    found beforehand. Ties go to the longest sequence. No gap between places may exceed `length`. Returns the indices cut at,
+    sliding window of places, held by a monotone queue; the exact powers of two are found beforehand, one search
+    of all places per size. Ties go to the longest sequence. No gap between places may exceed `length`. Returns the indices cut at,
     the first and last included; unless `final`, the last place of the window of least cost ends the plan."""
     n = len(places)
-    exact: dict[int, list[int]] = {}
-    size = least
-    while size < length:
-        before = np.searchsorted(places, places - size)
-        for j in np.flatnonzero((places - size >= places[0]) & (places[before] == places - size)).tolist():
-            exact.setdefault(j, []).append(int(before[j]))
-        size *= 2
+    to, before = [], []
+    for size in 2 ** np.arange(int(length).bit_length()):
+        at = np.searchsorted(places, places - size)
+        hit = np.flatnonzero((places[at] == places - size) & (size < length))
+        to.append(hit)
+        before.append(at[hit])
+    to, before = np.concatenate(to), np.concatenate(before)
+    order = np.argsort(to, kind="stable")
+    hits = [*to[order].tolist(), n]
+    origins, hit = before[order].tolist(), 0
     at, fee = places.tolist(), penalties.tolist()
     cost, back = [0.0] * n, [0] * n
     queue, keys, head = [0], [float(at[0])], 0  # indices in the window, and their cost + place, ascending from `head`
@@ -50,10 +50,11 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, length: int, final: b
             head += 1
         i = queue[head]
         best = keys[head] - low
-        if j in exact:
-            for e in exact[j]:
-                if cost[e] < best:
-                    best, i = cost[e], e
+        while hits[hit] == j:
+            e = origins[hit]
+            hit += 1
+            if cost[e] < best:
+                best, i = cost[e], e
         best += fee[j]
         cost[j] = best
         back[j] = i
@@ -97,7 +98,6 @@ class Packer:
         for _, ids, start in self.docs:
             inner = np.flatnonzero(self.ends[ids[:-1]]) + (start + 1)
             inner = inner[inner > self.begun]
-            inner = inner[np.diff(inner // APART, prepend=-1) > 0]
             places += [inner, np.array([start + len(ids)])]
             fees += [np.full(len(inner), self.sentence_fee), np.zeros(1)]
         place, fee = np.concatenate(places), np.concatenate(fees)

@@ -199,7 +199,7 @@ def failures(docs: DataFrame, target: int = 16 << 20) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
     sent = texts.mapInArrow(settle, "doc_id long, part string, mask int, range int, text binary")
-    return sent.repartition(ranges, "range").select("doc_id", "part", "mask", "text").mapInArrow(judge, "doc_id long, part string, mask int")
+    return sent.repartitionById(ranges, F.col("range")).select("doc_id", "part", "mask", "text").mapInArrow(judge, "doc_id long, part string, mask int")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -46,10 +46,39 @@ def test_cuts_are_the_cheapest(seed):
             n = int(places[j] - places[i])
             if n <= length:
                 best[j] = min(best[j], best[i] + (0 if n & (n - 1) == 0 else length - n) + fees[j])
-    cuts = packing.choose_cuts(places, fees, length, True, least=1)
+    cuts = packing.choose_cuts(places, fees, length, True)
     assert cuts[0] == 0 and cuts[-1] == 40 and cost_of(cuts, places, fees, length) == pytest.approx(best[40])
 
 
+def test_plan_of_a_stream_is_the_cheapest(rows):
+    """The plan of pack() at its own settings, over a stream within its horizon, against the plain recurrence over all
+    sentence ends and document ends."""
+    ends, rng = np.zeros(1 << 16, bool), np.random.default_rng(3)
+    ends[7] = True
+    docs = [np.append(np.where(rng.random(n) < 0.08, 7, 9), 2).astype(np.uint16) for n in rng.integers(0, 900, 40)]
+    packer = packing.Packer(4096, 8, 64, ends, 1 << 18, 0)
+    pieces = [p for k, ids in enumerate(docs) for p in packer.add(k, ids)] + list(packer.plan(final=True))
+    sizes = defaultdict(int)
+    for p in pieces:
+        sizes[p[5]] += p[2]
+    cuts = np.append(0, np.cumsum(list(sizes.values())))
+    stream, places, fee = np.concatenate(docs), [0], {0: 0.0}
+    at = 0
+    for ids in docs:
+        for i, token in enumerate(ids[:-1], at + 1):
+            if token == 7:
+                places.append(i)
+                fee[i] = 8.0
+        at += len(ids)
+        places.append(at)
+        fee[at] = 0.0
+    cost = {0: 0.0}
+    for j, b in enumerate(places[1:], 1):
+        cost[b] = min(cost[a] + (0 if (b - a) & (b - a - 1) == 0 else 4096 - (b - a)) for a in places[:j] if b - a <= 4096) + fee[b]
+    assert cuts[-1] == len(stream) and set(cuts.tolist()) <= set(places)
+    assert sum((0 if n & (n - 1) == 0 else 4096 - n) + fee[b] for n, b in zip(np.diff(cuts).tolist(), cuts[1:].tolist())) == pytest.approx(cost[places[-1]])
+
+
 def test_packing_keeps_every_id_once(docs, rows):
     pieces = packing.pack(docs, WORD, length=256, horizon=4096).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
