@@ -60,8 +60,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, carry: Seque
     copies costs g entries, not g^2; each document's two pairs that meet most often are verified and become components.
     (5) Second product: the pairs of each block that lie in different components, whose sizes allow a link and whose places
     keep the bound. (6) What is left is compared on whole sets. The first product may miss links; the second misses none
-    between different components: the n-gram at which a linked pair first meets passes the bound. So components are
-    exact; links inside one are not listed.
+    between different components: the n-gram at which a linked pair first meets passes the bound. Pairs that pass have their
+    prefixes' overlap counted, and are dropped when count and unseen rest fall short of the size-derived bound. So
+    components are exact; links inside one are not listed.
 
     Null text is empty; empty documents are linked with nothing and are their own component. A null id takes part and
     is never the smallest id (component_id is null where no document of the component has one). Repeated ids and rows are
@@ -168,8 +169,12 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, carry: Seque
         return found
 
     hub = F.col("hub")
-    star = entry.filter((F.col("n") != hub["n"]) | (F.col("s") != hub["s"])).filter(reach(F.col("n"), F.col("i"), hub["n"], hub["i"]))
-    star = star.groupBy(hub["n"].alias("hn"), hub["s"].alias("hs"), "n", "s").agg(F.count(F.lit(1)).alias("met"))
+    star = entry.filter((F.col("n") != hub["n"]) | (F.col("s") != hub["s"]))
+    star = star.groupBy(hub["n"].alias("hn"), hub["s"].alias("hs"), "n", "s").agg(
+        F.count(F.lit(1)).alias("met"), F.max(reach(F.col("n"), F.col("i"), hub["n"], hub["i"])).alias("near"))
+    # A hub's count is a part of the overlap, taken four times here; what the prefixes do not show adds the rest at most.
+    unseen = F.ceil(F.least("n", "hn") * percent / 100) - 1
+    star = star.filter(F.col("near") & ((4 * F.col("met") + unseen) * (100 + percent) >= percent * (F.col("n") + F.col("hn"))))
     # Blocks of one group may have different hubs; the two that a document meets most often will do.
     star = star.withColumn("best", F.row_number().over(W.partitionBy("n", "s").orderBy(F.desc("met"), "hn", "hs"))).filter("best <= 2")
     a, b = F.least(F.struct(F.col("hn").alias("n"), F.col("hs").alias("s")), me), F.greatest(F.struct(F.col("hn").alias("n"), F.col("hs").alias("s")), me)
@@ -192,8 +197,14 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, carry: Seque
     met = a.join(b, "key").filter((F.struct("an", "as") < F.struct("bn", "bs")) & (F.col("ac") != F.col("bc")) & (100 * F.col("an") >= percent * F.col("bn"))
                                   & reach(F.col("an"), F.col("ai"), F.col("bn"), F.col("bi")))
     pairs = keep(met.select("an", "as", "bn", "bs").distinct().join(star, ["an", "as", "bn", "bs"], "left_anti"), "pairs")
+    # All n-grams that a pair's prefixes share; the rest of the document whose prefix ends first is the most that can follow.
+    unseen = F.ceil(F.greatest("an", "bn") * percent / 100) - 1
+    counted = pairs.join(rest.selectExpr("n an", "s as", "key"), ["an", "as"]).join(rest.selectExpr("n bn", "s bs", "key"), ["bn", "bs", "key"])
+    counted = counted.groupBy("an", "as", "bn", "bs").agg(F.count(F.lit(1)).alias("met")).filter((F.col("met") + unseen) * (100 + percent) >= percent * (F.col("an") + F.col("bn")))
+    full = keep(counted.select("an", "as", "bn", "bs"), "pairs")
+    discard(pairs)
     discard(rest)
-    member = keep(with_class(linked.union(verify(pairs).selectExpr("as a", "bs b"))).withColumnRenamed("component", "class_id"), "members")
+    member = keep(with_class(linked.union(verify(full).selectExpr("as a", "bs b"))).withColumnRenamed("component", "class_id"), "members")
     least = member.groupBy("class_id").agg(F.min("id").alias("component_id"))
     final = keep(member.join(least, "class_id").select("n", "s", "class_id", "component_id"), "final")
     out = named.join(final, ["n", "s"], "left")
