@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -69,9 +70,10 @@ def hypergeometric_shards(df: DataFrame, shards: int = 8, seed: int = 0, max_sou
 
     Steps: (1) rows get their source partition and place in it, and are kept in the shared folder; (2) counts
     per source come to the driver (`max_sources` numbers at most, runs of neighbouring partitions share one)
-    and the matrix is drawn; (3) each source permutes its rows, and the matrix row says which stretch goes
-    where; (4) rows are exchanged by shard and block and permuted again. A shard is numbered in blocks of
-    about `block_rows` rows, so that no task holds a whole shard.
+    and the matrix is drawn; (3) each source permutes the places of its rows by a draw, and the matrix row says which
+    stretch goes where: a stretch ends at a draw, so a source is described by one threshold per shard; (4) rows are
+    exchanged by shard and block and permuted again. A shard is numbered in blocks of about `block_rows` rows, so that no
+    task holds a whole shard. Steps 2 and 3 read places alone; what the rows hold moves once, in step 4.
 
     What rows hold decides nothing, so repeated rows, null ids and hot keys spread like others. Columns of any
     name pass through; former columns `shard` and `slot` give way to the new ones. An empty table gives an empty
@@ -82,24 +84,28 @@ def hypergeometric_shards(df: DataFrame, shards: int = 8, seed: int = 0, max_sou
                             F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "placed")
     parts = (placed.agg(F.max("part")).first()[0] or 0) + 1
     sources = min(parts, max_sources)
-    source = F.floor(F.col("part") * sources / parts).cast("int")
-    counts = {r["source"]: r["count"] for r in placed.groupBy(source.alias("source")).count().collect()}
+    source = F.floor(F.col("part") * sources / parts).cast("int").alias("source")
+    counts = {r["source"]: r["count"] for r in placed.groupBy(source).count().collect()}
     sizes = [counts.get(p, 0) for p in range(sources)]
-    matrix = communication_matrix(sizes, shards, seed)
-    ends = [[sum(line[:s + 1]) for s in range(shards)] for line in matrix]  # of each shard's stretch in a permuted source
-    table = F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")
+    ends = [list(accumulate(line)) for line in communication_matrix(sizes, shards, seed)]  # of each shard's stretch in a permuted source
 
-    mine = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), F.lit("source"), "place"), "place")
-    local = placed.withColumn("source", source).withColumn("rank", F.row_number().over(mine) - 1)
-    sent = local.withColumn("shard", F.size(F.filter(F.get(table, F.col("source")), lambda e: e <= F.col("rank"))))
+    drawn = F.struct(F.xxhash64(F.lit(seed), F.lit("source"), "place").alias("draw"), F.col("place"))
+    ranked = placed.select(source, drawn.alias("at")).withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("at")) - 1)
+    stops = ranked.filter(F.array_contains(F.get(_table(ends), F.col("source")), F.col("rank").cast("bigint"))).collect()  # sources x shards at most
+    at_rank = {(r["source"], r["rank"]): (r["at"]["draw"], r["at"]["place"]) for r in stops}
+    limits = [[at_rank[p, e] for e in line if e < sizes[p]] for p, line in enumerate(ends)]
+    limit = F.get(_table([[{"draw": d, "place": q} for d, q in line] for line in limits], "array<array<struct<draw: bigint, place: bigint>>>"), F.col("source"))
+    sent = placed.select("row", "place", source, drawn.alias("at")).withColumn("shard", F.size(F.filter(limit, lambda e: e <= F.col("at"))))
 
     blocks = max(1, math.ceil(sum(sizes) / shards / block_rows))
     draw = F.xxhash64(F.lit(seed), F.lit("shard"), "place")
     sent = sent.withColumn("draw", draw).withColumn("block", F.pmod(draw, F.lit(blocks)).cast("int"))
-    sent = keep(sent.select("row", "place", "shard", "draw", "block"), "sent")
-    tallied = {(r["shard"], r["block"]): r["count"] for r in sent.groupBy("shard", "block").count().collect()}
-    first = [[sum(tallied.get((s, b), 0) for b in range(k)) for k in range(blocks)] for s in range(shards)]
-    base = F.get(F.get(F.from_json(F.lit(json.dumps(first)), "array<array<bigint>>"), F.col("shard")), F.col("block"))
-    ranked = W.partitionBy("shard", "block").orderBy(F.shiftrightunsigned("draw", 8), "draw", "place")
-    out = sent.withColumn("slot", base + F.row_number().over(ranked) - 1)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("shard").cast("int"), F.col("slot").cast("long"))
+    before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    base = sent.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = W.partitionBy("shard", "block").orderBy(F.shiftrightunsigned("draw", 8), "draw", "place")
+    out = sent.withColumn("rank", F.row_number().over(inner) - 1).join(base, ["shard", "block"])
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("shard").cast("int"), (F.col("base") + F.col("rank")).cast("long").alias("slot"))
+
+
+def _table(rows: list, kind: str = "array<array<bigint>>") -> Column:
+    return F.from_json(F.lit(json.dumps(rows)), kind)
