@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ SCALE = 20  # frequencies add up to 2^SCALE
 LOW = 1 << 31  # states stay in [LOW, 2^63)
 HEADER = struct.Struct("<4sIIIIII")  # mark, checksum of what follows, documents, tokens, lanes, checkpoints, words
 MARK = b"rANS"
+LANES = 1024
+EVERY = 64  # steps between checkpoints; one holds 8 bytes a lane, about a tenth of what lies between
 SEGMENTS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_docs", T.LongType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("table", T.BinaryType()), T.StructField("blocks", T.ArrayType(T.BinaryType()))])
@@ -65,7 +67,7 @@ class Frequencies:
         return cls(freq)
 
 
-def encode_block(doc_ids: list[int | None], docs: list[np.ndarray], table: Frequencies, lanes: int = 256, every: int = 1024) -> bytes:
+def encode_block(doc_ids: list[int | None], docs: list[np.ndarray], table: Frequencies, lanes: int = LANES, every: int = EVERY) -> bytes:
     """One self-contained block: header, document index, checkpoints, words.
 
     Token t belongs to lane t % lanes, and a step codes one token in every lane. Steps are coded from the last
@@ -136,6 +138,10 @@ def decode_block(block: bytes, table: Frequencies, first: int = 0, last: int | N
     return names, lengths, out[first - step * lanes:]
 
 
+def tokens_in(block: bytes) -> int:
+    return HEADER.unpack_from(block)[3]
+
+
 def _ids_with_end(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
     tokens, end = encoder(tokenizer), np.uint16(end_id)
     for batch in batches:
@@ -162,7 +168,7 @@ def encode_segment(doc_ids: list[int | None], docs: list[np.ndarray], block_toke
     return table.to_bytes(), blocks
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_tokens: int = 1 << 22, block_tokens: int = 1 << 18, lanes: int = 1024) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_tokens: int = 1 << 22, block_tokens: int = 1 << 18, lanes: int = LANES) -> str:
     """Encode every document's ids and `end_id` to files at `path`, in ascending doc_id order (null first, equal
     ids by their texts' hash). One range exchange, then one pass: a task's documents go to segments of about
     `segment_tokens` tokens (or one longer document), which is what a task holds at once. A segment is a row of
@@ -219,13 +225,40 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                                                       pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary())], names=DOCUMENTS.names)
                     start += len(tokens)
 
-    sums = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # one row per part
+    return segments.select("part", "start", "table", "blocks").mapInArrow(decode, DOCUMENTS).select(
+        "doc_id", (F.col("start") + _part_base(segments)).alias("start"), "n_tokens", "ids")
+
+
+def _part_base(segments: DataFrame) -> Column:
+    """How many ids lie in the parts before the row's part; one number per part comes to the driver."""
+    sums = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     bases, total = [], 0
     for p in range(max(sums, default=-1) + 1):
         bases.append(total)
         total += sums.get(p, 0)
-    base = F.get(F.from_json(F.lit(json.dumps(bases)), "array<bigint>"), F.col("part"))
-    return segments.select("part", "start", "table", "blocks").mapInArrow(decode, DOCUMENTS).select("doc_id", (F.col("start") + base).alias("start"), "n_tokens", "ids")
+    return F.get(F.from_json(F.lit(json.dumps(bases)), "array<bigint>"), F.col("part"))
+
+
+def read_ids(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The ids of places first .. last - 1 of the whole stream: (place of the first, ids as little-endian unsigned 32-bit),
+    a row per block they lie in. Other segments are skipped; in a block decoding starts at the checkpoint before `first`."""
+    segments = spark.read.schema(SEGMENTS).parquet(path)
+    placed = segments.withColumn("start", F.col("start") + _part_base(segments)).filter((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                start, raw_table, blocks = (batch.column(c)[row].as_py() for c in ("start", "table", "blocks"))
+                table = Frequencies.from_bytes(raw_table)
+                for block in blocks:
+                    size = tokens_in(block)
+                    a, b = max(first - start, 0), min(last - start, size)
+                    if a < b:
+                        ids = decode_block(block, table, a, b)[2]
+                        yield pa.RecordBatch.from_arrays([pa.array([start + a], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["place", "ids"])
+                    start += size
+
+    return placed.select("start", "table", "blocks").mapInArrow(decode, "place long, ids binary")
 
 
 def token_file(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -111,6 +111,23 @@ def test_token_file_gives_back_all_ids_in_order(docs, rows):
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
 
 
+def test_ranges_of_the_stream_from_middle_checkpoints(spark, make_docs, tmp_path):
+    rng = np.random.default_rng(9)
+    ids = np.minimum(rng.geometric(0.01, 200_000) - 1, 50_000).astype(np.uint16)
+    table = rans.Frequencies.scaled(np.bincount(ids, minlength=1 << 16))
+    block = rans.encode_block([1], [ids], table)  # as in production
+    points = rans.HEADER.unpack_from(block)[5]
+    assert points == -(-len(ids) // (rans.LANES * rans.EVERY)) == 4
+    for a, b in [(0, 5), (70_000, 70_001), (131_071, 131_073), (190_000, 200_000)]:
+        assert (rans.decode_block(block, table, a, b)[2] == ids[a:b]).all()
+    pairs = [(k, " ".join(f"word{(7 * k + j) % 97}" for j in range(40 + k))) for k in range(60)]
+    path = rans.write_tokens(make_docs(pairs, 4), f"{tmp_path}/tokens", BYTE, segment_tokens=3000, block_tokens=700)
+    whole = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(rans.read_tokens(spark, path).collect(), key=lambda r: r.start)])
+    for a, b in [(0, 10), (2500, 2501), (2990, 6100), (len(whole) - 3, len(whole) + 50), (len(whole), len(whole) + 1)]:
+        got = sorted(rans.read_ids(spark, path, a, b).collect(), key=lambda r: r.place)
+        assert np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(r.ids, "<u4") for r in got]]).tolist() == whole[a:b].tolist() and (not got or got[0].place == a)
+
+
 def test_empty_table(none):
     assert packing.pack(none, WORD).count() == 0
     assert rans.token_file(none, BYTE).count() == 0
