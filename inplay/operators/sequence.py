@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inplay.operators.asof import seconds
-from inplay.operators.scan import (SLICE, bfill, ffill, neighbours, row_number, running_max, running_sum, scan,
-                                   with_slices)
-from inplay.session import cut_lineage
+from inplay.operators.scan import bfill, ffill, lag, neighbours, row_number, running_max, running_sum, scan
 
 # fixed values
 OUTLIER_S = 45 * 60
@@ -67,112 +63,39 @@ def with_durations(df: DataFrame, play_type: str = "play_type", snap: str = "sna
             F.coalesce("dur", F.lit(FALLBACK_DURATION_S)))).drop("dur")
 
 
-_NONE = float("-inf")
-
-
-def _fold(batches: Iterator[pa.RecordBatch], keys: list[str], track: bool) -> Iterator[pa.RecordBatch]:
-    """The repair recursion over rows sorted by (keys, order), its state carried across batches; every
-    other column passes through untouched.
+def repair_times(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id", hot: DataFrame | None = None) -> DataFrame:
+    """t_snap and t_end (epoch seconds) from columns snap, end, duration, bad and next_valid, by the recursion
 
     s = the snap, or the previous end where it is missing; never before the previous snap
     e = the end, or s plus the usual length where the end is bad; never before s or the previous end
 
-    Both are maxima of sums of earlier values, so with track=True each row also gets its dependence
-    on the state before the slice: s = max(t_snap, ss + S0, se + E0), e = max(t_end, es + S0, ee + E0).
-    """
-    now, s, e, ss, se, es, ee = None, _NONE, _NONE, _NONE, _NONE, _NONE, _NONE
-    for batch in batches:
-        col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-        ids = list(zip(*(col(k) for k in keys)))
-        snaps, ends, durs, bads, first = col("snap"), col("end"), col("duration"), col("bad"), col("next_valid")
-        out: list[list[float]] = [[] for _ in range(6 if track else 2)]
-        for i, key in enumerate(ids):
-            if key != now:
-                now = key
-                # before a game's first row the only usable time is its first valid snap
-                s, e = _NONE, _NONE if track or first[i] is None else first[i]
-                ss, se, es, ee = 0.0, _NONE, _NONE, 0.0
-            snap, d = snaps[i], durs[i]
-            if snap is None:
-                s = max(e, s)
-                if track:
-                    ss, se = max(es, ss), max(ee, se)
-            else:
-                s = max(snap, s)
-            if bads[i]:
-                e = max(e, s + d)
-                if track:
-                    es, ee = max(es, ss + d), max(ee, se + d)
-            else:
-                e = max(e, s, ends[i])
-                if track:
-                    es, ee = max(es, ss), max(ee, se)
-            out[0].append(s)
-            out[1].append(e)
-            if track:
-                for j, v in enumerate((ss, se, es, ee)):
-                    out[2 + j].append(v)
-        names = ["t_snap", "t_end", "ss", "se", "es", "ee"][:len(out)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v, pa.float64()) for v in out]],
-                                         names=[*batch.schema.names, *names])
-
-
-def _carry_state(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
-    """State before each slice from the slices' summaries, in slice order."""
-    now, s, e = None, _NONE, _NONE
-    for batch in batches:
-        rows = batch.to_pylist()
-        s0, e0 = [], []
-        for row in rows:
-            key = tuple(row[k] for k in by)
-            if key != now:
-                now, s, e = key, _NONE, _NONE if row["first_valid"] is None else row["first_valid"]
-            s0.append(s)
-            e0.append(e)
-            s, e = max(row["t_snap"], row["ss"] + s, row["se"] + e), max(row["t_end"], row["es"] + s, row["ee"] + e)
-        kept = [batch.column(batch.schema.get_field_index(c)) for c in (*by, SLICE)]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(s0, pa.float64()), pa.array(e0, pa.float64())], names=[*by, SLICE, "s0", "e0"])
-
-
-def _with_doubles(schema: StructType, *names: str) -> StructType:
-    return StructType([*schema.fields, *[StructField(n, DoubleType()) for n in names]])
-
-
-def repair_times(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id", hot: DataFrame | None = None) -> DataFrame:
-    """t_snap and t_end (epoch seconds) from columns snap, end, duration, bad and next_valid. Rows are
-    streamed in order through each task; only running state is held, and the other columns ride along,
-    so nothing is joined back. A hot game runs slice by slice."""
+    from e = the game's first valid snap. It is solved in closed form, so that running sums and maxima (which slices of a
+    hot game share) do all of it. A row without a snap starts a stretch: there s = e and e grows by its length d0.
+    Ends are counted less the lengths of such rows so far. Within a stretch that began at end p, s is the largest of p and
+    the snaps since; a row moves the end to its own end, to the largest snap plus its length, or to p + its length, which is
+    d - d0 more than what the stretch began with. So a stretch maps p to max(p + g, h), with g the largest such excess
+    (at least 0) and h the largest of the other two, and over stretches p = G + max(first, max(h - G)), G the sum of g.
+    All times are whole microseconds on the way."""
     by = list(by)
-    base = with_slices(df, by, order, hot)
-
-    def run(part: DataFrame, keys: list[str], track: bool) -> DataFrame:
-        names = ["t_snap", "t_end", "ss", "se", "es", "ee"][:6 if track else 2]
-        ready = part.repartition(*keys).sortWithinPartitions(*keys, order)
-        return ready.mapInArrow(lambda it: _fold(it, keys, track), _with_doubles(part.schema, *names))
-
-    if hot is None:
-        times = run(base, by, False)
-    else:
-        base = cut_lineage(base)
-        cold = run(base.filter(F.col(SLICE).isNull()), by, False)
-        local = cut_lineage(run(base.filter(F.col(SLICE).isNotNull()), [*by, SLICE], True))
-        ends = local.groupBy(*by, SLICE).agg(
-            F.max_by(F.struct("t_snap", "t_end", "ss", "se", "es", "ee"), order).alias("r"),
-            F.min_by("next_valid", order).alias("__v")).select(*by, SLICE, "r.*", "__v")
-        # the first slice's first row sees the game's first valid snap
-        first = ends.groupBy(*by).agg(F.min_by("__v", SLICE).alias("first_valid"))
-        sums = ends.drop("__v").join(first, by)
-        schema = _with_doubles(StructType([f for f in sums.schema.fields if f.name in (*by, SLICE)]), "s0", "e0")
-        sums = sums.select(*[f.name for f in schema.fields if f.name in (*by, SLICE)], "t_snap", "t_end", "ss", "se", "es", "ee", "first_valid")
-        keys = [f.name for f in schema.fields if f.name in by]
-        carry = sums.repartition(*by).sortWithinPartitions(*by, SLICE).mapInArrow(
-            lambda it: _carry_state(it, keys), StructType([*[schema[k] for k in keys], schema[SLICE], schema["s0"], schema["e0"]]))
-        done = local.join(carry, [*by, SLICE]).withColumns({
-            "t_snap": F.greatest("t_snap", F.col("ss") + F.col("s0"), F.col("se") + F.col("e0")),
-            "t_end": F.greatest("t_end", F.col("es") + F.col("s0"), F.col("ee") + F.col("e0"))}).drop("ss", "se", "es", "ee", "s0", "e0")
-        times = cold.unionByName(done).drop(SLICE)
-    known = lambda c: F.when(F.col(c) > F.lit(_NONE), F.col(c))
-    return times.withColumns({"t_snap": known("t_snap"), "t_end": known("t_end")})
+    us = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint")
+    none = F.lit(None).cast("bigint")
+    work = df.withColumns({"__snap": us("snap"), "__end": us("end"), "__d": us("duration"), "__gap": F.col("snap").isNull()})
+    went = F.when(F.col("__gap"), F.col("__d"))
+    work = scan(work, by, [order], hot=hot, __run=running_sum(F.col("__gap").cast("bigint")), __off=running_sum(F.coalesce(went, F.lit(0))), __d0=ffill(went), __row=row_number())
+    of_run = lambda c: F.when(c.isNotNull(), F.struct(F.col("__run").alias("run"), c.alias("v")))
+    here = lambda c: F.when(F.col(c)["run"] == F.col("__run"), F.col(c)["v"])
+    work = scan(work, by, [order], hot=hot, __m=running_max(of_run(F.col("__snap"))), __first=ffill(F.when(F.col("__row") == 1, us("next_valid"))))
+    moved = F.when(~F.col("bad"), F.col("__end")).when(~F.col("__gap"), here("__m") + F.col("__d")) - F.col("__off")
+    excess = F.when(F.col("bad") & ~F.col("__gap") & (F.col("__run") > 0), F.col("__d") - F.col("__d0"))
+    work = scan(work, by, [order], hot=hot, __h=running_max(of_run(moved)), __g=running_max(of_run(F.when(excess > 0, excess))))
+    work = work.withColumns({"__snaps": here("__m"), "__h": here("__h"), "__g": F.coalesce(here("__g"), F.lit(0))}).drop("__m")
+    work = scan(work, by, [order], hot=hot, __h1=lag("__h"), __g1=lag("__g"))
+    work = scan(work, by, [order], hot=hot, __sum=running_sum(F.when(F.col("__gap"), F.coalesce("__g1", F.lit(0))).otherwise(F.lit(0))))
+    work = scan(work, by, [order], hot=hot, __most=running_max(F.when(F.col("__gap"), F.col("__h1") - F.col("__sum")).otherwise(none)))
+    began = F.greatest("__first", "__most") + F.col("__sum")
+    begins = F.when(F.col("__run") > 0, F.greatest(began + F.col("__off") - F.col("__d0"), "__snaps")).otherwise(F.col("__snaps"))
+    done = work.withColumns({"t_snap": begins / 1_000_000, "t_end": (F.greatest(began + F.col("__g"), "__h") + F.col("__off")) / 1_000_000})
+    return done.drop("__snap", "__end", "__d", "__gap", "__run", "__off", "__d0", "__row", "__first", "__h", "__g", "__snaps", "__h1", "__g1", "__sum", "__most")
 
 
 def clean_times(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id", limit_s: float = OUTLIER_S,
