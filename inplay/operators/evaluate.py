@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inplay.operators.asof import asof_join, asof_many, reviews, seconds, with_known_time
 from inplay.operators.bootstrap import entity_sums, resample
@@ -133,14 +133,32 @@ def sweep(prices: DataFrame, minutes: DataFrame, deltas: Sequence[float] = DELTA
 # ------------------------------------------------------------------ information
 
 
+BUCKET_MINUTES = 1440  # of a game's time that one task looks at together
+
+
+def offset_pairs(grid: DataFrame, ks: Sequence[int] = K_MINUTES, by: Sequence[str] = ("game_id",)) -> DataFrame:
+    """Per row of the grid (one per entity and time) and k: the prices exactly k minutes later and one minute earlier,
+    before the final whistle. One scan serves all k: each offset is a range frame of a single row over the same order.
+    Time is cut into buckets that lend each other their edge rows, so a long game is many tasks."""
+    minute, at = 60_000_000, F.unix_micros("t")
+    width, inside = BUCKET_MINUTES * minute, F.pmod(F.unix_micros("t"), F.lit(BUCKET_MINUTES * minute))
+    bucket = F.floor(at / width)
+    lent = F.array(bucket, F.when(inside < max(ks) * minute, bucket - 1), F.when(inside >= width - minute, bucket + 1))
+    rows = grid.withColumns({"__at": at, "__own": bucket, "__b": F.explode(F.filter(lent, lambda b: b.isNotNull()))})
+    w = Window.partitionBy(*by, "__b").orderBy("__at")
+    price = F.struct("market", "model")
+    there = lambda k: F.first(price).over(w.rangeBetween(k * minute, k * minute))
+    rows = rows.withColumns({"__past": there(-1), **{f"__f{k}": there(k) for k in ks}}).filter(F.col("__own") == F.col("__b"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__f{k}").alias("f")) for k in ks])).alias("__k")
+    out = rows.select(*grid.columns, "__past", each).filter(
+        F.col("__past").isNotNull() & F.col("__k.f").isNotNull() & (F.unix_micros("t") + F.col("__k.k") * minute < F.unix_micros("t_final")))
+    return out.select(*grid.columns, F.col("__k.k").alias("k"), F.col("__k.f.market").alias("m_fut"), F.col("__k.f.model").alias("p_fut"),
+                      F.col("__past.market").alias("m_past"), F.col("__past.model").alias("p_past"))
+
+
 def shifted_pairs(grid: DataFrame, k: int, by: Sequence[str] = ("game_id",)) -> DataFrame:
-    """Rows with the prices exactly k minutes later and one minute earlier, before the final whistle."""
-    fut = grid.select(*by, (F.col("t") - seconds(60 * k)).alias("t"), F.col("market").alias("m_fut"),
-                      F.col("model").alias("p_fut"))
-    past = grid.select(*by, (F.col("t") + seconds(60)).alias("t"), F.col("market").alias("m_past"),
-                       F.col("model").alias("p_past"))
-    return grid.join(fut, [*by, "t"]).join(past, [*by, "t"]).filter(
-        F.col("t") + seconds(60 * k) < F.col("t_final"))
+    """offset_pairs for one k."""
+    return offset_pairs(grid, [k], by).drop("k")
 
 
 MOMENTS = ("n", "sx", "sc", "sxx", "sxc", "scc", "sy", "sxy", "scy")
@@ -172,24 +190,29 @@ def info_test(pairs: DataFrame, k: int, by: str = "game_id", n_boot: int = 500,
               method: str = "poisson") -> DataFrame:
     """Does the market move toward the model over the next k minutes, and the model toward the market?
     Slope on the gap, controlling for the own last-minute move, with a 90% interval."""
+    out = info_table(pairs.withColumn("k_minutes", F.lit(k).cast("bigint")), ["k_minutes"], by, n_boot, method)
+    return out.select("direction", "k_minutes", "rows", "slope", "reversal", "gap_sd", "p05", "p95")
+
+
+def info_table(pairs: DataFrame, groups: Sequence[str], by: str = "game_id", n_boot: int = 500, method: str = "poisson") -> DataFrame:
+    """info_test for every group of pairs (feed delay, k, ...) at once, all under the same draws."""
     m, p = F.col("market"), F.col("model")
-    both = pairs.select(by, F.explode(F.array(
+    both = pairs.select(by, *groups, F.explode(F.array(
         F.struct(F.lit("market_toward_model").alias("direction"), (F.col("m_fut") - m).alias("y"),
-                 (p - m).alias("x"), (F.col("m_past") - m).alias("c"), (p - m).alias("gap")),
+                 (p - m).alias("x"), (F.col("m_past") - m).alias("c")),
         F.struct(F.lit("model_toward_market").alias("direction"), (F.col("p_fut") - p).alias("y"),
-                 (m - p).alias("x"), (F.col("p_past") - p).alias("c"), (p - m).alias("gap")))).alias("r")).select(by, "r.*")
-    stats = moments(both, F.col("y"), F.col("x"), F.col("c"), by, ["direction"])
-    cols = [F.col(c) for c in MOMENTS]
-    full = stats.groupBy("direction").agg(*[F.sum(c).alias(c) for c in MOMENTS])
-    _, bx, bc = solve3(*cols)
+                 (m - p).alias("x"), (F.col("p_past") - p).alias("c")))).alias("r")).select(by, *groups, "r.*")
+    groups = [*groups, "direction"]
+    stats = moments(both, F.col("y"), F.col("x"), F.col("c"), by, groups)
+    full = stats.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in MOMENTS])
+    _, bx, bc = solve3(*[F.col(c) for c in MOMENTS])
     # both directions share the gap, so its spread comes from the same sums
     gap_sd = F.sqrt(F.greatest(F.col("sxx") / F.col("n") - (F.col("sx") / F.col("n")) ** 2, F.lit(0.0)))
-    full = full.select("direction", F.lit(k).cast("bigint").alias("k_minutes"), F.col("n").cast("bigint").alias("rows"),
-                       bx.alias("slope"), bc.alias("reversal"), gap_sd.alias("gap_sd"))
-    reps = resample(stats, by, list(MOMENTS), n_boot, ["direction"], method=method)
-    band = reps.select("direction", bx.alias("s")).groupBy("direction").agg(
+    full = full.select(*groups, F.col("n").cast("bigint").alias("rows"), bx.alias("slope"), bc.alias("reversal"), gap_sd.alias("gap_sd"))
+    reps = resample(stats, by, list(MOMENTS), n_boot, groups, method=method)
+    band = reps.select(*groups, bx.alias("s")).groupBy(*groups).agg(
         F.percentile("s", F.lit(0.05)).alias("p05"), F.percentile("s", F.lit(0.95)).alias("p95"))
-    return full.join(band, "direction")
+    return full.join(band, groups)
 
 
 # ------------------------------------------------------------------ event study
@@ -204,16 +227,36 @@ def big_moves(prices: DataFrame, events: DataFrame, move: float = MOVE,
 
 
 def market_paths(moves: DataFrame, trades: DataFrame, taus: Sequence[int], keys: Sequence[str] = ("game_id", "order"),
-                 hot: DataFrame | None = None) -> DataFrame:
-    """Per move and second tau: the last trade price at the snap (base) and at t + tau (px). The base
-    rides along as one more offset, so trades are scanned once."""
-    offsets = F.explode(F.array(*[F.lit(x) for x in taus], F.lit(None))).alias("tau")
-    at = moves.select(*keys, "t", "t_snap", "dp", "y", offsets).withColumn(
-        "at", F.when(F.col("tau").isNull(), F.col("t_snap")).otherwise(F.col("t") + seconds(F.col("tau"))))
-    px = asof_join(at, trades.select("game_id", "ts", F.col("price").alias("px"), "trade_id"), ["game_id"], "at", "ts",
-                   tie="trade_id", columns=["px"], hot=hot)
-    base = px.filter(F.col("tau").isNull()).select(*keys, F.col("px").alias("base")).filter(F.col("base").isNotNull())
-    return px.filter(F.col("tau").isNotNull()).join(base, list(keys))
+                 unit_s: float = 1, hot: DataFrame | None = None) -> DataFrame:
+    """Per move and offset tau (whole units of unit_s seconds): the last trade price at the snap (base) and at
+    t + tau units (px, null before a game's first trade). Moves without a base are left out.
+
+    A move's price is a step function of tau. Two as-of rows a move give the base and the price at the first offset; the
+    steps after it are the trades inside the move's span, found by a band join on time buckets as wide as the span (a
+    span touches two) and thinned to the last trade per offset. Each step then covers its run of offsets."""
+    keys, low, high, unit = list(keys), min(taus), max(taus), int(unit_s * 1_000_000)
+    span = max(high - low, 1) * unit
+    start = F.timestamp_micros(F.unix_micros("t") + low * unit)
+    at = moves.select(*keys, F.explode(F.array(F.struct(F.lit("base").alias("what"), F.col("t_snap").alias("at")), F.struct(F.lit("first").alias("what"), start.alias("at")))).alias("p"))
+    last = asof_join(at.select(*keys, "p.*"), trades.select("game_id", "ts", F.col("price").alias("px"), "trade_id"), ["game_id"], "at", "ts", tie="trade_id", columns=["px"], hot=hot)
+    known = last.groupBy(*keys).agg(F.max(F.when(F.col("what") == "base", F.col("px"))).alias("base"), F.max(F.when(F.col("what") == "first", F.col("px"))).alias("first"))
+
+    bucket = F.floor((F.unix_micros("t") + low * unit) / span)
+    spans_ = moves.select(*keys, "t", F.explode(F.array(bucket, bucket + 1)).alias("__b"))
+    inside = trades.select("game_id", "ts", F.col("price").alias("px"), "trade_id", F.floor(F.unix_micros("ts") / span).alias("__b"))
+    k = F.ceil((F.unix_micros("ts") - F.unix_micros("t")) / unit).cast("int")
+    steps = spans_.join(inside, ["game_id", "__b"]).withColumn("k", k).filter((F.col("k") > low) & (F.col("k") <= high))
+    steps = steps.groupBy(*keys, "k").agg(F.max_by("px", F.struct("ts", "trade_id")).alias("px"))
+    steps = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "px"))).alias("steps"))  # one per offset at most
+
+    whole = moves.select(*keys, "t", "t_snap", "dp", "y").join(known.filter(F.col("base").isNotNull()), keys).join(steps, keys, "left")
+    first = F.array(F.struct(F.lit(low).alias("k"), F.col("first").alias("px")))
+    run = whole.withColumn("steps", F.concat(first, F.coalesce("steps", F.array().cast("array<struct<k: int, px: double>>"))))
+    stops = F.concat(F.slice(F.transform("steps", lambda s: s["k"]), F.lit(2), F.size("steps")), F.array(F.lit(high + 1)))
+    each = F.explode(F.zip_with("steps", stops, lambda s, stop: F.struct(s["px"].alias("px"), s["k"].alias("k"), (stop - 1).alias("to")))).alias("s")
+    rows = run.select(*keys, "t", "t_snap", "dp", "y", "base", each).select(
+        *keys, "t", "t_snap", "dp", "y", "base", F.col("s.px").alias("px"), F.explode(F.sequence("s.k", "s.to")).alias("tau"))
+    return rows if len(set(taus)) == high - low + 1 else rows.filter(F.col("tau").isin(*taus))
 
 
 def event_curve(paths: DataFrame, n_boot: int = 500, by: str = "game_id") -> DataFrame:
@@ -227,6 +270,29 @@ def event_curve(paths: DataFrame, n_boot: int = 500, by: str = "game_id") -> Dat
     return mean.join(band, "tau")
 
 
+def event_summary(paths: DataFrame, moves: DataFrame, trades: DataFrame, within_s: float = 1.0, level: float = 0.5, offsets: Sequence[int] = (0, 120),
+                  n_boot: int = 500, by: str = "game_id", hot: DataFrame | None = None) -> DataFrame:
+    """The study in one row: moves with a price, games, final whistles among them, the share of all moves followed by a
+    trade within `within_s` seconds, the median size, the first offset at which the mean share reaches `level` (with a 90%
+    interval over replicates that reach it, all offsets drawn alike), and the share at some offsets."""
+    ok = paths.withColumn("share", (F.col("px") - F.col("base")) / F.col("dp"))
+    priced_moves = ok.select(by, "order").distinct().join(moves.select(by, "order", "kind", "dp"), [by, "order"])
+    counts = priced_moves.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "final").alias("f")).agg(
+        F.sum("n").alias("moves"), F.count(F.lit(1)).alias("games"), F.sum("f").alias("final_whistles"))
+    sizes = priced_moves.agg(F.percentile(F.abs("dp"), F.lit(0.5)).alias("median_abs_move"))
+    stats = entity_sums(ok.filter(F.col("share").isNotNull()), by, ["tau"], n=F.lit(1.0), s=F.col("share"))
+    mean = stats.groupBy("tau").agg((F.sum("s") / F.sum("n")).alias("share"))
+    crossed = lambda c: F.min(F.when(c >= level, F.col("tau")))
+    curve = mean.agg(crossed(F.col("share")).alias("half_move"), *[F.max(F.when(F.col("tau") == t, F.col("share"))).alias(f"share_at_{t}") for t in offsets])
+    halves = resample(stats, by, ["n", "s"], n_boot, ["tau"]).groupBy("rep").agg(crossed(F.col("s") / F.col("n")).alias("half"))
+    band = halves.agg(F.percentile("half", F.lit(0.05)).alias("half_move_p05"), F.percentile("half", F.lit(0.95)).alias("half_move_p95"))
+    within = traded_within(moves, trades, within_s, hot).select(F.col("share").alias("traded_within"))
+    out = counts
+    for one in (sizes, curve, band, within):
+        out = out.transform(with_row, one)
+    return out
+
+
 def delay_table(paths: DataFrame, n_boot: int = 500, by: str = "game_id") -> DataFrame:
     """Per tau: share of the move made, cents left, and cents earned by trading the model's direction
     to settlement, before and after the fee, with 90% intervals."""
@@ -285,14 +351,14 @@ def excess(model: str = "model", var: str = "var_mc") -> Column:
 
 def rung_grid(prices: DataFrame, rungs: DataFrame, delta: Column | float, by: Sequence[str] = ("game_id",),
               hot: DataFrame | None = None) -> DataFrame:
-    """Liquid rungs at in-game minutes with the model's price read off its last distribution. The two CDFs
-    ride in the quote's payload and are dropped right after the lookup."""
+    """Liquid rungs at in-game minutes with the model's price read off its last distribution. The as-of scan carries the
+    quote's number alone; its two CDFs are looked up afterwards, by game and number."""
     from inplay.operators.distributions import contract_price
 
     r = rungs.join(spans(prices, by).select(*by, "kickoff", "t_final"), list(by)).filter(
         (F.col("t") >= F.col("kickoff")) & (F.col("t") < F.col("t_final")) & F.col("y").isNotNull())
-    j = priced(prices, r.withColumnRenamed("kind", "contract"), delta, by,
-               ("order", "p_home", "qtr", "game_seconds_remaining", "n_sims", "cdf_margin", "cdf_total"), hot)
+    j = priced(prices, r.withColumnRenamed("kind", "contract"), delta, by, ("order", "p_home", "qtr", "game_seconds_remaining", "n_sims"), hot)
+    j = j.join(prices.select(*by, "order", "cdf_margin", "cdf_total"), [*by, "order"])
     model = contract_price(F.col("contract"), F.col("side"), F.col("strike"), F.col("p_home"), F.col("cdf_margin"), F.col("cdf_total"))
     j = j.withColumn("model", model).drop("cdf_margin", "cdf_total", "p_home").withColumnRenamed("contract", "kind")
     return j.withColumn("var_mc", F.when(F.col("n_sims") > 0, F.col("model") * (1 - F.col("model")) / F.col("n_sims")).otherwise(0.0))

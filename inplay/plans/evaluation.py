@@ -312,7 +312,7 @@ def wls3(t: Tables):
     return m.select("season", r6(b0).alias("intercept"), r6(bx).alias("slope_x"), r6(bc).alias("slope_c"))
 
 
-# hourly means stand in for the one-minute grid: shifts need equally spaced rows
+# daily means stand in for the one-minute grid: shifts need equally spaced rows
 ROLE = """SELECT game_id, h * 60000000 AS t, avg(model) AS model, avg(market) AS market, max(t_final) AS t_final
     FROM (SELECT *, t // 86400000000 AS h FROM grid0) GROUP BY game_id, h"""
 
@@ -361,6 +361,34 @@ def info_test(t: Tables):
     return rounded(out, ["slope", "reversal", "gap_sd", "p05", "p95"])
 
 
+DAY_GRID = " UNION ALL ".join(f"""SELECT {d}.0::DOUBLE AS delta, game_id, t // 86400000000 * 60000000 AS t, avg(model) AS model, avg(market) AS market, max(t_final) AS t_final
+    FROM grid{d} GROUP BY game_id, t // 86400000000""" for d in (0, 5, 10, 20))
+SWEEP_PAIRS = " UNION ALL ".join(f"""SELECT g.*, {k} AS k, f.market AS m_fut, f.model AS p_fut, p.market AS m_past, p.model AS p_past FROM dg g
+    JOIN dg f ON g.delta = f.delta AND g.game_id = f.game_id AND f.t = g.t + {k} * 60000000 JOIN dg p ON p.delta = g.delta AND p.game_id = g.game_id AND p.t = g.t - 60000000
+    WHERE g.t + {k} * 60000000 < g.t_final""" for k in (1, 2, 5))
+
+
+@query("info_sweep", f"""WITH dg AS ({DAY_GRID}), pr AS ({SWEEP_PAIRS}),
+    bo AS (SELECT delta, k, game_id, 'market_toward_model' AS direction, m_fut - market AS y, model - market AS x, m_past - market AS c FROM pr
+      UNION ALL SELECT delta, k, game_id, 'model_toward_market', p_fut - model, market - model, p_past - model FROM pr),
+    st AS (SELECT delta, k, direction, game_id, {MOM} FROM bo GROUP BY ALL),
+    {boot_ctes('st', ['delta', 'k', 'direction'], list(ev.MOMENTS))},
+    al AS (SELECT delta, k, direction, -1 AS rep, {SUM_MOM} FROM st GROUP BY ALL UNION ALL SELECT delta, k, direction, rep, {', '.join(ev.MOMENTS)} FROM reps),
+    {WLS.format(src='al')}
+    SELECT delta, k::BIGINT AS k_minutes, direction, max(CASE WHEN rep = -1 THEN n END)::BIGINT AS rows,
+      round(max(CASE WHEN rep = -1 THEN bx END), 6) AS slope, round(max(CASE WHEN rep = -1 THEN bc END), 6) AS reversal,
+      round(quantile_cont(bx, 0.05) FILTER (rep >= 0), 6) AS p05, round(quantile_cont(bx, 0.95) FILTER (rep >= 0), 6) AS p95
+    FROM sol GROUP BY delta, k, direction""")
+def info_sweep(t: Tables):
+    """The information test at four feed delays and three horizons: one grid for all delays, one scan of it for all horizons."""
+    day = F.floor(us("t") / 86400000000)
+    g = ev.sweep(t.prices, t.minutes, hot=t.hot_games).groupBy("delta", "game_id", day.alias("h")).agg(
+        F.avg("model").alias("model"), F.avg("market").alias("market"), F.max("t_final").alias("t_final"))
+    pairs = ev.offset_pairs(g.withColumn("t", F.timestamp_micros(F.col("h") * 60000000)).drop("h"), by=("delta", "game_id"))
+    out = ev.info_table(pairs, ["delta", "k"], n_boot=N_BOOT).drop("gap_sd")
+    return rounded(out.withColumn("k", F.col("k").cast("bigint")).withColumnRenamed("k", "k_minutes"), ["slope", "reversal", "p05", "p95"])
+
+
 # ------------------------------------------------------------------ event study
 
 SNAP_TIMES = "(SELECT game_id, seq, t - (seq % 90) * 1000000 AS t_snap FROM snaps)"
@@ -380,18 +408,21 @@ def big_moves(t: Tables):
     return m.select("game_id", F.col("order").alias("quote_order"), "kind", r6("dp").alias("dp"), us("t_snap").alias("snap_us"))
 
 
-TAU_HOURS = tuple(h * 3600 for h in (-12, -6, 0, 6, 12, 24, 48))
+TAUS, UNIT_S = tuple(range(-60, 181)), 720  # a minute before to three minutes after; a second of a game is 720 s of the given tables
 PATHS = MOVES + """,
     ms AS (SELECT mv.*, s.y FROM mv JOIN spans s USING (game_id)),
     ba AS (SELECT m.game_id, m.ord, x.price AS base FROM ms m ASOF JOIN trades x ON m.game_id = x.game_id AND m.t_snap >= x.ts),
-    tz AS (SELECT m.*, h * 3600 AS tau, m.t + h * 3600000000 AS at FROM ms m, (VALUES (-12),(-6),(0),(6),(12),(24),(48)) v(h)),
+    tz AS (SELECT m.*, k AS tau, m.t + k * 720000000 AS at FROM ms m, range(-60, 181) v(k)),
     pa AS (SELECT z.*, x.price AS px, b.base, (x.price - b.base)/z.dp AS share FROM tz z JOIN ba b ON b.game_id = z.game_id AND b.ord = z.ord
       ASOF LEFT JOIN trades x ON z.game_id = x.game_id AND z.at >= x.ts)"""
 
 
+def moves(t: Tables) -> DataFrame:
+    return ev.big_moves(t.prices, snap_times(t), hot=t.hot_games).join(ev.spans(t.prices).select("game_id", "y"), "game_id")
+
+
 def paths(t: Tables) -> DataFrame:
-    m = ev.big_moves(t.prices, snap_times(t), hot=t.hot_games).join(ev.spans(t.prices).select("game_id", "y"), "game_id")
-    return ev.market_paths(m, t.trades, TAU_HOURS, hot=t.hot_games)
+    return ev.market_paths(moves(t), t.trades, TAUS, unit_s=UNIT_S, hot=t.hot_games)
 
 
 @query("event_path", f"WITH {PATHS} SELECT game_id, ord AS quote_order, tau::BIGINT AS tau, round(base, 6) AS base, round(px, 6) AS px FROM pa")
@@ -405,14 +436,31 @@ def event_path(t: Tables):
     tot AS (SELECT tau, sum(s)/sum(n) AS share, sum(n)::BIGINT AS moves FROM st GROUP BY tau),
     bd AS (SELECT tau, {q05('s/n')} AS p05, {q95('s/n')} AS p95 FROM reps GROUP BY tau)
     SELECT tau::BIGINT AS tau, moves, round(share, 6) AS share, round(p05, 6) AS p05, round(p95, 6) AS p95,
-      (SELECT min(tau)::BIGINT FROM tot WHERE share >= 0.05) AS first_cross FROM tot JOIN bd USING (tau)""")
+      (SELECT min(tau)::BIGINT FROM tot WHERE share >= 0.5) AS first_cross FROM tot JOIN bd USING (tau)""")
 def event_study(t: Tables):
     """Response curve around big moves, and the first offset at which it crosses a level."""
     curve = ev.event_curve(paths(t), n_boot=N_BOOT)
-    cross = curve.filter("share >= 0.05").agg(F.min("tau").cast("bigint").alias("first_cross"))
+    cross = curve.filter("share >= 0.5").agg(F.min("tau").cast("bigint").alias("first_cross"))
     return rounded(curve.transform(with_row, cross).withColumn("tau", F.col("tau").cast("bigint")), ["share", "p05", "p95"])
 
 
+@query("event_summary", f"""WITH {PATHS}, st AS (SELECT tau, game_id, count(*)::DOUBLE AS n, sum(share) AS s FROM pa WHERE share IS NOT NULL GROUP BY tau, game_id),
+    {boot_ctes('st', ['tau'], ['n', 's'])},
+    tot AS (SELECT tau, sum(s)/sum(n) AS share FROM st GROUP BY tau),
+    hv AS (SELECT rep, min(tau) FILTER (s/n >= 0.5) AS half FROM reps GROUP BY rep),
+    pm AS (SELECT DISTINCT p.game_id, p.ord, m.kind, m.dp FROM pa p JOIN ms m ON m.game_id = p.game_id AND m.ord = p.ord),
+    tw AS (SELECT avg(CASE WHEN x.ts - m.t <= 720000000 THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT * FROM ms WHERE game_id IN (SELECT game_id FROM trades)) m
+      ASOF LEFT JOIN trades x ON m.game_id = x.game_id AND m.t <= x.ts)
+    SELECT count(*) AS moves, count(DISTINCT game_id) AS games, count(*) FILTER (kind = 'final') AS final_whistles, round(quantile_cont(abs(dp), 0.5), 6) AS median_abs_move,
+      (SELECT min(tau)::BIGINT FROM tot WHERE share >= 0.5) AS half_move, (SELECT round(max(share), 6) FROM tot WHERE tau = 0) AS share_at_0,
+      (SELECT round(max(share), 6) FROM tot WHERE tau = 120) AS share_at_120, round((SELECT quantile_cont(half::DOUBLE, 0.05) FROM hv), 6) AS half_move_p05,
+      round((SELECT quantile_cont(half::DOUBLE, 0.95) FROM hv), 6) AS half_move_p95, round((SELECT share FROM tw), 6) AS traded_within FROM pm""")
+def event_summary(t: Tables):
+    """The event study in one row."""
+    out = ev.event_summary(paths(t), moves(t), t.trades, within_s=UNIT_S, n_boot=N_BOOT, hot=t.hot_games).withColumn("half_move", F.col("half_move").cast("bigint"))
+    return rounded(out, ["median_abs_move", "share_at_0", "share_at_120", "half_move_p05", "half_move_p95", "traded_within"])
+
+
 @query("event_delay", f"""WITH {PATHS}, st AS (SELECT tau, game_id, count(*)::DOUBLE AS n, sum(share) AS share, sum((1-share)*abs(dp)) AS "left",
       sum(sign(dp)*(y-px)) AS pnl, sum(sign(dp)*(y-px) - 0.07::DOUBLE*px*(1-px)) AS net FROM pa WHERE px IS NOT NULL GROUP BY tau, game_id),
     {boot_ctes('st', ['tau'], ['n', '"left"', 'pnl', 'net'])},
