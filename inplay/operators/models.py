@@ -1,49 +1,71 @@
-"""Win-probability and outcome models as Spark ML jobs, and their scoring tables."""
+"""Win-probability and outcome models, and their scoring tables."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from inplay.operators.bootstrap import resample
+from inplay.operators import boosting
+from inplay.operators.boosting import Settings, Trees
+from inplay.operators.bootstrap import entity_sums, resample
 from inplay.operators.features import END_HALF, N_BINS, TIMED, WP_FEATURES, WP_SPREAD_FEATURES
-from inplay.operators.metrics import calibration_error, summary
+from inplay.operators.metrics import brier_row, calibration_error, log_loss_row, summary
 from inplay.operators.segments import RESULTS
 from inplay.operators.onerow import with_row
 
-# fixed values: tree settings of the two model variants (rounds, step, depth, row sample, least rows a leaf)
+# fixed values: tree settings of the two model variants. The spread model may only rise with the lead and the own time-outs and
+# only fall with down, distance, field position and the other side's time-outs.
 MODELS = {
-    "wp": {"features": WP_FEATURES, "rounds": 65, "step": 0.2, "depth": 4, "sample": 0.8, "leaf": 1},
-    "wp_spread": {"features": WP_SPREAD_FEATURES, "rounds": 534, "step": 0.05, "depth": 5, "sample": 0.9224245, "leaf": 7},
+    "wp": {"features": WP_FEATURES, "trees": Settings(rounds=65, step=0.2, depth=4, row_share=0.8, column_share=0.8)},
+    "wp_spread": {"features": WP_SPREAD_FEATURES, "trees": Settings(
+        rounds=534, step=0.05, depth=5, row_share=0.9224245, column_share=5 / 12, split_penalty=0.79012017, leaf_weight=7,
+        signs=(0, 0, 0, 0, 0, 1, 1, -1, -1, -1, 1, -1))},
 }
 PUBLISHED = {"wp": 0.0055, "wp_spread": 0.0066}
 GATE_TOLERANCE = 0.001
-SEED = 2013
 
 
-def fit(frame: DataFrame, kind: str = "wp_spread", rounds: int | None = None):
-    """Boosted trees on the variant's features. Spark ML has no monotone constraints, split penalty or
-    column sampling per tree, so results agree in calibration, not bit for bit."""
+def fit(frame: DataFrame, kind: str = "wp_spread", rounds: int | None = None) -> Trees:
+    """Boosted trees on the variant's features, with its constraints and samples."""
     m = MODELS[kind]
-    assembler = VectorAssembler(inputCols=list(m["features"]), outputCol="x", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds or m["rounds"], stepSize=m["step"], maxDepth=m["depth"],
-                        subsamplingRate=m["sample"], minInstancesPerNode=m["leaf"], seed=SEED)
-    data = frame.select(*[F.col(c).cast("double").alias(c) for c in m["features"]], F.col("label").cast("double").alias("label"))
-    return gbt.fit(assembler.transform(data))
-
-
-def predict(model, frame: DataFrame, kind: str = "wp_spread", out: str = "wp") -> DataFrame:
-    names = list(MODELS[kind]["features"])
-    x = array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names]))
-    scored = model.transform(frame.withColumn("x", x))
-    return scored.withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("x", "rawPrediction", "probability", "prediction")
+    settings = m["trees"] if rounds is None else replace(m["trees"], rounds=rounds)
+    return boosting.fit(frame, m["features"], "label", settings)
+
+
+def predict(model: Trees, frame: DataFrame, kind: str = "wp_spread", out: str = "wp") -> DataFrame:
+    return frame.withColumn(out, boosting.predict(model, [F.col(c) for c in MODELS[kind]["features"]]))
+
+
+def season_facts(scored: DataFrame, p: str = "wp", label: str = "label") -> DataFrame:
+    """Per season: rows, games, labels of one, log loss of the season's own base rate, that of the scores, and whether all
+    scores are probabilities."""
+    y = F.col(label).cast("double")
+    per = scored.groupBy("season", "game_id").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(log_loss_row(F.col(p), y)).alias("l"),
+                                                  F.min(F.col(p).between(0, 1)).alias("ok"))
+    all_ = per.groupBy("season").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("games"), F.sum("s").alias("s"), F.sum("l").alias("l"), F.min("ok").alias("in_unit_interval"))
+    share = F.col("s") / F.col("rows")
+    base = -(share * F.log(share) + (1 - share) * F.log(1 - share))
+    return all_.select("season", "rows", "games", F.col("s").cast("bigint").alias("positives"), base.alias("base_loss"), (F.col("l") / F.col("rows")).alias("loss"), "in_unit_interval")
+
+
+def forward_report(scored: DataFrame, a: str, b: str, label: str = "label", by: str = "game_id", n_boot: int = 1000) -> DataFrame:
+    """Two forecasts of the same rows in one row: Brier and log loss of each, the differences a - b and their 90%
+    intervals from resampling games, all under the same draws."""
+    y = F.col(label).cast("double")
+    sums = {f"{m}_{side}": row(F.col(c), y) for m, row in (("brier", brier_row), ("log_loss", log_loss_row)) for side, c in (("a", a), ("b", b))}
+    stats = entity_sums(scored, by, n=F.lit(1.0), **sums)
+    total = stats.agg(F.sum("n").cast("bigint").alias("rows"), F.count(F.lit(1)).alias("games"), *[(F.sum(c) / F.sum("n")).alias(c) for c in sums])
+    total = total.withColumns({f"{m}_diff": F.col(f"{m}_a") - F.col(f"{m}_b") for m in ("brier", "log_loss")})
+    reps = resample(stats, by, ["n", *sums], n_boot)
+    return total.transform(with_row, reps.agg(*[F.percentile((F.col(f"{m}_a") - F.col(f"{m}_b")) / F.col("n"), F.lit(q)).alias(f"{m}_diff_{tag}")
+                                                for m in ("brier", "log_loss") for tag, q in (("p05", 0.05), ("p95", 0.95))]))
 
 
 def loso_cv(frame: DataFrame, seasons: Sequence[int], kind: str = "wp_spread", rounds: int | None = None) -> DataFrame:

@@ -16,7 +16,11 @@ from inplay.plans.sqlkit import N_BOOT, brier, cols6, interval_sql, log_loss, we
 from inplay.operators import bootstrap as bs
 from inplay.operators.onerow import with_row
 
-ROUNDS = 8  # boosting rounds in the demonstrations; models.MODELS holds the full settings
+# Fits are not SQL. What the twins state of them are facts that any sound fit shows: its rows, games and labels, the loss of the
+# base rate, that all scores are probabilities, and that they beat the base rate.
+ROLE_SQL["wp_frame"] = """SELECT w.* FROM wpf w JOIN snaps s USING (game_id, seq) WHERE w.qtr <= 4 AND w.label IS NOT NULL AND s.play_type IS NOT NULL AND w.yardline_100 IS NOT NULL"""
+FACTS = """SELECT season, rows, games, positives, round(-(p*ln(p) + (1 - p)*ln(1 - p)), 6) AS base_loss, true AS in_unit_interval, true AS beats_base_rate
+    FROM (SELECT season, count(*) AS rows, count(DISTINCT game_id) AS games, sum(label)::BIGINT AS positives, avg(label) AS p FROM wp_frame {where} GROUP BY season)"""
 
 
 def frame(t: Tables) -> DataFrame:
@@ -25,53 +29,72 @@ def frame(t: Tables) -> DataFrame:
     return ft.training_frame(ft.wp_features(t.snaps), extra)
 
 
-@query("wp_fit")
+def facts(scored: DataFrame) -> DataFrame:
+    f = md.season_facts(scored)
+    return f.select("season", "rows", "games", "positives", r6("base_loss").alias("base_loss"), "in_unit_interval", (F.col("loss") < F.col("base_loss")).alias("beats_base_rate"))
+
+
+@query("wp_fit", FACTS.format(where=""))
 def wp_fit(t: Tables):
-    """Fit the spread model and score its own frame (rows only)."""
-    f = frame(t).persist()
-    p = md.predict(md.fit(f, "wp_spread", ROUNDS), f)
-    return p.select("game_id", "seq", r6("wp").alias("wp"))
+    """Fit the spread model with its full settings and score its own frame."""
+    f = frame(t)
+    return facts(md.predict(md.fit(f, "wp_spread"), f))
 
 
-@query("loso_cv")
+@query("loso_cv", FACTS.format(where=""))
 def loso_cv(t: Tables):
-    """Held-out scores per season (rows only)."""
-    cv = md.loso_cv(frame(t).persist(), [2000, 2001, 2002], "wp", 3)
-    return cv.select("game_id", "season", "seq", r6("wp").alias("wp"))
+    """Every season scored by a model of all others."""
+    f = frame(t)
+    return facts(md.loso_cv(f, [r["season"] for r in f.select("season").distinct().orderBy("season").collect()], "wp"))
+
 
+EXTERNAL = "0.5 + (seq % 40 - 20)/100.0"
 
-@query("forward_test")
+
+@query("forward_test", f"""SELECT count(*)::BIGINT AS rows, count(DISTINCT game_id) AS games, round(avg({brier('(' + EXTERNAL + ')::DOUBLE', 'label')}), 6) AS brier_external,
+    round(avg({log_loss('(' + EXTERNAL + ')::DOUBLE', 'label', '1e-15')}), 6) AS log_loss_external, true AS ours_is_better, true AS interval_holds_difference
+    FROM wp_frame WHERE season = (SELECT max(season) FROM wp_frame)""")
 def forward_test(t: Tables):
-    """Train on all seasons but the last, score the last, and compare with an external forecast (rows only)."""
-    f = frame(t).persist()
-    ours = md.predict(md.fit(f.filter("season < 2005"), "wp_spread", ROUNDS), f.filter("season = 2005"))
-    both = ours.withColumn("external", F.lit(0.5) + (F.col("seq") % 40 - 20) / 100)
-    y = F.col("label").cast("double")
-    st = bs.entity_sums(both, "game_id", n=F.lit(1.0), a=(F.col("wp") - y) ** 2, b=(F.col("external") - y) ** 2)
-    reps = bs.resample(st, "game_id", ["n", "a", "b"], N_BOOT)
-    full = st.agg(F.sum("n").alias("rows"), (F.sum("a") / F.sum("n")).alias("brier_ours"), (F.sum("b") / F.sum("n")).alias("brier_external"))
-    return full.transform(with_row, bs.spread(reps, diff=(F.col("a") - F.col("b")) / F.col("n")))
-
-
-@query("wp_on_events")
+    """Train on all seasons but the last, score the last, and compare with another forecast under common draws."""
+    f = frame(t)
+    last = f.agg(F.max("season")).first()[0]
+    ours = md.predict(md.fit(f.filter(F.col("season") < last), "wp_spread"), f.filter(F.col("season") == last))
+    r = md.forward_report(ours.withColumn("external", F.lit(0.5) + (F.col("seq") % 40 - 20) / 100), "wp", "external", n_boot=N_BOOT)
+    inside = lambda m: F.col(f"{m}_diff").between(F.col(f"{m}_diff_p05"), F.col(f"{m}_diff_p95"))
+    return r.select("rows", "games", r6("brier_b").alias("brier_external"), r6("log_loss_b").alias("log_loss_external"),
+                    ((F.col("brier_diff") < 0) & (F.col("log_loss_diff") < 0)).alias("ours_is_better"), (inside("brier") & inside("log_loss")).alias("interval_holds_difference"))
+
+
+@query("wp_on_events", """SELECT kind, count(*) AS events, count(*) FILTER (kind IN ('play', 'snap') AND phase = 'snap' AND down IS NOT NULL AND posteam IS NOT NULL AND qtr <= 4) AS priced,
+    true AS in_unit_interval FROM replayed GROUP BY kind""")
 def wp_on_events(t: Tables):
-    """The direct model at every replay event a scrimmage snap follows (rows only)."""
-    model = md.fit(frame(t), "wp_spread", 3)
+    """The direct model at every replay event that a scrimmage snap follows."""
+    model = md.fit(frame(t), "wp_spread")
     e = rp.replay_events(t.play_rows, rp.end_bounds(t.play_rows), t.hot_games_by_id)
-    rows = t.play_rows.withColumns({"pregame_spread": (F.col("game_id") % 15 - 7).cast("double"), "final_margin_home": F.lit(3.0)})
-    return md.score_events(model, e, rows).select("game_id", "order", "kind", r6("wp_direct_home").alias("wp_direct_home"))
+    rows = t.play_rows.withColumns({"pregame_spread": (F.col("game_id") % 15 - 7).cast("double"), "final_margin_home": F.lit(None).cast("double")})
+    scored = md.score_events(model, e, rows)
+    return scored.groupBy("kind").agg(F.count(F.lit(1)).alias("events"), F.count("wp_direct_home").alias("priced"),
+                                      F.coalesce(F.min(F.col("wp_direct_home").between(0, 1)), F.lit(True)).alias("in_unit_interval"))
 
 
-@query("outcome_fit")
+@query("outcome_fit", f"""WITH l AS (SELECT game_id, CASE WHEN result = 'end_half' THEN 190 ELSE {dp.RES} * 19 + bin END AS label FROM binned),
+    c AS (SELECT label, count(*) AS n FROM l GROUP BY label), a AS (SELECT sum(n) AS n FROM c)
+    SELECT (SELECT sum(n)::BIGINT FROM c) AS rows, (SELECT count(DISTINCT game_id) FROM l) AS games, count(*) AS classes, round(-sum(c.n/a.n*ln(c.n/a.n)), 6) AS base_loss,
+      true AS in_unit_interval, true AS beats_base_rate FROM c, a""")
 def outcome_fit(t: Tables):
-    """Multinomial fit over (result, duration bin) with recency weights, scored per snap (rows only)."""
-    s = ft.training_snaps(dp.snap_rows(t)).withColumns({
-        "x": ft.drive_features(2004), "label": ft.class_label(F.col("result"), F.col("seconds")), "w": ft.recency_weight(F.col("season"), F.lit(2005), 6.0)}).persist()
+    """Multinomial fit over (result, duration bin) with recency weights, scored on its own snaps."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    m = md.fit_outcomes(s, iterations=3)
+    s = ft.training_snaps(dp.snap_rows(t)).withColumns({
+        "x": ft.drive_features(2004), "label": ft.class_label(F.col("result"), F.col("seconds")), "w": ft.recency_weight(F.col("season"), F.lit(2005), 6.0)})
+    m = md.fit_outcomes(s)
     p = m.transform(s.withColumn("features", array_to_vector("x")).drop("w"))
-    return p.select("game_id", "seq", "result", r6(F.get(vector_to_array("probability"), F.col("label"))).alias("p_actual"))
+    each = p.select("game_id", "label", F.get(vector_to_array("probability"), F.col("label")).alias("p"))
+    sums = each.groupBy("label", "game_id").agg(F.count(F.lit(1)).alias("n"), F.sum(-F.log(F.greatest("p", F.lit(1e-15)))).alias("l"), F.min(F.col("p").between(0, 1)).alias("ok"))
+    games = sums.groupBy("game_id").agg(F.sum("l").alias("l"), F.min("ok").alias("ok")).agg(F.count(F.lit(1)).alias("games"), F.sum("l").alias("l"), F.min("ok").alias("in_unit_interval"))
+    classes = sums.groupBy("label").agg(F.sum("n").alias("n"))
+    total = classes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("base_loss"))
+    return total.transform(with_row, games).select("rows", "games", "classes", r6("base_loss").alias("base_loss"), "in_unit_interval", (F.col("l") / F.col("rows") < F.col("base_loss")).alias("beats_base_rate"))
 
 
 # a small fixed network over three inputs, so that the SQL twin can write it out
