@@ -17,7 +17,8 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 from inplay.session import slice_rows
 
 SLICE = "__slice"
-BROADCAST_ROWS = 1_000_000  # entries (about 40 bytes each) up to which the list of hot entities is broadcast
+BROADCAST_BYTES = 64 << 20  # size up to which the quantiles of hot entities are broadcast
+MOST_KNOTS = 4096  # quantiles kept of an entity
 _UNB, _END = Window.unboundedPreceding, Window.unboundedFollowing
 
 
@@ -74,29 +75,44 @@ def numeric_key(df: DataFrame, name: str) -> Column:
 
 
 def hot_entities(df: DataFrame, by: Sequence[str], order: str, rows: int | None = None) -> DataFrame | None:
-    """Entities of a base table with more rows than a slice should hold, with the start and the slice
-    step of their order key; None if there are none. This measures the table once (one narrow
-    aggregation, like gathering statistics) so that plans over evenly spread data stay plain windows.
-    The result holds at most total rows / slice rows entries."""
+    """Entities of a base table with more rows than a slice should hold, with quantiles of their order key, by which they
+    are cut into slices of about equal numbers of rows however their keys lie; None if there are none. This measures the
+    table once (one narrow aggregation, like gathering statistics, and for hot entities alone a mergeable quantile
+    sketch) so that plans over evenly spread data stay plain windows. The result holds at most total rows / slice
+    rows entries. Up to MOST_KNOTS / 2 slices an entity, no slice holds more than twice its share, unless rows share one
+    exact key; beyond, keys are spread evenly between neighbouring quantiles."""
     rows = rows or slice_rows(df.sparkSession)
-    x = numeric_key(df, order)
-    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    hot = stats.filter(F.col("__n") > rows).select(
-        *by, "__lo", (F.ceil(F.col("__n") / F.lit(rows)) / (F.col("__hi") - F.col("__lo") + 1).cast("double")).alias("__step")).persist()
-    n = hot.count()
-    if n == 0:
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows).persist()
+    n, most = sizes.agg(F.count(F.lit(1)), F.max("__n")).first()
+    if not n:
+        sizes.unpersist()
         return None
-    return F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    knots = min(MOST_KNOTS, max(64, 1 << (2 * -(-most // rows) - 1).bit_length()))
+    step = max(1, round(knots ** 0.5))
+    few = n * knots * 8 <= BROADCAST_BYTES
+    x = numeric_key(df, order).cast("double")
+    at = F.array(*[F.lit(i / knots) for i in range(knots + 1)])
+    sketch = df.select(*by, x.alias("__x")).join(F.broadcast(sizes) if few else sizes, list(by)).groupBy(*by, "__n").agg(F.percentile_approx("__x", at, F.lit(50 * knots)).alias("__q"))
+    heads = F.filter("__inner", lambda _, i: (i + 1) % step == 0)
+    hot = sketch.withColumn("__inner", F.slice("__q", 2, knots - 1)).select(*by, "__q", "__inner", heads.alias("__heads"), F.lit(step).alias("__width"), F.ceil(F.col("__n") / F.lit(rows)).alias("__slices")).persist()
+    return F.broadcast(hot) if few else hot
 
 
 def with_slices(df: DataFrame, by: Sequence[str], order: str, hot: DataFrame | None) -> DataFrame:
-    """Add the slice number of hot entities, a non-decreasing function of the order key (null elsewhere)."""
+    """Add the slice number of hot entities, a non-decreasing function of the order key (null elsewhere): the key's
+    rank by the entity's quantiles, between two of them in proportion, times the number of slices."""
     if hot is None:
         return df
     keys = [c for c in hot.columns if c in by]
-    at = F.floor((numeric_key(df, order) - F.col("__lo")).cast("double") * F.col("__step"))
-    return df.join(hot, keys, "left").withColumn(
-        SLICE, F.when(F.col("__step").isNotNull(), F.coalesce(at, F.lit(-(2 ** 40)))).cast("bigint")).drop("__lo", "__step")
+    x = numeric_key(df, order).cast("double")
+    full = F.size(F.filter("__heads", lambda q: q <= x)) * F.col("__width")
+    cell = (full + F.size(F.filter(F.slice("__inner", full + 1, F.col("__width")), lambda q: q <= x))).cast("int")
+    low, high = F.get("__q", F.col("__cell")), F.get("__q", F.col("__cell") + 1)
+    inside = F.when(high > low, F.least(F.greatest((F.col("__x") - low) / (high - low), F.lit(0.0)), F.lit(0.999999))).otherwise(0.0)
+    at = F.floor((F.col("__cell") + inside) / (F.size("__q") - 1) * F.col("__slices"))
+    ranked = df.join(hot, keys, "left").withColumns({"__x": x, "__cell": cell})
+    return ranked.withColumn(SLICE, F.when(F.col("__slices").isNotNull(), F.coalesce(at, F.lit(-(2 ** 40)))).cast("bigint")).drop(
+        "__q", "__inner", "__heads", "__width", "__slices", "__x", "__cell")
 
 
 def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], hot: DataFrame | None = None, **specs: Spec) -> DataFrame:

@@ -34,6 +34,20 @@ def test_sliced_scan_equals_plain_scan(spark, rows):
     assert plain == cut
 
 
+@pytest.mark.parametrize("shape", ["bunched", "tiny", "outlier", "even"])
+def test_slices_hold_like_numbers_of_rows(spark, shape):
+    rng = random.Random(shape)
+    key = {"bunched": lambda i: 1e6 + i / 7 if i % 10 else rng.uniform(0, 1e9), "tiny": lambda i: 5 + i * 1e-7, "outlier": lambda i: float(i) if i else 1e15, "even": float}[shape]
+    df = spark.createDataFrame([("hot", key(i)) for i in range(3000)] + [("cold", 1.0), ("cold", 7.0)], "g string, x double")
+    hot = sc.hot_entities(df, ["g"], "x", 100)
+    rows = sc.with_slices(df, ["g"], "x", hot).collect()
+    assert {r.g for r in rows if r[sc.SLICE] is None} == {"cold"}
+    cut = sorted((r.x, r[sc.SLICE]) for r in rows if r.g == "hot")
+    numbers = [n for _, n in cut]
+    assert numbers == sorted(numbers) and 15 <= len(set(numbers)) <= 31
+    assert max(numbers.count(n) for n in set(numbers)) <= 200
+
+
 @pytest.mark.parametrize("rows", [2, 6])
 def test_sliced_neighbours_equal_plain(spark, rows):
     df = frame(spark, 9)
