@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inplay.llm.storage import keep
+from inplay.llm.storage import discard, keep
 from inplay.llm.suffixes import OTHER, OTHER_INVERSE, sliding_least
 from inplay.llm.textscan import SPACE, mix, slices, span_hashes
 
@@ -82,7 +82,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
 
 def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     """Anchors of the texts (id, text_hash, text) whose digest of 128 bits occurs again, without the first occurrence (in the
-    order of id, text_hash, place): id, text_hash, place, near, far, and the first one's place as head_id, head_hash, head_place.
+    order of id, text_hash, place), per text and text of the first one, kept in the shared folder: id, text_hash, head_id,
+    head_hash, marks (place, head_place, near, far). What it kept on the way is deleted.
 
     Two passes over the texts, so that the exchange of whole records is left to anchors that can matter: the first
     sends half digests alone and finds those that occur twice; the second leaves out, by a filter of fixed size (2 MB)
@@ -101,6 +102,7 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     words = twice.select(F.pmod("high", F.lit(1 << 24)).alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("bits"))
     for r in words.toLocalIterator():  # 2^18 rows at most
         table[r["w"]] = np.int64(r["bits"]).view(np.uint64)
+    discard(twice)
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -118,8 +120,13 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     where = F.struct("id", "text_hash", "place")
     heads = found.groupBy("high", "low").agg(F.min(where).alias("head"), F.max(where).alias("top")).filter("head <> top").select("high", "low", "head")
     # Both sides are plain tables, so that Spark can split an anchor that very many texts share.
-    return found.join(keep(heads, "heads"), ["high", "low"]).filter(F.col("head") != where).select(
+    heads = keep(heads, "heads")
+    later = found.join(heads, ["high", "low"]).filter(F.col("head") != where).select(
         "id", "text_hash", "place", "near", "far", F.col("head.id").alias("head_id"), F.col("head.text_hash").alias("head_hash"), F.col("head.place").alias("head_place"))
+    pairs = keep(later.groupBy("id", "text_hash", "head_id", "head_hash").agg(F.collect_set(F.struct("place", "head_place", "near", "far")).alias("marks")), "pairs")
+    discard(found)
+    discard(heads)
+    return pairs
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -191,8 +198,7 @@ def dedupe_passages(docs: DataFrame, least: int = 120) -> DataFrame:
     nothing to each other, and all keep what the first of them keeps. Null ids come first. An empty table gives none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1 << 63)))
-    pairs = repeated_anchors(docs, least).groupBy("id", "text_hash", "head_id", "head_hash").agg(F.collect_set(F.struct("place", "head_place", "near", "far")).alias("marks"))
-    pairs = keep(pairs, "pairs")
+    pairs = repeated_anchors(docs, least)
     wanted = pairs.select("id", "text_hash").union(pairs.select("head_id", "head_hash")).distinct()
     texts = keep(docs.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.first("text").alias("text")), "texts")
 
@@ -226,6 +232,8 @@ def dedupe_passages(docs: DataFrame, least: int = 120) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("head_id"), F.col("text_hash").alias("head_hash"), F.col("text").alias("head_text")), ["head_id", "head_hash"]).join(texts, ["id", "text_hash"])
     matches = keep(both.select("id", "text_hash", "text", "head_id", "head_hash", "head_text", "marks").mapInArrow(
         extend, "id long, text_hash long, start long, stop long, gone boolean, high long, low long"), "matches")
+    discard(pairs)
+    discard(texts)
     where = F.struct("id", "text_hash", "start")
     strings = matches.filter("gone is null")
     firsts = strings.groupBy("high", "low").agg(F.min(where).alias("head"), F.max(where).alias("top")).filter("head <> top").select("high", "low", "head")
