@@ -9,6 +9,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,23 +111,24 @@ def prefix_cuts(docs: DataFrame, target: int = 16 << 20, every: int = 1 << 18) -
     """Ascending prefixes that cut all texts into ranges of about `target` bytes each. Their lengths adapt: a cut is the
     shortest prefix that tells two neighbouring texts apart.
 
-    Every task sorts its texts, a megabyte at a time, and gives such a prefix each `every` bytes; these few are ordered
-    by range and thinned to one cut every `target` bytes. Only the cuts come to the driver: total bytes / target."""
+    Every task sorts its texts, a megabyte at a time, and gives such a prefix each `every` bytes, from a first place that
+    differs from one megabyte to the next (else all would cut at the same few quantiles); these few are ordered by range
+    and thinned to one cut every `target` bytes. Only the cuts come to the driver: total bytes / target."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for batch in batches:
-            for _, texts, data, _ in _texts(batch):
+            for _, texts, _, _ in _texts(batch):
                 texts.sort()
-                found, size, weight = [b""], [0], 0
-                for before, text in zip([b"", *texts], texts):
+                turn += 1
+                found, weight, before = [], turn * 0.6180339887 % 1 * every, b""
+                for text in texts:
                     if weight >= every and before != text:
                         found.append(text[:_shared(before, text) + 1])
-                        size[-1] += weight
-                        size.append(0)
-                        weight = 0
+                        weight %= every
                     weight += len(text)
-                size[-1] += weight
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(size, pa.int64())], names=["prefix", "bytes"])
+                    before = text
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([every] * len(found), pa.int64())], names=["prefix", "bytes"])
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = target  # each range of the order begins with a cut
