@@ -22,6 +22,7 @@ LOW = 1 << 31  # states stay in [LOW, 2^63)
 HEADER = struct.Struct("<4sIIIIII")  # mark, checksum of what follows, documents, tokens, lanes, checkpoints, words
 MARK = b"rANS"
 LANES = 1024
+REMEMBERED = 250_000  # chunks of text a worker remembers the ids of (see tokens.Encoder), beside a segment's ids and table
 EVERY = 64  # steps between checkpoints; one holds 8 bytes a lane, about a tenth of what lies between
 SEGMENTS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_docs", T.LongType()),
@@ -143,7 +144,7 @@ def tokens_in(block: bytes) -> int:
 
 
 def _ids_with_end(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    tokens, end = encoder(tokenizer), np.uint16(end_id)
+    tokens, end = encoder(tokenizer, REMEMBERED), np.uint16(end_id)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256).to_pydict()

@@ -30,10 +30,11 @@ SPLIT = re.compile(rf"(?<=[^{_WHITE}])(?= [^{_WHITE}])")
 class Encoder:
     """ids(texts): for each text its token ids as little-endian 16-bit numbers (all vocabularies here are smaller)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int = GENERATION):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.generation = generation
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         mark = [self.library.token_to_id(t) for t in ("a</w>", "Ġa")]
@@ -112,7 +113,7 @@ class Encoder:
         for c in new:
             if len(c) > LONG:
                 del memory[c]
-        if len(memory) > GENERATION:
+        if len(memory) > self.generation:
             self.memory, self.older = {}, memory
         return out
 
@@ -120,8 +121,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, generation: int = GENERATION) -> Encoder:
     """One encoder per worker process and vocabulary; it lives on between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, generation)
     return _ENCODERS[path]
