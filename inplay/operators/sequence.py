@@ -15,6 +15,7 @@ MAX_PLAY_S = 120
 NEIGHBOURS = 4
 FALLBACK_DURATION_S = 5.0
 ADMIN_DURATION_S = 0.0
+TICKS = 1 << 22  # a second
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z?$"
 
 GAME = ("game_id",)
@@ -75,16 +76,17 @@ def repair_times(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id"
     the snaps since; a row moves the end to its own end, to the largest snap plus its length, or to p + its length, which is
     d - d0 more than what the stretch began with. So a stretch maps p to max(p + g, h), with g the largest such excess
     (at least 0) and h the largest of the other two, and over stretches p = G + max(first, max(h - G)), G the sum of g.
-    All times are whole microseconds on the way."""
+    All times are whole TICKs on the way, the spacing of doubles between 2004 and 2038, so that these sums equal the ones
+    which the recursion makes in doubles, to the last bit."""
     by = list(by)
-    us = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint")
+    ticks = lambda c: F.rint(F.col(c) * TICKS).cast("bigint")
     none = F.lit(None).cast("bigint")
-    work = df.withColumns({"__snap": us("snap"), "__end": us("end"), "__d": us("duration"), "__gap": F.col("snap").isNull()})
+    work = df.withColumns({"__snap": ticks("snap"), "__end": ticks("end"), "__d": ticks("duration"), "__gap": F.col("snap").isNull()})
     went = F.when(F.col("__gap"), F.col("__d"))
     work = scan(work, by, [order], hot=hot, __run=running_sum(F.col("__gap").cast("bigint")), __off=running_sum(F.coalesce(went, F.lit(0))), __d0=ffill(went), __row=row_number())
     of_run = lambda c: F.when(c.isNotNull(), F.struct(F.col("__run").alias("run"), c.alias("v")))
     here = lambda c: F.when(F.col(c)["run"] == F.col("__run"), F.col(c)["v"])
-    work = scan(work, by, [order], hot=hot, __m=running_max(of_run(F.col("__snap"))), __first=ffill(F.when(F.col("__row") == 1, us("next_valid"))))
+    work = scan(work, by, [order], hot=hot, __m=running_max(of_run(F.col("__snap"))), __first=ffill(F.when(F.col("__row") == 1, ticks("next_valid"))))
     moved = F.when(~F.col("bad"), F.col("__end")).when(~F.col("__gap"), here("__m") + F.col("__d")) - F.col("__off")
     excess = F.when(F.col("bad") & ~F.col("__gap") & (F.col("__run") > 0), F.col("__d") - F.col("__d0"))
     work = scan(work, by, [order], hot=hot, __h=running_max(of_run(moved)), __g=running_max(of_run(F.when(excess > 0, excess))))
@@ -94,7 +96,7 @@ def repair_times(df: DataFrame, by: Sequence[str] = GAME, order: str = "play_id"
     work = scan(work, by, [order], hot=hot, __most=running_max(F.when(F.col("__gap"), F.col("__h1") - F.col("__sum")).otherwise(none)))
     began = F.greatest("__first", "__most") + F.col("__sum")
     begins = F.when(F.col("__run") > 0, F.greatest(began + F.col("__off") - F.col("__d0"), "__snaps")).otherwise(F.col("__snaps"))
-    done = work.withColumns({"t_snap": begins / 1_000_000, "t_end": (F.greatest(began + F.col("__g"), "__h") + F.col("__off")) / 1_000_000})
+    done = work.withColumns({"t_snap": begins / TICKS, "t_end": (F.greatest(began + F.col("__g"), "__h") + F.col("__off")) / TICKS})
     return done.drop("__snap", "__end", "__d", "__gap", "__run", "__off", "__d0", "__row", "__first", "__h", "__g", "__snaps", "__h1", "__g1", "__sum", "__most")
 
 

@@ -72,7 +72,8 @@ def type_median(t: Tables):
 
 @query("monotone_repair", REPAIR + " SELECT game_id, play_id, round(s, 3) AS t_snap, round(e, 3) AS t_end FROM rec")
 def monotone_repair(t: Tables):
-    return cleaned(t).select("game_id", "play_id", F.round("t_snap", 3).alias("t_snap"), F.round("t_end", 3).alias("t_end"))
+    ms = lambda c: (F.round(F.col(c) * 1000) / 1000).alias(c)
+    return cleaned(t).select("game_id", "play_id", ms("t_snap"), ms("t_end"))
 
 
 @query("seq_rownum", "SELECT play_id, row_number() OVER (PARTITION BY game_id ORDER BY play_id) - 1 AS seq FROM plays")
