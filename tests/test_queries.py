@@ -45,3 +45,9 @@ def test_plans_have_no_nested_loops(spark, key):
 def test_model_fit_scores_every_row(spark):
     rows = entry.queries()["wp_fit"](spark, SF).collect()
     assert rows and all(0 <= r.wp <= 1 for r in rows)
+
+
+@needs_data
+def test_wide_distributions_are_not_broadcast(spark):
+    plan = entry.queries()["rung_grid"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert any("ShuffledHashJoin [game_id" in line and "BuildLeft" in line for line in plan.splitlines())
