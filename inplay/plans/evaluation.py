@@ -425,6 +425,10 @@ def paths(t: Tables) -> DataFrame:
     return ev.market_paths(moves(t), t.trades, TAUS, unit_s=UNIT_S, hot=t.hot_games)
 
 
+def runs(t: Tables) -> DataFrame:
+    return ev.market_runs(moves(t), t.trades, TAUS, unit_s=UNIT_S, hot=t.hot_games)
+
+
 @query("event_path", f"WITH {PATHS} SELECT game_id, ord AS quote_order, tau::BIGINT AS tau, round(base, 6) AS base, round(px, 6) AS px FROM pa")
 def event_path(t: Tables):
     return paths(t).select("game_id", F.col("order").alias("quote_order"), F.col("tau").cast("bigint").alias("tau"),
@@ -439,7 +443,7 @@ def event_path(t: Tables):
       (SELECT min(tau)::BIGINT FROM tot WHERE share >= 0.5) AS first_cross FROM tot JOIN bd USING (tau)""")
 def event_study(t: Tables):
     """Response curve around big moves, and the first offset at which it crosses a level."""
-    curve = ev.event_curve(paths(t), n_boot=N_BOOT)
+    curve = ev.event_curve(runs(t), n_boot=N_BOOT)
     cross = curve.filter("share >= 0.5").agg(F.min("tau").cast("bigint").alias("first_cross"))
     return rounded(curve.transform(with_row, cross).withColumn("tau", F.col("tau").cast("bigint")), ["share", "p05", "p95"])
 
@@ -457,7 +461,7 @@ def event_study(t: Tables):
       round((SELECT quantile_cont(half::DOUBLE, 0.95) FROM hv), 6) AS half_move_p95, round((SELECT share FROM tw), 6) AS traded_within FROM pm""")
 def event_summary(t: Tables):
     """The event study in one row."""
-    out = ev.event_summary(paths(t), moves(t), t.trades, within_s=UNIT_S, n_boot=N_BOOT, hot=t.hot_games).withColumn("half_move", F.col("half_move").cast("bigint"))
+    out = ev.event_summary(runs(t), moves(t), t.trades, within_s=UNIT_S, n_boot=N_BOOT, hot=t.hot_games).withColumn("half_move", F.col("half_move").cast("bigint"))
     return rounded(out, ["median_abs_move", "share_at_0", "share_at_120", "half_move_p05", "half_move_p95", "traded_within"])
 
 
@@ -472,5 +476,5 @@ def event_summary(t: Tables):
     FROM tot JOIN bd USING (tau)""")
 def event_delay(t: Tables):
     """What is left of a move, and what trading it would earn, by delay."""
-    d = ev.delay_table(paths(t), n_boot=N_BOOT).withColumn("tau", F.col("tau").cast("bigint"))
+    d = ev.delay_table(runs(t), n_boot=N_BOOT).withColumn("tau", F.col("tau").cast("bigint"))
     return rounded(d, [c for c in d.columns if c not in ("tau", "moves")])
