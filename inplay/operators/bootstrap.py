@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, IntegralType,
 
 from inplay.functions.hashing import PRIME, id_key, poisson_cdf, poisson_weights, uniform
 from inplay.operators.onerow import with_row
+from inplay.session import all_cores
 
 SEED = 2013  # fixed value
 BUCKETS = 64  # shares in which entities are numbered for exact draws
@@ -40,11 +41,15 @@ def _reps(n_boot: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
 
 
-def _draws(numbered: DataFrame, groups: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+def _picks(numbered: DataFrame, groups: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """One row per draw. The entities are few bytes that become n_boot rows each, so they are dealt to all cores first."""
     pick = F.floor(uniform(seed, F.col("__i"), F.col("rep")) * F.col("__g")) + 1
-    return numbered.select(*groups, "__i", "__g", _reps(n_boot)).select(
-        *groups, "rep", pick.cast("bigint").alias("__i")).groupBy(*groups, "rep", "__i").agg(
-        F.count(F.lit(1)).alias("__w"))
+    dealt = numbered.select(*groups, "__i", "__g").repartition(all_cores(numbered.sparkSession), *groups, "__i")
+    return dealt.select(*groups, "__i", "__g", _reps(n_boot)).select(*groups, "rep", pick.cast("bigint").alias("__i"))
+
+
+def _draws(numbered: DataFrame, groups: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    return _picks(numbered, groups, n_boot, seed).groupBy(*groups, "rep", "__i").agg(F.count(F.lit(1)).alias("__w"))
 
 
 class _Replicates:
@@ -145,8 +150,8 @@ def resample(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups
     if method != "multinomial":
         raise ValueError(f"no method {method}")
     numbered = _numbered(stats, by, groups)
-    weighted = _draws(numbered, groups, n_boot, seed).join(numbered.select(*groups, "__i", *sums), [*groups, "__i"])
-    return weighted.groupBy(*groups, "rep").agg(*[F.sum(F.col(s) * F.col("__w")).alias(s) for s in sums])
+    drawn = _picks(numbered, groups, n_boot, seed).join(numbered.select(*groups, "__i", *sums), [*groups, "__i"])
+    return drawn.groupBy(*groups, "rep").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def weights(rows: DataFrame, by: str, n_boot: int, seed: int = SEED, method: str = "poisson") -> DataFrame:

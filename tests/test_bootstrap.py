@@ -64,3 +64,11 @@ def test_infinite_sums_count_only_where_drawn(spark):
     w = {(r.game, r.rep): r.w for r in bs.weights(df, "game", 40).collect()}
     got = {r.rep: r.x for r in bs.resample(df, "game", ["x"], 40).collect()}
     assert all(math.isinf(x) == ((3, rep) in w) for rep, x in got.items()) and len({math.isinf(x) for x in got.values()}) == 2
+
+
+def test_exact_draws_are_made_by_all_cores(spark):
+    """Few entities are few bytes, which adaptive execution would leave to one task with all their draws."""
+    stats = spark.range(300).select(F.col("id").alias("game_id"), F.lit(1.0).alias("n"))
+    picks = bs._picks(bs._numbered(stats, "game_id", []), [], 10, 1)
+    assert picks.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert picks.count() == 3000
