@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import base64
 import math
+import pickle
 from dataclasses import dataclass, field
 from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
@@ -69,21 +70,30 @@ def best_split(g: np.ndarray, h: np.ndarray, low: float, high: float, s: Setting
     return float(gain[f, b]), f, b, float(wl[f, b]), float(wr[f, b])
 
 
-def grow(binned: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, s: Settings, add) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One tree: (feature, bin, weight of each leaf). `add` sums an array over all tasks, so that each of them finds the
-    same splits; bins and gradients stay where they are."""
+def level_sums(binned: np.ndarray, node: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray, level: int) -> np.ndarray:
+    """Gradients and their slopes per (node of the level, column, bin), one after the other."""
+    cells, size = (node - (2**level - 1)) * BINS, 2**level * BINS
+    flat = [cells + binned[:, c] for c in columns]
+    # per sum an array (columns, nodes, bins), turned to (nodes, columns, bins)
+    each = [np.stack([np.bincount(f, v, size) for f in flat]).reshape(len(columns), 2**level, BINS).swapaxes(0, 1).ravel() for v in (g, h)]
+    return np.concatenate(each).astype(float)
+
+
+def step_down(binned: np.ndarray, node: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    return 2 * node + 1 + (binned[np.arange(len(node)), feature[node]] > cut[node])
+
+
+def grow(sums_of, width: int, columns: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tree: (feature, bin, weight of each leaf). `sums_of(level, feature, cut)` gives the level_sums of all rows under
+    the tree so far; bins and gradients stay where they are."""
     inner = 2**s.depth - 1
     feature, cut = np.zeros(inner, np.int32), np.full(inner, BINS, np.int64)
-    signs = np.array(s.signs or (0,) * binned.shape[1])[columns]
+    signs = np.array(s.signs or (0,) * width)[columns]
     low, high = np.full(2 * inner + 1, -np.inf), np.full(2 * inner + 1, np.inf)
-    weight, node = np.zeros(2 * inner + 1), np.zeros(len(g), np.int64)
+    weight = np.zeros(2 * inner + 1)
     for level in range(s.depth):
         first, many = 2**level - 1, 2**level
-        cells = (node - first)[:, None] * (len(columns) * BINS) + np.arange(len(columns)) * BINS + binned[:, columns]
-        size = many * len(columns) * BINS
-        flat = cells.ravel()
-        both = add(np.concatenate([np.bincount(flat, np.repeat(v, len(columns)), size) for v in (g, h)]))
-        tg, th = (x.reshape(many, len(columns), BINS).astype(float) for x in np.split(both, 2))
+        tg, th = (x.reshape(many, len(columns), BINS) for x in np.split(sums_of(level, feature, cut), 2))
         for k in range(many):
             at = first + k
             if not level:
@@ -97,7 +107,6 @@ def grow(binned: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray,
                 if signs[f]:
                     upper, lower = (2 * at + 1, 2 * at + 2) if signs[f] > 0 else (2 * at + 2, 2 * at + 1)
                     high[upper] = low[lower] = (left + right) / 2
-        node = 2 * node + 1 + (binned[np.arange(len(node)), feature[node]] > cut[node])
     return feature, cut, weight[inner:]
 
 
@@ -108,49 +117,97 @@ def edges_of(frame: DataFrame, names: Sequence[str]) -> list[np.ndarray]:
     return [np.unique(np.array(row[f"e{i}"] or [], float)) for i in range(len(names))]
 
 
-def _boost(binned: np.ndarray, y: np.ndarray, keys: np.ndarray, base: float, s: Settings, add) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(feature, bin, leaf) of one tree after the other. Which rows and columns a round sees follows from the seed, the
-    round and the rows' keys, so it is the same however the rows are dealt to tasks."""
-    odds, width = np.full(len(y), base), binned.shape[1]
-    for r in range(s.rounds):
-        p = 1 / (1 + np.exp(-odds))
-        g, h = p - y, p * (1 - p)
+def _columns(s: Settings, r: int, width: int) -> np.ndarray:
+    return np.sort(np.random.default_rng([s.seed, r]).permutation(width)[:max(1, round(s.column_share * width))])
+
+
+class Rows:
+    """Rows of one task with their log odds so far. Which rows and columns a round sees follows from the seed, the round
+    and the rows' keys, so it is the same however the rows are dealt to tasks."""
+
+    def __init__(self, binned: np.ndarray, y: np.ndarray, keys: np.ndarray, base: float):
+        self.binned, self.y, self.keys, self.odds = binned, y, keys, np.full(len(y), base)
+
+    def begin(self, s: Settings, r: int) -> Rows:
+        p = 1 / (1 + np.exp(-self.odds))
+        self.g, self.h = p - self.y, p * (1 - p)
         if s.row_share < 1:
-            x = keys ^ np.uint64(0x9E3779B97F4A7C15 * (s.seed + r + 1) & 0xFFFFFFFFFFFFFFFF)
+            x = self.keys ^ np.uint64(0x9E3779B97F4A7C15 * (s.seed + r + 1) & 0xFFFFFFFFFFFFFFFF)
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             drawn = ((x ^ (x >> np.uint64(29))) >> np.uint64(11)) < np.uint64(int(s.row_share * (1 << 53)))
-            g, h = g * drawn, h * drawn
-        columns = np.sort(np.random.default_rng([s.seed, r]).permutation(width)[:max(1, round(s.column_share * width))])
-        feature, cut, leaf = grow(binned, g, h, columns, s, add)
-        node = np.zeros(len(y), np.int64)
-        for _ in range(s.depth):
-            node = 2 * node + 1 + (binned[np.arange(len(y)), feature[node]] > cut[node])
-        odds += s.step * leaf[node - len(feature)]
-        yield feature, cut, s.step * leaf
+            self.g, self.h = self.g * drawn, self.h * drawn
+        return self
+
+    def node(self, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+        at = np.zeros(len(self.y), np.int64)
+        for _ in range(levels):
+            at = step_down(self.binned, at, feature, cut)
+        return at
+
+    def end(self, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Rows:
+        feature, cut, leaf = tree
+        self.odds = self.odds + leaf[self.node(feature, cut, (len(feature) + 1).bit_length() - 1) - len(feature)]
+        return self
+
+
+def _boost(rows: Rows, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(feature, bin, leaf) of one tree after the other, from rows held here."""
+    width = rows.binned.shape[1]
+    for r in range(s.rounds):
+        columns = _columns(s, r, width)
+        rows.begin(s, r)
+        feature, cut, leaf = grow(lambda level, f, c: level_sums(rows.binned, rows.node(f, c, level), rows.g, rows.h, columns, level), width, columns, s)
+        tree = feature, cut, s.step * leaf
+        rows.end(tree)
+        yield tree
+
+
+def _boost_spread(blocks, width: int, s: Settings, keep: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same trees from an RDD of Rows: one job a level adds up the tasks' histograms. The odds move on with the rows,
+    which are kept in the executors from round to round; every `keep` rounds their lineage is cut."""
+    held, last = [blocks], None
+    for r in range(s.rounds):
+        columns = _columns(s, r, width)
+        now = held[-1].map(lambda rows, r=r, last=last: (rows.end(last) if last else rows).begin(s, r))
+        now = now.persist(StorageLevel.MEMORY_AND_DISK)
+        if r % keep == keep - 1:
+            now.localCheckpoint()
+
+        def sums_of(level: int, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+            f, c = feature.copy(), cut.copy()
+            return now.map(lambda rows: level_sums(rows.binned, rows.node(f, c, level), rows.g, rows.h, columns, level)).reduce(np.add)
+
+        feature, cut, leaf = grow(sums_of, width, columns, s)
+        last = feature, cut, s.step * leaf
+        yield last
+        held.append(now)
+        if len(held) > 2:
+            held.pop(0).unpersist()
+    for one in held:
+        one.unpersist()
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins (a byte's worth per feature), labels and keys of (x0, x1, ..., y, key)."""
     width = len(edges)
-    parts, ys, keys = [np.zeros((0, width), np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    parts, ys, keys = [np.zeros((0, width), np.uint8)], [np.zeros(0)], [np.zeros(0, np.int64)]
     for batch in batches:
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width + 2)]
-        parts.append(np.stack([np.where(np.isnan(c), 0, 1 + np.searchsorted(e, c, "right")) for c, e in zip(columns, edges)], 1).astype(np.int64))
+        parts.append(np.stack([np.where(np.isnan(c), 0, 1 + np.searchsorted(e, c, "right")) for c, e in zip(columns, edges)], 1).astype(np.uint8))
         ys.append(columns[width])
         keys.append(columns[width + 1])
     return np.concatenate(parts), np.concatenate(ys), np.concatenate(keys).view(np.uint64)
 
 
-def fit(frame: DataFrame, names: Sequence[str], label: str, s: Settings, held: int = 2_000_000, workers: int = 4) -> Trees:
+def fit(frame: DataFrame, names: Sequence[str], label: str, s: Settings, held: int = 2_000_000, workers: int | None = None) -> Trees:
     """Boosted trees for a 0/1 label, trained on all rows. Values are missing where null or NaN and go left; rows with a
     null label are left out.
 
-    Up to `held` rows the driver fetches them, a few dozen bytes each, and grows the trees itself. Beyond, one barrier
-    stage of `workers` tasks holds the rows for all rounds; per level the tasks exchange their histograms (nodes x
-    features x bins, whatever the number of rows) and each grows the same tree. An exchange takes about a second
-    whatever its size, which is why few rows stay on the driver. Samples follow the rows' own values, so both ways see the
-    same rows; sums differ in rounding alone. A lost executor restarts the stage. It needs `workers` free slots at once
-    and no dynamic allocation."""
+    Up to `held` rows the driver fetches them, a few dozen bytes each, and grows the trees itself. Beyond, they are dealt
+    to `workers` tasks (all cores, if not given) which keep them for all rounds; a job per level adds up their histograms
+    (nodes x features x bins, whatever the number of rows). A job takes about a tenth of a second, the exchange of a
+    barrier stage a whole one. Samples follow the rows' own values, so both ways see the same rows; sums differ in
+    rounding alone."""
     x = [f"x{i}" for i in range(len(names))]
     data = frame.filter(F.col(label).isNotNull()).select(*[F.col(n).cast("double").alias(c) for n, c in zip(names, x)], F.col(label).cast("double").alias("y"))
     data = data.withColumn("key", F.xxhash64(*x, "y"))
@@ -158,25 +215,16 @@ def fit(frame: DataFrame, names: Sequence[str], label: str, s: Settings, held: i
     share = ((counts["s"] or 0) + 0.5) / (counts["n"] + 1)
     base, edges = math.log(share / (1 - share)), edges_of(data, x)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import BarrierTaskContext
-
-        context = BarrierTaskContext.get()
-
-        def add(mine: np.ndarray) -> np.ndarray:
-            sent = context.allGather(base64.b64encode(mine.tobytes()).decode())
-            return np.sum([np.frombuffer(base64.b64decode(m), np.float64) for m in sent], 0)
-
-        for r, (feature, cut, leaf) in enumerate(_boost(*_rows_of(batches, edges), base, s, add)):
-            if context.partitionId() == 0:
-                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([feature.tolist()], pa.list_(pa.int64())), pa.array([cut.tolist()]), pa.array([leaf.tolist()])], names=["round", "feature", "cut", "leaf"])
-
     if counts["n"] <= held:
-        trees = list(_boost(*_rows_of(data.toArrow().to_batches(), edges), base, s, lambda mine: mine))
+        trees = list(_boost(Rows(*_rows_of(data.toArrow().to_batches(), edges), base), s))
     else:
-        dealt = data.repartition(workers, "key")
-        rows = dealt.mapInArrow(train, "round long, feature array<long>, cut array<long>, leaf array<double>", barrier=True).collect()
-        trees = [(r["feature"], r["cut"], r["leaf"]) for r in sorted(rows, key=lambda r: r["round"])]
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Rows(*_rows_of(batches, edges), base))], pa.binary())], names=["rows"])
+
+        spark = frame.sparkSession
+        dealt = data.repartition(workers or 2 * spark.sparkContext.defaultParallelism, "key")
+        blocks = dealt.mapInArrow(packed, "rows binary").rdd.map(lambda r: pickle.loads(r["rows"])).persist(StorageLevel.MEMORY_AND_DISK)
+        trees = list(_boost_spread(blocks, len(names), s))
     # Bin b of a feature holds values below its edge b; a cut after bin b sends values of edges[b] and more to the right.
     limit = lambda f, b: float(edges[f][b]) if b < len(edges[f]) else math.inf
     shaped = lambda rows, kind: np.array([list(r) for r in rows], kind).reshape(len(trees), -1)

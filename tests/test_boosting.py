@@ -1,5 +1,7 @@
 """Boosted trees: constraints, missing values, and the same trees wherever their histograms are added up."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -70,3 +72,14 @@ def test_published_settings():
     assert (plain.rounds, spread.rounds, spread.depth, len(spread.signs)) == (65, 534, 5, len(md.WP_SPREAD_FEATURES))
     assert {n: s for n, s in zip(md.WP_SPREAD_FEATURES, spread.signs) if s} == {
         "Diff_Time_Ratio": 1, "score_differential": 1, "down": -1, "ydstogo": -1, "yardline_100": -1, "posteam_timeouts_remaining": 1, "defteam_timeouts_remaining": -1}
+
+
+def test_spread_rows_take_no_barrier_exchanges(spark):
+    """A barrier exchange takes a second, whatever its size: sixty levels would take a minute."""
+    df, x, _ = sample(spark, 300)
+    s = boosting.Settings(rounds=20, step=0.3, depth=3, row_share=0.7)
+    boosting.fit(df, NAMES, "label", s, held=10, workers=3)  # workers start
+    began = time.perf_counter()
+    together = boosting.fit(df, NAMES, "label", s, held=10, workers=3)
+    assert time.perf_counter() - began < 40
+    assert boosting.fit(df, NAMES, "label", s).probabilities(x) == pytest.approx(together.probabilities(x))
