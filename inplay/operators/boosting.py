@@ -126,7 +126,7 @@ class Rows:
     and the rows' keys, so it is the same however the rows are dealt to tasks."""
 
     def __init__(self, binned: np.ndarray, y: np.ndarray, keys: np.ndarray, base: float):
-        self.binned, self.y, self.keys, self.odds = binned, y, keys, np.full(len(y), base)
+        self.binned, self.y, self.keys, self.odds = np.asfortranarray(binned), y.astype(np.uint8), keys, np.full(len(y), base)
 
     def begin(self, s: Settings, r: int) -> Rows:
         p = 1 / (1 + np.exp(-self.odds))
@@ -168,14 +168,18 @@ def _boost_spread(blocks, width: int, s: Settings, keep: int = 16) -> Iterator[t
     held, last = [blocks], None
     for r in range(s.rounds):
         columns = _columns(s, r, width)
-        now = held[-1].map(lambda rows, r=r, last=last: (rows.end(last) if last else rows).begin(s, r))
+        now = held[-1].map(lambda rows, last=last: rows.end(last) if last else rows)
         now = now.persist(StorageLevel.MEMORY_AND_DISK)
         if r % keep == keep - 1:
             now.localCheckpoint()
 
         def sums_of(level: int, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
             f, c = feature.copy(), cut.copy()
-            return now.map(lambda rows: level_sums(rows.binned, rows.node(f, c, level), rows.g, rows.h, columns, level)).reduce(np.add)
+            def mine(rows: Rows) -> np.ndarray:
+                rows.begin(s, r)
+                return level_sums(rows.binned, rows.node(f, c, level), rows.g, rows.h, columns, level)
+
+            return now.map(mine).reduce(np.add)
 
         feature, cut, leaf = grow(sums_of, width, columns, s)
         last = feature, cut, s.step * leaf
