@@ -19,6 +19,7 @@ from inplay.session import slice_rows
 SLICE = "__slice"
 BROADCAST_BYTES = 64 << 20  # size up to which the quantiles of hot entities are broadcast
 MOST_KNOTS = 4096  # quantiles kept of an entity
+TASK_ROWS = 100_000  # rows of a base table that one task scans
 _UNB, _END = Window.unboundedPreceding, Window.unboundedFollowing
 
 
@@ -98,6 +99,14 @@ def hot_entities(df: DataFrame, by: Sequence[str], order: str, rows: int | None
     return F.broadcast(hot) if few else hot
 
 
+def dealt(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
+    """df with its entities dealt to tasks of about TASK_ROWS rows each, where its base table has `rows` rows. Scans, as-of
+    joins and sums by these entities all stay in such a task, which holds their sorts at once; left to itself, adaptive
+    execution merges tasks by compressed bytes, and few of those can be many rows. A table of one task stays as it is."""
+    tasks = -(-rows // TASK_ROWS)
+    return df if tasks <= 1 else df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def with_slices(df: DataFrame, by: Sequence[str], order: str, hot: DataFrame | None) -> DataFrame:
     """Add the slice number of hot entities, a non-decreasing function of the order key (null elsewhere): the key's
     rank by the entity's quantiles, between two of them in proportion, times the number of slices."""

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from inplay.operators.scan import hot_entities
+from inplay.operators.scan import dealt, hot_entities
 from inplay.plans.registry import ROLE_SQL
 
 DAY0_S = 1704067200  # 2024-01-01T00:00:00Z, the first day of `events`
@@ -26,6 +26,7 @@ def r6(c: str | Column) -> Column:
 
 
 _HOT: dict[tuple, DataFrame | None] = {}
+_ROWS: dict[tuple, int] = {}
 
 
 class Tables:
@@ -57,6 +58,13 @@ class Tables:
     def hot_games_by_id(self) -> DataFrame | None:
         return self.hot("ev", "game_id", "event_id")
 
+    def by_game(self, df: DataFrame) -> DataFrame:
+        """Rows of `events` dealt to tasks by game. Where a game is hot they are left alone: its slices are tasks of their own."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _ROWS:
+            _ROWS[key] = self.events.count()
+        return dealt(df, ["game_id"], _ROWS[key]) if self.hot_games is None else df
+
     @cached_property
     def ev(self) -> DataFrame:
         """Events with the user as the game."""
@@ -67,8 +75,13 @@ class Tables:
     @cached_property
     def prices(self) -> DataFrame:
         """Price log: click, signup and error rows; a user's first is the pregame, the last the final."""
-        q = self.ev.filter(F.col("event_type").isin("click", "signup", "error"))
-        ends = q.groupBy("game_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+        q = self.ev.filter(F.col("event_type").isin("click", "signup", "error") & F.col("game_id").isNotNull())
+        lo, hi = F.min("event_id"), F.max("event_id")
+        if self.hot_games is None:  # in the order of the scans that follow, so that these need no sort of their own
+            w = Window.partitionBy("game_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            q = self.by_game(q).withColumns({"lo": lo.over(w), "hi": hi.over(w)})
+        else:
+            q = q.join(q.groupBy("game_id").agg(lo.alias("lo"), hi.alias("hi")), "game_id")
         elapsed = (F.unix_micros("t") / 1e6 - DAY0_S) / 720
         ruled = F.element_at(F.array(*[F.lit(x) for x in ("review", "penalty", "imputed", "clock")]),
                              (F.col("k") % 4 + 1).cast("int"))
@@ -76,7 +89,7 @@ class Tables:
                 .when(F.col("event_type") == "signup", "snap").otherwise("play"))
         final = F.col("kind") == "final"
         return (
-            q.join(ends, "game_id").withColumn("kind", kind)
+            q.withColumn("kind", kind)
             .select(
                 "game_id", F.col("event_id").alias("order"), F.col("event_id").alias("seq"), "kind", "t",
                 F.when(F.col("kind") == "pregame", "pregame").when(final, "end")
@@ -101,9 +114,9 @@ class Tables:
     @cached_property
     def minutes(self) -> DataFrame:
         """Market minutes: view rows with a home price and a book width."""
-        return self.ev.filter(F.col("event_type") == "view").select(
+        return self.by_game(self.ev.filter(F.col("event_type") == "view").select(
             "game_id", "t", ((F.col("k") + 0.5) / 101).alias("market"),
-            ((F.col("event_id") % 8) / 100.0).alias("spread"))
+            ((F.col("event_id") % 8) / 100.0).alias("spread")))
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -144,8 +157,6 @@ class Tables:
         by_drive = by_drive.withColumns({
             "pts_home": F.when(F.col("offense_home"), pts).otherwise(dpts),
             "pts_away": F.when(F.col("offense_home"), dpts).otherwise(pts)})
-        from pyspark.sql import Window
-
         # a game has at most one row per two days here, so these windows are short
         w = Window.partitionBy("game_id").orderBy("fixed_drive")
         before = w.rowsBetween(Window.unboundedPreceding, -1)

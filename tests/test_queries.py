@@ -51,3 +51,17 @@ def test_model_fit_scores_every_row(spark):
 def test_wide_distributions_are_not_broadcast(spark):
     plan = entry.queries()["rung_grid"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert any("ShuffledHashJoin [game_id" in line and "BuildLeft" in line for line in plan.splitlines())
+
+
+@needs_data
+@pytest.mark.parametrize("key", ["winner_grid", "waiting_for", "counterfactual"])
+def test_tasks_of_the_grid_grow_with_the_events(spark, monkeypatch, key):
+    from inplay.operators import scan as sc
+
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    monkeypatch.setattr(sc, "TASK_ROWS", events // 40)
+    scans = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(game_id" in scans and "REPARTITION_BY_NUM" in scans
+    assert compare(connect(SF), spark, key, entry.queries()[key], entry.oracle_sql()[key], SF)[2]
+    if key == "winner_grid":
+        assert entry.queries()[key](spark, SF).rdd.getNumPartitions() >= 40
