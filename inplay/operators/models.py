@@ -19,6 +19,7 @@ from inplay.operators.features import END_HALF, N_BINS, TIMED, WP_FEATURES, WP_S
 from inplay.operators.metrics import brier_row, calibration_error, log_loss_row, summary
 from inplay.operators.segments import RESULTS
 from inplay.operators.onerow import with_row
+from inplay.session import all_cores
 
 # fixed values: tree settings of the two model variants. The spread model may only rise with the lead and the own time-outs and
 # only fall with down, distance, field position and the other side's time-outs.
@@ -105,8 +106,10 @@ def cv_report(cv: DataFrame, kind: str, n_boot: int = 1000) -> DataFrame:
 
 def fit_outcomes(frame: DataFrame, weight: str = "w", iterations: int = 50):
     """Multinomial regression over (result, duration bin) classes with recency weights: the linear
-    baseline of the network (Spark ML's network takes neither weights nor this activation)."""
+    baseline of the network (Spark ML's network takes neither weights nor this activation). Every iteration passes over
+    all rows, which are few bytes and much work (rows x classes x features), so they are dealt to all cores first."""
     data = frame.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"), F.col(weight).alias("w"))
+    data = data.repartition(all_cores(frame.sparkSession))
     return LogisticRegression(family="multinomial", weightCol="w", maxIter=iterations, regParam=1e-4).fit(data)
 
 

@@ -15,6 +15,7 @@ from inplay.plans.roles import Tables, r6
 from inplay.plans.sqlkit import N_BOOT, brier, cols6, interval_sql, log_loss, weight_ctes
 from inplay.operators import bootstrap as bs
 from inplay.operators.onerow import with_row
+from inplay.session import all_cores
 
 # Fits are not SQL. What the twins state of them are facts that any sound fit shows: its rows, games and labels, the loss of the
 # base rate, that all scores are probabilities, and that they beat the base rate.
@@ -88,7 +89,7 @@ def outcome_fit(t: Tables):
     s = ft.training_snaps(dp.snap_rows(t)).withColumns({
         "x": ft.drive_features(2004), "label": ft.class_label(F.col("result"), F.col("seconds")), "w": ft.recency_weight(F.col("season"), F.lit(2005), 6.0)})
     m = md.fit_outcomes(s)
-    p = m.transform(s.withColumn("features", array_to_vector("x")).drop("w"))
+    p = m.transform(s.select("game_id", "label", array_to_vector("x").alias("features")).repartition(all_cores(t.spark)))
     each = p.select("game_id", "label", F.get(vector_to_array("probability"), F.col("label")).alias("p"))
     sums = each.groupBy("label", "game_id").agg(F.count(F.lit(1)).alias("n"), F.sum(-F.log(F.greatest("p", F.lit(1e-15)))).alias("l"), F.min(F.col("p").between(0, 1)).alias("ok"))
     games = sums.groupBy("game_id").agg(F.sum("l").alias("l"), F.min("ok").alias("ok")).agg(F.count(F.lit(1)).alias("games"), F.sum("l").alias("l"), F.min("ok").alias("in_unit_interval"))
