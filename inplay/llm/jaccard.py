@@ -58,8 +58,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, carry: Seque
     n-grams come first, a document with many n-grams of its own hardly meets anyone. (4) First product: each block
     pairs its documents with the one that has the n-gram earliest among those of like size, so a group of g near
     copies costs g entries, not g^2; each document's two pairs that meet most often are verified and become components.
-    (5) Second product: the pairs of each block that lie in different components, whose sizes allow a link and whose places
-    keep the bound. (6) What is left is compared on whole sets. The first product may miss links; the second misses none
+    (5) Second product: the pairs of each block that lie in different components, whose sizes allow a link, whose places
+    keep the bound, and that have enough entries in common blocks left from there on to overlap as much as prefixes of linked sets
+    must: a document with few of these meets no one of its size, however often chance repeats an n-gram. (6) What is left is compared on whole sets. The first product may miss links; the second misses none
     between different components: the n-gram at which a linked pair first meets passes the bound. Pairs that pass have their
     prefixes' overlap counted, and are dropped when count and unseen rest fall short of the size-derived bound. So
     components are exact; links inside one are not listed.
@@ -190,17 +191,20 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 75, carry: Seque
     member = keep(with_class(linked).select(F.col("n").cast("int").alias("n"), "s", "component"), "members")
     rest = entry.drop("hub").join(member, ["n", "s"]).repartition("key")
     rest = rest.withColumn("one", F.min("component").over(block)).withColumn("other", F.max("component").over(block)).filter("one <> other").drop("one", "other")
+    rest = rest.withColumn("left", F.row_number().over(W.partitionBy("n", "s").orderBy(F.desc("i"))))  # a set's entries from this one on
     rest = keep(rest, "entries")
     discard(entry)
-    a, b = (rest.select("key", *[F.col(c).alias(f"{x}{c[0]}") for c in ("n", "s", "component", "i")]) for x in "ab")
+    a, b = (rest.select("key", *[F.col(c).alias(f"{x}{c[0]}") for c in ("n", "s", "component", "i", "left")]) for x in "ab")
     a = a.filter((100 + percent) * (F.col("an") - F.col("ai")) >= 2 * percent * F.col("an"))  # the smaller set must come early even for its own size
+    # What two prefixes share is at most what both sets have left where they first meet; the rest of the document whose prefix
+    # ends first is the most that can follow.
+    unseen = F.ceil(F.greatest("an", "bn") * percent / 100) - 1
+    enough = lambda shared: (shared + unseen) * (100 + percent) >= percent * (F.col("an") + F.col("bn"))
     met = a.join(b, "key").filter((F.struct("an", "as") < F.struct("bn", "bs")) & (F.col("ac") != F.col("bc")) & (100 * F.col("an") >= percent * F.col("bn"))
-                                  & reach(F.col("an"), F.col("ai"), F.col("bn"), F.col("bi")))
+                                  & reach(F.col("an"), F.col("ai"), F.col("bn"), F.col("bi")) & enough(F.least("al", "bl")))
     pairs = keep(met.select("an", "as", "bn", "bs").distinct().join(star, ["an", "as", "bn", "bs"], "left_anti"), "pairs")
-    # All n-grams that a pair's prefixes share; the rest of the document whose prefix ends first is the most that can follow.
-    unseen = F.ceil(F.greatest("an", "bn") * percent / 100) - 1
     counted = pairs.join(rest.selectExpr("n an", "s as", "key"), ["an", "as"]).join(rest.selectExpr("n bn", "s bs", "key"), ["bn", "bs", "key"])
-    counted = counted.groupBy("an", "as", "bn", "bs").agg(F.count(F.lit(1)).alias("met")).filter((F.col("met") + unseen) * (100 + percent) >= percent * (F.col("an") + F.col("bn")))
+    counted = counted.groupBy("an", "as", "bn", "bs").agg(F.count(F.lit(1)).alias("met")).filter(enough(F.col("met")))
     full = keep(counted.select("an", "as", "bn", "bs"), "pairs")
     discard(pairs)
     discard(rest)

@@ -151,6 +151,26 @@ def test_null_ids_do_not_tie_classes_together(make_docs):
     assert sorted(Counter(r.class_id for r in out).values()) == [1, 1, 2, 2, 2] and {r.lang for r in out} == {"xx"}
 
 
+def test_chance_repeats_make_no_pairs(make_docs, monkeypatch):
+    """Documents of like size that share phrases with many others, far fewer than linked sets must share, are never paired."""
+    phrases = [prose(("phrase", k), 6).lower().replace(".", "") for k in range(12)]
+    texts = [prose(("by chance", k), 110).split() for k in range(60)]
+    pairs = [(k, " ".join(" ".join([*w[9 * j:9 * j + 9], phrases[(k + 5 * j) % 12]]) for j in range(12) if j < 9)) for k, w in enumerate(texts)]
+    pairs += [(100 + k, edited(pairs[k][1], k, 0.02)) for k in range(10)]
+    made, keep = [], jaccard.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "keep", counted)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(make_docs(pairs)).collect())
+    assert got == brute_links(pairs) and len({c for _, _, c in got}) < len(pairs)
+    assert len(made) == 2 and made[0] <= 5
+
+
 def test_heavily_edited_crowd_meets_only_near_its_like(make_docs):
     """Copies with one to three tenths of their words edited: some links, many near misses, each decided exactly."""
     base = prose("crowd of edits", 150)
