@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inplay.llm.storage import discard, keep
 from inplay.llm.suffixes import OTHER, OTHER_INVERSE, sliding_least
-from inplay.llm.textscan import SPACE, mix, slices, span_hashes
+from inplay.llm.textscan import SPACE, mix, powers, slices, span_hashes
 
 REACH = 32  # bytes the rolling hash looks back over
 #: The gear table: one pseudo-random 32-bit number per byte value, from a rule.
@@ -24,9 +25,8 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     h = GEAR[data]
     back = 1
     while back < REACH:
-        more = h.copy()
-        more[back:] += h[:-back] << np.uint32(back)
-        h, back = more, 2 * back
+        h[back:] += h[:-back] << np.uint32(back)
+        back *= 2
     return h
 
 
@@ -54,30 +54,43 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     """Places by which equal stretches find each other: in every string of `least` bytes within a text, the chunk of
     least // 2 bytes whose gear hash at its end is least (the leftmost of equals). Equal strings choose the same place, so
     two occurrences of a stretch of `least` bytes always share one. Returns text, place in the text, least and greatest
-    distance of the strings' starts before it, and two 64-bit digests of the chunk.
+    distance of the strings' starts before it, and a 64-bit digest of the chunk (see second_digests).
 
     Where a chunk overlaps itself (a text that repeats a few bytes), only the first two and the last of its run stay."""
     size = least // 2
     if size < REACH:
         raise ValueError(f"least must be {2 * REACH} or more")
-    long = np.diff(offsets) >= least
-    none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    begins, ends = offsets[:-1], offsets[1:] - least + 1  # of the strings within each text
+    long = begins < ends
     if not long.any():
-        return none
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     h = gear_hashes(data)[size - 1:]
     place = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-    chosen = (sliding_least(place, least - size + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    strings = np.maximum(np.diff(offsets) - least + 1, 0)
-    text = np.repeat(np.arange(len(strings)), strings)
-    start = np.arange(len(text)) - (np.cumsum(strings) - strings)[text] + offsets[:-1][text]
-    at = chosen[start]
-    runs = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])))
-    last = np.append(runs[1:], len(text)) - 1
-    at, text, near, far = at[runs], text[runs], at[runs] - start[last], at[runs] - start[runs]
-    high, low = span_hashes(data, at, at + size), span_hashes(data, at, at + size, OTHER, OTHER_INVERSE)
+    chosen = sliding_least(place, least - size + 1)
+    edge = np.zeros(len(chosen) + 1, np.int8)
+    edge[begins[long]] = 1
+    edge[ends[long]] = -1  # texts are apart by the strings that cross their border
+    valid = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    turn = np.append(True, chosen[1:] != chosen[:-1])
+    turn[begins[long]] = True
+    runs = np.flatnonzero(turn & valid)
+    turn = np.append(turn[1:], True)
+    turn[ends[long] - 1] = True
+    last = np.flatnonzero(turn & valid)
+    at = (chosen[runs] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    text = np.searchsorted(offsets, runs, "right") - 1
+    high = span_hashes(data, at, at + size)
     same = np.append(False, (high[1:] == high[:-1]) & (text[1:] == text[:-1]) & (np.diff(at) < size))
     stay = ~same | ~np.append(False, same[:-1]) | ~np.append(same[1:], False)
-    return text[stay], (at - offsets[:-1][text])[stay], near[stay], far[stay], high[stay], low[stay]
+    return text[stay], (at - offsets[:-1][text])[stay], (at - last)[stay], (at - runs)[stay], high[stay]
+
+
+def second_digests(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Another 64-bit digest of data[at:at + size], from these bytes alone."""
+    total = np.zeros(len(at), np.uint64)
+    for j, power in enumerate(powers(OTHER, size)):
+        total += (data[at + j].astype(np.uint64) + np.uint64(1)) * power
+    return mix(total + np.uint64(size))
 
 
 def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
@@ -93,7 +106,7 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     def halves(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for _, data, offsets in slices(batch, "text"):
-                high, n = np.unique(anchors(data, offsets, least)[4], return_counts=True)
+                high, n = np.unique(anchors(data, offsets, least)[-1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(n > 1)], names=["high", "again"])
 
     twice = docs.select("text").mapInArrow(halves, "high long, again boolean").groupBy("high").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again"))
@@ -107,12 +120,14 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part, data, offsets in slices(batch, "text"):
-                text, place, near, far, high, low = anchors(data, offsets, least)
-                slot = high & np.uint64((1 << 24) - 1)
+                got = anchors(data, offsets, least)
+                slot = got[-1] & np.uint64((1 << 24) - 1)
                 may = (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                which = pa.array(text[may])
-                yield pa.RecordBatch.from_arrays([part.column("id").take(which), part.column("text_hash").take(which), pa.array(place[may]), pa.array(near[may].astype(np.int32)),
-                                                  pa.array(far[may].astype(np.int32)), pa.array(high[may].view(np.int64)), pa.array(low[may].view(np.int64))],
+                text, place, near, far, high = (x[may] for x in got)
+                low = second_digests(data, offsets[:-1][text] + place, least // 2)
+                which = pa.array(text)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(which), part.column("text_hash").take(which), pa.array(place), pa.array(near.astype(np.int32)),
+                                                  pa.array(far.astype(np.int32)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))],
                                                  names=["id", "text_hash", "place", "near", "far", "high", "low"])
 
     found = docs.select("id", "text_hash", "text").mapInArrow(cut, "id long, text_hash long, place long, near int, far int, high long, low long")
@@ -140,6 +155,59 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+def ranges(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers begins[i] .. ends[i] - 1 of all i, with i."""
+    sizes = np.maximum(ends - begins, 0)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - (np.cumsum(sizes) - sizes)[which] + begins[which]
+
+
+def extended(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, least: int) -> pa.RecordBatch:
+    """Pairs of texts (id, text_hash, text, head_id, head_hash, head_text, marks), their bytes and offsets: the passages
+    that marks extend to, of the text (gone) and the head (not gone), and strings of `least` bytes about marks that reach
+    beyond what the head has, with their digests."""
+    heads = part.column("head_text").cast(pa.large_string())
+    head_offsets = np.frombuffer(heads.buffers()[1], np.int64)[heads.offset:heads.offset + len(heads) + 1]
+    head_data = np.frombuffer(heads.buffers()[2] or b"", np.uint8)
+    lists = part.column("marks")
+    marks = lists.flatten()
+    row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+    place, head_place, near, far = (marks.field(c).to_numpy().astype(np.int64) for c in ("place", "head_place", "near", "far"))
+    gap = place - head_place
+    order = np.lexsort((place, gap, row))
+    row, place, gap, near, far = (x[order] for x in (row, place, gap, near, far))
+    groups = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (gap[1:] != gap[:-1]))) if len(row) else row
+    begin, end = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    found, bounds = [], place.tolist()
+    for i, to in zip(groups.tolist(), [*groups[1:].tolist(), len(row)]):
+        r, way = int(row[i]), int(gap[i])
+        own, head = data[offsets[r]:offsets[r + 1]], head_data[head_offsets[r]:head_offsets[r + 1]]
+        while i < to:
+            p = bounds[i]
+            a, b = p - common(own[:p][::-1], head[:p - way][::-1]), p + common(own[p:], head[p - way:])
+            next_ = max(i + 1, bisect_left(bounds, b, i, to))
+            begin[i:next_], end[i:next_] = a, b
+            if b - a >= least:
+                found.append((r, way, a, b))
+            i = next_
+    names = ["id", "text_hash", "start", "stop", "gone", "high", "low"]
+    key, other = [[part.column(c).to_numpy() for c in pair] for pair in (("id", "text_hash"), ("head_id", "head_hash"))]
+    r, way, a, b = np.array(found, np.int64).reshape(-1, 4).T
+    itself = (key[0][r] == other[0][r]) & (key[1][r] == other[1][r])
+    first, last = place - far, place - near + 1
+    which, at = (np.concatenate(x) for x in zip(ranges(first, np.minimum(last, begin)), ranges(np.maximum(first, np.maximum(end - least + 1, begin)), last)))
+    start = np.unique(offsets[:-1][row[which]] + at)
+    text = np.searchsorted(offsets, start, "right") - 1
+    at = start - offsets[:-1][text]
+    n, m = len(r), len(start)
+    columns = [np.concatenate([key[0][r], other[0][r], key[0][text]]), np.concatenate([key[1][r], other[1][r], key[1][text]]),
+               np.concatenate([np.where(itself, np.maximum(a, a - way + least), a), a - way, at]), np.concatenate([b, b - way, at + least])]
+    gone = pa.array(np.append(np.repeat([True, False], n), np.zeros(m, bool)), mask=np.arange(2 * n + m) >= 2 * n)
+    digests = [pa.array(np.append(np.zeros(2 * n, np.int64), span_hashes(data, start, start + least, *by).view(np.int64)), mask=np.arange(2 * n + m) < 2 * n)
+               for by in ((), (OTHER, OTHER_INVERSE))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), gone, *digests], names=names)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans as disjoint ones in order."""
     out: list[tuple[int, int]] = []
@@ -203,30 +271,9 @@ def dedupe_passages(docs: DataFrame, least: int = 120) -> DataFrame:
     texts = keep(docs.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.first("text").alias("text")), "texts")
 
     def extend(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "text_hash", "start", "stop", "gone", "high", "low"]
         for batch in rows:
-            for r in range(batch.num_rows):
-                key, other = [(batch.column(a)[r].as_py(), batch.column(b)[r].as_py()) for a, b in (("id", "text_hash"), ("head_id", "head_hash"))]
-                own, head = [np.frombuffer(batch.column(c)[r].as_py().encode(), np.uint8) for c in ("text", "head_text")]
-                marks = sorted((m["place"] - m["head_place"], m["place"], m["near"], m["far"]) for m in batch.column("marks")[r].as_py())
-                spans, open_, a, b, way = set(), [], 0, 0, None
-                for gap, p, near, far in marks:
-                    if gap != way or p >= b:
-                        q, way = p - gap, gap
-                        a, b = p - common(own[:p][::-1], head[:q][::-1]), p + common(own[p:], head[q:])
-                        if b - a >= least:
-                            spans.add((*other, a - gap, b - gap, False))
-                            spans.add((*key, max(a, a - gap + least) if key == other else a, b, True))
-                    at = np.arange(p - far, p - near + 1)
-                    open_.append(at[(at < a) | (at + least > b)])
-                if spans:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(zip(*sorted(spans)), kinds)], pa.nulls(len(spans), pa.int64()), pa.nulls(len(spans), pa.int64())], names=names)
-                at = np.unique(np.concatenate(open_))
-                if len(at):
-                    put = lambda v: pa.array(np.full(len(at), v, np.int64))
-                    yield pa.RecordBatch.from_arrays([put(key[0]), put(key[1]), pa.array(at), pa.array(at + least), pa.nulls(len(at), pa.bool_()), pa.array(span_hashes(own, at, at + least).view(np.int64)),
-                                                      pa.array(span_hashes(own, at, at + least, OTHER, OTHER_INVERSE).view(np.int64))], names=names)
+            for part, data, offsets in slices(batch, "text"):
+                yield extended(part, data, offsets, least)
 
     # All sides of these joins are plain tables, so that Spark can split a text that very many share.
     both = pairs.join(texts.select(F.col("id").alias("head_id"), F.col("text_hash").alias("head_hash"), F.col("text").alias("head_text")), ["head_id", "head_hash"]).join(texts, ["id", "text_hash"])

@@ -5,9 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from inplay.llm import chunks, decontaminate, jaccard, suffixes
+from inplay.llm import chunks, decontaminate, jaccard, suffixes, textscan
 from inplay.llm.components import components
 from tests.llm.conftest import edited, prose
 
@@ -233,3 +234,21 @@ def test_empty_tables(spark, none):
     assert chunks.dedupe_passages(none).count() == 0
     assert jaccard.jaccard_join(none).count() == 0
     assert decontaminate.contaminated(none, items).count() == 0
+
+
+def test_extended_marks_of_many_pairs_at_once():
+    """Marks within a passage are extended once, and every string about a mark that the head lacks is listed once."""
+    same, least = bytes(range(33, 123)) * 2, 64
+    own, head = b"#" * 20 + same + b"own" * 30, b"==" + same + b"other" * 9
+    marks = [[{"place": p, "head_place": p - 18, "near": 0, "far": 9} for p in (40, 60, 150)], [{"place": 30, "head_place": 12, "near": 2, "far": 2}], []]
+    texts = [own.decode(), head.decode(), ""]
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("place", "head_place", "near", "far")]))
+    part = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array([1, 1, 1]), pa.array(texts), pa.array([3, 6, 3]), pa.array([2, 1, 2]), pa.array([head.decode(), head.decode(), "x"]), pa.array(marks, kind)],
+                                      names=["id", "text_hash", "text", "head_id", "head_hash", "head_text", "marks"])
+    (rows, data, offsets), = textscan.slices(part, "text")
+    got = chunks.extended(rows, data, offsets, least).to_pylist()
+    spans = {(r["id"], r["text_hash"], r["start"], r["stop"], r["gone"]) for r in got if r["gone"] is not None}
+    assert spans == {(5, 1, 20, 201, True), (3, 2, 2, 183, False)}
+    strings = [(r["id"], r["start"]) for r in got if r["gone"] is None]
+    assert strings == [*((5, a) for a in range(141, 151)), (6, 28)]  # the last by a mark whose digests agree by chance
+    assert all(r["stop"] == r["start"] + least and r["high"] is not None for r in got if r["gone"] is None)
