@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from inplay.llm import chunks, decontaminate, jaccard, suffixes, textscan
+from inplay.llm import chunks, decontaminate, jaccard, queries, suffixes, textscan, tokens
 from inplay.llm.components import components
 from tests.llm.conftest import edited, prose
 
@@ -252,3 +252,13 @@ def test_extended_marks_of_many_pairs_at_once():
     strings = [(r["id"], r["start"]) for r in got if r["gone"] is None]
     assert strings == [*((5, a) for a in range(141, 151)), (6, 28)]  # the last by a mark whose digests agree by chance
     assert all(r["stop"] == r["start"] + least and r["high"] is not None for r in got if r["gone"] is None)
+
+
+def test_scans_of_text_drop_what_encoders_remember():
+    """A worker that packed texts once must not hold its memory of words through later stages."""
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    tokens.encoder(path).ids(["some words that are remembered"])
+    assert tokens._ENCODERS[path].memory
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", None])], names=["text"])
+    assert [len(data) for _, data, _ in textscan.slices(batch, "text")] == [1]
+    assert not tokens._ENCODERS
