@@ -43,12 +43,17 @@ def poisson_cdf(n: int = 10) -> list[float]:
     return out
 
 
-def poisson_weights(seed: int, keys: np.ndarray, n: int) -> np.ndarray:
-    """Poisson(1) counts (keys x 0..n-1) by inverse CDF of uniform(seed, key, number); keys lie in [0, PRIME)."""
-    mixed = seed + keys.astype(np.int64)[:, None] * _MULTIPLIERS[0] + np.arange(n, dtype=np.int64)[None, :] * _MULTIPLIERS[1]
+def uniforms(seed: int, keys: np.ndarray, n: int) -> np.ndarray:
+    """uniform(seed, key, number) as an array (keys x 0..n-1); keys are not negative."""
+    mixed = seed + keys.astype(np.int64)[:, None] % PRIME * _MULTIPLIERS[0] + np.arange(n, dtype=np.int64)[None, :] * _MULTIPLIERS[1]
     x = mixed % PRIME
     square = x * x % PRIME
-    return np.searchsorted(poisson_cdf(), square * square % PRIME * x % PRIME / float(PRIME), "right")
+    return square * square % PRIME * x % PRIME / float(PRIME)
+
+
+def poisson_weights(seed: int, keys: np.ndarray, n: int) -> np.ndarray:
+    """Poisson(1) counts (keys x 0..n-1) by inverse CDF of uniform(seed, key, number); keys lie in [0, PRIME)."""
+    return np.searchsorted(poisson_cdf(), uniforms(seed, keys, n), "right")
 
 
 def poisson_sql(u: str) -> str:

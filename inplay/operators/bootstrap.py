@@ -8,14 +8,15 @@ from typing import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, IntegralType, LongType, NumericType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, IntegralType, LongType, NumericType, StructField, StructType
 
-from inplay.functions.hashing import PRIME, id_key, poisson_cdf, poisson_weights, uniform
+from inplay.functions.hashing import PRIME, id_key, poisson_cdf, poisson_weights, uniform, uniforms
 from inplay.operators.onerow import with_row
 from inplay.session import all_cores
 
 SEED = 2013  # fixed value
 BUCKETS = 64  # shares in which entities are numbered for exact draws
+MET = 20  # exact draws that meet their entities at once, as a power of two
 BLOCK = 512  # entities whose weights are held at once
 GROUPS_HELD = 1024  # groups whose replicates a task holds before it gives them on
 
@@ -26,15 +27,19 @@ def entity_sums(df: DataFrame, by: str, groups: Sequence[str] = (), **sums: Colu
 
 
 def _numbered(stats: DataFrame, by: str, groups: Sequence[str]) -> DataFrame:
-    """Entities numbered 1..G within their group, with G. They are numbered in BUCKETS shares of the key;
-    a share's first number is the sum of the shares before it, BUCKETS rows a group."""
+    """Entities numbered 1..G within their group, with G. They are numbered in shares of the key, up to BUCKETS on either
+    side of 0 and one for entities without an id, which comes last; a share's first number is the sum of the shares before
+    it, a few rows a group. Entities meet these rows where they were numbered, not in the driver."""
     key = id_key(F.col(by), isinstance(stats.schema[by].dataType, NumericType))
-    stats = stats.withColumn("__b", F.pmod(key, F.lit(BUCKETS)))
+    stats = stats.withColumn("__b", F.coalesce(key % BUCKETS, F.lit(BUCKETS)).cast("bigint"))
     sizes = stats.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__k"))
     part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     sizes = sizes.withColumns({"__before": F.sum("__k").over(part.orderBy("__b")) - F.col("__k"), "__g": F.sum("__k").over(part)}).drop("__k")
-    place = F.row_number().over(Window.partitionBy(*groups, "__b").orderBy(by))
-    return stats.join(sizes, [*groups, "__b"]).withColumn("__i", (F.col("__before") + place).cast("bigint")).drop("__b", "__before")
+    placed = stats.withColumn("__i", F.row_number().over(Window.partitionBy(*groups, "__b").orderBy(by)))
+    sizes = sizes.select(*[F.col(g).alias(f"__s{i}") for i, g in enumerate(groups)], F.col("__b").alias("__share"), "__before", "__g")
+    same = [F.col(g).eqNullSafe(F.col(f"__s{i}")) for i, g in enumerate(groups)]
+    both = placed.hint("merge").join(sizes, [F.col("__b") == F.col("__share"), *same]).drop("__share", *[f"__s{i}" for i in range(len(groups))])
+    return both.withColumn("__i", (F.col("__before") + F.col("__i")).cast("bigint")).drop("__b", "__before")
 
 
 def _reps(n_boot: int) -> Column:
@@ -135,6 +140,57 @@ def _poisson(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups
     return each.groupBy(*groups, "rep").agg(F.sum("__w").alias("__w"), *[e.alias(c) for c, e in total.items()]).filter("__w > 0").drop("__w")
 
 
+def _multinomial(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups: list[str], seed: int) -> DataFrame:
+    """Replicates of exact draws. A draw is 4 or 8 bytes, packed by the block of entities it falls into; a block's
+    draws and its entities meet in one task, which gives on one array of replicates per sum. Neither entities nor draws
+    pass through the driver, and draws never become rows. Sums of whole numbers stay whole, others are doubles."""
+    bits = max(MET - (n_boot - 1).bit_length(), 0)
+    size, code = 1 << bits, np.dtype("<u4" if n_boot << bits <= 1 << 32 else "<u8")
+    n_groups, n_cores = len(groups), all_cores(stats.sparkSession)
+    keys = [stats.schema[g] for g in groups]
+    block = StructField("__block", LongType())
+    whole = [isinstance(stats.schema[c].dataType, IntegralType) for c in sums]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (g, start) in enumerate(zip(batch.column(n_groups).to_pylist(), batch.column(n_groups + 1).to_pylist())):
+                places = np.arange(start, min(start + BLOCK, g + 1))
+                pick = np.floor(uniforms(seed, places, n_boot) * g).astype(np.int64)
+                codes = ((np.arange(n_boot) << bits) + (pick & (size - 1))).astype(code).ravel()
+                blocks = (pick >> bits).astype(np.uint16 if g >> bits < 1 << 16 else np.int64).ravel()
+                order = np.argsort(blocks, kind="stable")
+                some, first = np.unique(blocks[order], return_index=True)
+                packed = [c.tobytes() for c in np.split(codes[order], first[1:])]
+                own = [batch.column(i).take(pa.array([row] * len(some))) for i in range(n_groups)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(some.astype(np.int64)), pa.array(packed, pa.binary())], names=[*groups, "__block", "__codes"])
+
+    def meet(key: tuple, drawn: pa.Table, rows: pa.Table) -> pa.Table:
+        codes = np.frombuffer(b"".join(drawn.column("__codes").to_pylist()), code)
+        rep, at = (codes >> code.type(bits)).astype(np.int64), (codes & code.type(size - 1)).astype(np.int64)
+        place = rows.column("__at").to_numpy()
+        columns = [pa.array([k.as_py()], drawn.schema.field(i).type) for i, k in enumerate(key[:-1])]
+        for c, is_whole in zip(sums, whole):
+            column = rows.column(c)
+            value, there = np.zeros(size, np.int64 if is_whole else float), np.zeros(size, bool)
+            value[place], there[place] = column.fill_null(0).to_numpy(), column.is_valid().to_numpy()
+            total = np.zeros(n_boot, value.dtype)
+            np.add.at(total, rep, value[at])
+            none = np.bincount(rep[there[at]], minlength=n_boot) == 0
+            columns.append(pa.ListArray.from_arrays(pa.array([0, n_boot], pa.int32()), pa.array(total, mask=none)))
+        return pa.Table.from_arrays(columns, names=[*groups, *sums])
+
+    sizes = stats.groupBy(*groups).agg(F.count(F.lit(1)).alias("__g")).filter("__g > 0")
+    pieces = sizes.select(*groups, "__g", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__g"), F.lit(BLOCK).cast("bigint"))).alias("__from"))
+    drawn = pieces.repartition(n_cores, *groups, "__from").mapInArrow(draw, StructType([*keys, block, StructField("__codes", BinaryType())]))
+    i = F.col("__i") - 1
+    rows = _numbered(stats, by, groups).select(*groups, F.shiftright(i, bits).alias("__block"), i.bitwiseAND(F.lit(size - 1).cast("bigint")).alias("__at"),
+                                               *[F.col(c).cast("bigint" if w else "double").alias(c) for c, w in zip(sums, whole)])
+    lists = [StructField(c, ArrayType(LongType() if w else DoubleType())) for c, w in zip(sums, whole)]
+    met = drawn.groupBy(*groups, "__block").cogroup(rows.groupBy(*groups, "__block")).applyInArrow(meet, StructType([*keys, *lists]))
+    each = met.select(*groups, F.posexplode(F.arrays_zip(*sums)).alias("rep", "__r")).select(*groups, "rep", "__r.*")
+    return each.groupBy(*groups, "rep").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def resample(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups: Sequence[str] = (),
              seed: int = SEED, method: str = "poisson") -> DataFrame:
     """Weighted sums per replicate: (groups, rep, sums...).
@@ -149,9 +205,7 @@ def resample(stats: DataFrame, by: str, sums: Sequence[str], n_boot: int, groups
         return _poisson(stats, by, sums, n_boot, groups, seed)
     if method != "multinomial":
         raise ValueError(f"no method {method}")
-    numbered = _numbered(stats, by, groups)
-    drawn = _picks(numbered, groups, n_boot, seed).join(numbered.select(*groups, "__i", *sums), [*groups, "__i"])
-    return drawn.groupBy(*groups, "rep").agg(*[F.sum(s).alias(s) for s in sums])
+    return _multinomial(stats, by, sums, n_boot, groups, seed)
 
 
 def weights(rows: DataFrame, by: str, n_boot: int, seed: int = SEED, method: str = "poisson") -> DataFrame:

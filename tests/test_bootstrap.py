@@ -72,3 +72,29 @@ def test_exact_draws_are_made_by_all_cores(spark):
     picks = bs._picks(bs._numbered(stats, "game_id", []), [], 10, 1)
     assert picks.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert picks.count() == 3000
+
+
+def test_exact_draws_sum_their_entities(spark, monkeypatch):
+    """Draws and entities meet by block, here of two entities; a missing id counts last, as in the SQL twin."""
+    monkeypatch.setattr(bs, "MET", 5)
+    monkeypatch.setattr(bs, "BLOCK", 7)
+    ids = [*range(-3, 20, 2), 70, 64, 128, None]
+    rows = [(g, k, float(i), i - 4 if i % 3 else None, 2**55 + i) for g, n in (("a", 3), (None, 16), ("b", 16)) for i, k in enumerate(ids[-n:])]
+    df = spark.createDataFrame(rows, "g string, game long, x double, n long, big long").repartition(3)
+    got = {(r.g, r.rep): r for r in bs.resample(df, "game", ["x", "n", "big"], 10, ["g"], method="multinomial").collect()}
+    assert len(got) == 30
+    for g in ("a", None, "b"):
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, math.fmod(r[1] or 0, 64), r[1] or 0))
+        u = spark.range(1, len(order) + 1).select(F.array(*[uniform(bs.SEED, F.col("id"), F.lit(rep)) for rep in range(10)])).collect()
+        for rep in range(10):
+            drawn = [order[int(r[0][rep] * len(order))] for r in u]
+            n = [r[3] for r in drawn if r[3] is not None]
+            assert (got[g, rep].x, got[g, rep].n, got[g, rep].big) == (sum(r[2] for r in drawn), sum(n) if n else None, sum(r[4] for r in drawn))
+    assert bs.resample(df.limit(0), "game", ["x"], 9, method="multinomial").count() == 0
+
+
+def test_exact_draws_broadcast_no_entities(spark):
+    stats = spark.range(300).select(F.col("id").alias("game_id"), F.lit(1.0).alias("n"))
+    reps = bs.resample(stats, "game_id", ["n"], 10, method="multinomial")
+    assert [r.n for r in reps.collect()] == [300.0] * 10
+    assert "Broadcast" not in reps._jdf.queryExecution().executedPlan().toString()
