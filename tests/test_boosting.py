@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inplay.operators import boosting, models as md
@@ -83,3 +84,41 @@ def test_spread_rows_take_no_barrier_exchanges(spark):
     together = boosting.fit(df, NAMES, "label", s, held=10, workers=3)
     assert time.perf_counter() - began < 40
     assert boosting.fit(df, NAMES, "label", s).probabilities(x) == pytest.approx(together.probabilities(x))
+
+
+@pytest.mark.parametrize("share", [1.0, 0.4])  # histograms of single columns and of pairs
+def test_scores_are_those_the_fit_ends_with(share):
+    """A threshold is the edge below its bin, and a cut after the missing values' bin sends all others to the right."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (4000, 6))
+    x[:300, 0] = np.nan
+    y = (np.nan_to_num(x[:, 0], nan=3.0) + x[:, 1] > 0).astype(float)
+    edges = [np.unique(np.nanquantile(c, np.arange(1, 63) / 63)) for c in x.T]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, x.T), pa.array(y), pa.array(rng.integers(0, 2**60, len(x)))], names=[*"abcdef", "y", "key"])
+    rows = boosting.Rows(*boosting._rows_of([batch], edges), 0.1)
+    s = boosting.Settings(rounds=6, step=0.3, depth=3, column_share=share)
+    trees = list(boosting._boost(rows, np.array([len(e) + 2 for e in edges]), s))
+    model = boosting.thresholds(0.1, 3, trees, edges)
+    assert model.probabilities(x) == pytest.approx(1 / (1 + np.exp(-rows.odds)))
+    assert (np.array([t[1] for t in trees]) == 0).any()
+
+
+def test_pairs_of_columns_give_both_sides_of_a_cut():
+    rng = np.random.default_rng(2)
+    sizes, columns = [3, 64, 5, 64, 12], np.arange(5)
+    binned = np.stack([rng.integers(0, n, 3000) for n in sizes], 1).astype(np.uint8)
+    g, h, node = rng.normal(size=3000), rng.random(3000), rng.integers(0, 2, 3000).astype(np.uint8)
+    sets = boosting.together(sizes, 2)
+    assert all(any({a, b} <= set(one) for one in sets) for a in range(5) for b in range(a)) and len(sets) < 10
+    hist = boosting.Histograms(boosting.level_sums(binned, node, g, h, columns, sizes, sets, 1), sizes, sets, 1)
+    for side, rows in ((None, node == 1), ((3, slice(0, 31)), (node == 1) & (binned[:, 3] <= 30)), ((0, slice(2, None)), (node == 1) & (binned[:, 0] > 1))):
+        for c in range(5):
+            for got, v in zip(hist.columns(1, side), (g, h)):
+                assert got[c] == pytest.approx(np.bincount(binned[rows, c], v[rows], boosting.BINS))
+
+
+def test_rows_are_held_in_pieces(spark, monkeypatch):
+    df, x, _ = sample(spark, 500)
+    monkeypatch.setattr(boosting, "PIECE", 60)
+    s = boosting.Settings(rounds=4, step=0.3, depth=3, row_share=0.7)
+    assert boosting.fit(df, NAMES, "label", s, held=10, workers=2).probabilities(x) == pytest.approx(boosting.fit(df, NAMES, "label", s).probabilities(x))
