@@ -113,8 +113,9 @@ def cv_report(cv: DataFrame, kind: str, n_boot: int = 1000) -> DataFrame:
 
 def fit_outcomes(frame: DataFrame, weight: str = "w", iterations: int = 50):
     """Multinomial regression over (result, duration bin) classes with recency weights: the linear
-    baseline of the network (Spark ML's network takes neither weights nor this activation). Every iteration passes over
-    all rows, which are few bytes and much work (rows x classes x features), so they are dealt to all cores first."""
+    baseline of the network (Spark ML's network takes neither weights nor this activation), as a Spark ML model. Every iteration
+    passes over all rows, which are few bytes and much work (rows x classes x features), so they are dealt to all cores first.
+    softmax.fit is the same regression by matrix products, for many rows."""
     data = frame.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"), F.col(weight).alias("w"))
     data = data.repartition(all_cores(frame.sparkSession))
     return LogisticRegression(family="multinomial", weightCol="w", maxIter=iterations, regParam=1e-4).fit(data)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from inplay.functions.hashing import uniform_sql
-from inplay.operators import features as ft, models as md, replay as rp
+from inplay.operators import features as ft, models as md, replay as rp, softmax
 from inplay.plans import drives as dp
 from inplay.plans.evaluation import rounded
 from inplay.plans.late_game import lt
@@ -84,13 +84,10 @@ def wp_on_events(t: Tables):
       true AS in_unit_interval, true AS beats_base_rate FROM c, a""")
 def outcome_fit(t: Tables):
     """Multinomial fit over (result, duration bin) with recency weights, scored on its own snaps."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     s = ft.training_snaps(dp.snap_rows(t)).withColumns({
         "x": ft.drive_features(2004), "label": ft.class_label(F.col("result"), F.col("seconds")), "w": ft.recency_weight(F.col("season"), F.lit(2005), 6.0)})
-    m = md.fit_outcomes(s)
-    p = m.transform(s.select("game_id", "label", array_to_vector("x").alias("features")).repartition(all_cores(t.spark)))
-    each = p.select("game_id", "label", F.get(vector_to_array("probability"), F.col("label")).alias("p"))
+    m = softmax.fit(s)
+    each = s.select("game_id", "label", "x").repartition(all_cores(t.spark)).select("game_id", "label", softmax.probability(m, F.col("x"), F.col("label")).alias("p"))
     sums = each.groupBy("label", "game_id").agg(F.count(F.lit(1)).alias("n"), F.sum(-F.log(F.greatest("p", F.lit(1e-15)))).alias("l"), F.min(F.col("p").between(0, 1)).alias("ok"))
     games = sums.groupBy("game_id").agg(F.sum("l").alias("l"), F.min("ok").alias("ok")).agg(F.count(F.lit(1)).alias("games"), F.sum("l").alias("l"), F.min("ok").alias("in_unit_interval"))
     classes = sums.groupBy("label").agg(F.sum("n").alias("n"))
